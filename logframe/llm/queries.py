@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logframe.llm import sharding, simhash
+from logframe.llm import bpe, chat, decontaminate, media, sharding, simhash, token_counts
 from logframe.llm.common import table
 
 SHARDS = 24
@@ -16,18 +17,46 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_test_conversation(table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_conversations(chat.text_parts(rows)))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op3_decontamination": op3_decontamination,
+        "op4_media": op4_media,
+        "op5_bpe": op5_bpe,
         "op7_simhash": op7_simhash,
+        "op8_chat": op8_chat,
+        "op9_token_counts": op9_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": sharding.oracle(SHARDS),
+        "op3_decontamination": decontaminate.oracle(),
+        "op8_chat": chat.oracle(),
     }
