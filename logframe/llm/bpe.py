@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logframe.llm.common import with_fields
+
 #: Characters with the Unicode property White_Space.
 SPACES = "\t-\r \x85\xa0  -     　"
 #: Separators that str.split() takes for white space and the property does not.
@@ -196,7 +198,7 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` array<int> and ``n_tokens`` long; columns of these names are replaced."""
     kept = docs.drop("ids", "n_tokens")
-    schema = kept.schema.add("ids", "array<int>").add("n_tokens", "long")
+    schema = with_fields(kept.schema, "ids array<int>, n_tokens long")
     where = kept.columns.index(text)
 
     def run(batches):
@@ -212,7 +214,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded`` string in place of its ids; null ids decode to an empty text."""
     kept = encoded.drop("decoded")
-    schema = kept.schema.add("decoded", "string")
+    schema = with_fields(kept.schema, "decoded string")
     where = kept.columns.index(ids)
 
     def run(batches):

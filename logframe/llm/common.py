@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,3 +54,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
                 yield fn(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """``schema`` followed by the fields of a DDL string."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

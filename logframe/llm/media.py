@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logframe.llm.common import with_fields
+
 #: A payload row of 64 RGB pixels.
 ROW_BYTES, ROW_PIXELS = 192, 64
 TILE = 32
@@ -129,9 +131,7 @@ def decode_media(media: DataFrame, column: str = "media", side: int = TILE) -> D
     """``media`` with width, height, channels, tile (NPY bytes), dhash and error; columns of these names are replaced."""
     added = ["width", "height", "channels", "tile", "dhash", "error"]
     kept = media.drop(*added)
-    schema = kept.schema
-    for name, kind in zip(added, ["int", "int", "int", "binary", "string", "string"], strict=True):
-        schema = schema.add(name, kind)
+    schema = with_fields(kept.schema, "width int, height int, channels int, tile binary, dhash string, error string")
     where = kept.columns.index(column)
 
     def one(data: bytes | None) -> tuple:
