@@ -30,8 +30,7 @@ SALTS = 32
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
-    cleaned = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), f"^{GAP}|{GAP}$", "")
-    return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, GAP, -1))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP, -1), "")
 
 
 def _shingles(words: Column) -> Column:
@@ -48,8 +47,8 @@ def windows(benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     return cut.groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def _document_shingles(docs: DataFrame, has_single: bool) -> DataFrame:
-    """docs with ``pos`` (0-based word position) and ``shingle``, one row per shingle."""
+def _document_shingles(docs: DataFrame, has_single: bool, marker: bool = False) -> DataFrame:
+    """docs with ``pos`` (0-based word position) and ``shingle``, one row per shingle; with ``marker`` a row at -1 too."""
     hashed = _shingles(F.col("words"))
     if has_single:  # one-word items look single words up, too
         hashed = F.concat(
@@ -58,20 +57,24 @@ def _document_shingles(docs: DataFrame, has_single: bool) -> DataFrame:
                 F.array().cast("array<struct<pos:int,shingle:bigint>>")
             ),
         )
+        if marker:
+            hashed = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("shingle"))), hashed)
         return docs.select("*", F.explode(hashed).alias("h")).select(*docs.columns, "h.pos", "h.shingle")
+    if marker:
+        return docs.select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), hashed)).alias("p", "shingle")).select(*docs.columns, (F.col("p") - 1).alias("pos"), "shingle")
     return docs.select("*", F.posexplode(hashed).alias("pos", "shingle"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, hits): every document row as (doc_id, text_key, n_words), and each occurrence
-    as (doc_id, text_key, start, length, items), start counted in words from 0."""
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A marker row for every document row, and a row for each occurrence of a window.
+
+    doc_id, text_key, n_words, marker boolean, start (in words from 0; -1 in markers), length, items.
+    """
     found = durable(windows(benchmark, n).withColumn("shingles", _shingles(F.col("window"))))
     known = found.select(F.explode("shingles").alias("shingle")).distinct()
     n_known, has_single = known.count(), not found.filter("size(window) = 1").isEmpty()
     small = n_known <= BROADCAST_SHINGLES
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), words_of(F.col(text)).alias("words"))
-    rows = source.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"))
-
     # rarity: how often each benchmark shingle occurs in the corpus
     seen = _document_shingles(source.select("words"), has_single).select("shingle")
     counts = seen.join(F.broadcast(known), "shingle", "left_semi") if small else seen.groupBy("shingle").count().join(known, "shingle", "left_semi")
@@ -89,9 +92,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     exact = F.slice("words", F.col("pos") - F.col("offset") + 1, F.col("length")) == F.col("window")
     start = (F.col("pos") - F.col("offset")).alias("start")
     if small:
-        spread = _document_shingles(source, has_single)
-        hits = spread.join(F.broadcast(prefix), "shingle").filter(fits & exact)
-        return rows, hits.select("doc_id", "text_key", start, "length", "items")
+        # one pass gives both: each document's marker (position -1, no shingle) and its verified occurrences
+        spread = _document_shingles(source.withColumn("n_words", F.size("words").cast("long")), has_single, marker=True)
+        found_at = spread.join(F.broadcast(prefix), "shingle", "left").filter((F.col("pos") < 0) | (F.col("window").isNotNull() & fits & exact))
+        return found_at.select(
+            "doc_id", "text_key", "n_words", (F.col("pos") < 0).alias("marker"),
+            F.when(F.col("pos") < 0, -1).otherwise(start).alias("start"), F.coalesce("length", F.lit(0)).alias("length"), "items",
+        )
     # both sides shuffle; the text joins the candidates afterwards, once for each document that has any
     spread = _document_shingles(source, has_single).select("doc_id", "text_key", "pos", "shingle", F.size("words").alias("size"))
     salted = spread.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
@@ -100,37 +107,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     named = near.select("pos", "offset", "length", "window", "items", F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
     texts = source.dropDuplicates(["doc_id", "text_key"])
     checked = texts.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).filter(exact)
-    return rows, checked.select("doc_id", "text_key", start, "length", "items")
+    markers = source.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.lit(True).alias("marker"), F.lit(-1).alias("start"), F.lit(0).alias("length"), F.lit(None).cast("array<string>").alias("items"))
+    return markers.union(checked.select("doc_id", "text_key", F.size("words").cast("long"), F.lit(False), start, "length", "items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows, hits = contamination(docs, benchmark, n, key, text)
+    found = contamination(docs, benchmark, n, key, text)
     by_doc = Window.partitionBy("doc_id", "text_key").orderBy("start", "length")
     reach = F.max(F.col("start") + F.col("length")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     covered = F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest("start", F.coalesce(reach, F.lit(0))))
     # repeated rows of a document give each occurrence several times; the later ones cover nothing new
-    per_doc = (
-        hits.withColumn("covered", covered)
-        .groupBy("doc_id", "text_key")
-        .agg(F.sum("covered").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    per_doc = found.withColumn("covered", covered).groupBy("doc_id", "text_key").agg(
+        F.max("n_words").alias("n_words"),
+        F.sum("covered").cast("long").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.count_if("marker").cast("int").alias("rows"),
     )
-    return _named(rows, per_doc)
-
-
-def _named(rows: DataFrame, per_doc: DataFrame) -> DataFrame:
-    right = per_doc.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "n_hit", "items")
-    joined = rows.join(right, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")), "left")
-    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    return per_doc.select("*", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     """``docs`` without the documents that hold a whole window."""
-    _, hits = contamination(docs, benchmark, n)
+    hits = contamination(docs, benchmark, n).filter("not marker")
     gone = durable(hits.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__gone_key"))
     return docs.join(gone, same, "left_anti").select(*docs.columns)

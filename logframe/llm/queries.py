@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logframe.llm import bpe, chat, decontaminate, media, sharding, simhash, token_counts, toxicity
+from logframe.llm import bpe, chat, decontaminate, media, pii, secret_scan, sharding, simhash, token_counts, toxicity
 from logframe.llm.common import table
 
 SHARDS = 24
@@ -34,6 +34,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return secret_scan.scan(documents, *secret_scan.fit(documents))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -54,9 +63,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_media": op4_media,
         "op5_bpe": op5_bpe,
+        "op6_secrets": op6_secrets,
         "op7_simhash": op7_simhash,
         "op8_chat": op8_chat,
         "op9_token_counts": op9_token_counts,
+        "op10_pii": op10_pii,
     }
 
 
