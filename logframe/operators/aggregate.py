@@ -50,8 +50,8 @@ def count_by(df: DataFrame, fields: list[str], parser: str = "json", top: int |
         first = blocks.filter(F.col("__before") < members).select(*[_named(f).alias(f"__k{i}") for i, f in enumerate(fields)], F.col("__block").alias("__b"))
         same = [keyed[f"`{f}`"] == first[f"__k{i}"] for i, f in enumerate(fields)] + [F.floor(keyed["line_no"] / BLOCK) == first["__b"]]
         few = keyed.join(first, same, "left_semi")
-        lists = few.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("line_no")), 1, members).alias("line_indices"))
-        groups = groups.join(lists, fields) if all("." not in f for f in fields) else groups.join(lists, [groups[f"`{f}`"] == lists[f"`{f}`"] for f in fields]).select(*[groups[f"`{f}`"] for f in fields], "count", "line_indices")
+        lists = few.groupBy(*[_named(f).alias(f"__k{i}") for i, f in enumerate(fields)]).agg(F.slice(F.array_sort(F.collect_list("line_no")), 1, members).alias("line_indices"))
+        groups = groups.join(lists, [_named(f) == F.col(f"__k{i}") for i, f in enumerate(fields)]).select(*keys, "count", "line_indices")
     # groups, not lines: one row of totals joins them
     total = groups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_matches"))
     ordered = groups.crossJoin(F.broadcast(total)).orderBy(F.desc("count"), *keys)

@@ -57,5 +57,5 @@ def live_rate(stream: DataFrame, window: str = "5 seconds", slide: str = "1 seco
 
 def latest_generation(df: DataFrame) -> DataFrame:
     """Lines of each source's newest generation: what was read before a file shrank is dropped."""
-    newest = df.groupBy("source").agg(F.max("generation").alias("__newest"))
-    return df.join(newest, "source").filter(F.col("generation") == F.col("__newest")).drop("__newest")
+    newest = df.groupBy("source").agg(F.max("generation").alias("__newest")).select(F.col("source").alias("__source"), "__newest")
+    return df.join(newest, (F.col("source") == F.col("__source")) & (F.col("generation") == F.col("__newest"))).drop("__source", "__newest")
