@@ -74,7 +74,7 @@ class Language:
 def learn_language(docs: DataFrame, bound: int = DICTIONARY) -> Language:
     """The ``bound`` most frequent words of 3 to 12 letters over all documents, and their letter pairs."""
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-zß-öø-ÿ]+")).alias("word")).filter("length(word) between 3 and 12")
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(bound).collect()
+    top = durable(words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(bound)).collect()
     pairs = np.ones((26, 26))
     for word, n in top:
         at = [LETTERS.find(c) for c in word]
