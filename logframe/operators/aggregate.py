@@ -52,9 +52,8 @@ def count_by(df: DataFrame, fields: list[str], parser: str = "json", top: int |
         few = keyed.join(first, same, "left_semi")
         lists = few.groupBy(*[_named(f).alias(f"__k{i}") for i, f in enumerate(fields)]).agg(F.slice(F.array_sort(F.collect_list("line_no")), 1, members).alias("line_indices"))
         groups = groups.join(lists, [_named(f) == F.col(f"__k{i}") for i, f in enumerate(fields)]).select(*keys, "count", "line_indices")
-    # groups, not lines: one row of totals joins them
     total = groups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_matches"))
-    ordered = groups.crossJoin(F.broadcast(total)).orderBy(F.desc("count"), *keys)
+    ordered = groups.withColumn("total_matches", total.scalar()).orderBy(F.desc("count"), *keys)
     return ordered if top is None else ordered.limit(top)
 
 
