@@ -16,7 +16,7 @@ from logframe.operators import merge as mg
 from logframe.operators import position as po
 from logframe.operators import predicates as pr
 from logframe.operators.blocks import running
-from logframe.plans import lines as ln
+from logframe.plans import stored
 from logframe.plans.lines import SQL_JSON, SQL_LOGFMT, SQL_MIXED, SQL_PARTS, document_lines, json_lines, logfmt_lines, mixed_lines, numbered, table
 from logframe.sources.lines import missing_metadata, resolve_sources, valid_source_name
 
@@ -558,11 +558,11 @@ def _(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in _FOUND.items()}
+    return {name: f for name, (f, _) in (_FOUND | stored.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+    return {name: sql for name, (_, sql) in (_FOUND | stored.QUERIES).items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
