@@ -323,9 +323,6 @@ def _(spark, d):
     return ag.time_range(mixed_lines(spark, d))
 
 
-_LAST_TWO = "SELECT max(line_no) AS n2, max(arrival_ts) AS t2 FROM ev"
-
-
 @query("ingest_rate", _ev("""SELECT 'app' AS source, round((n2 - n1) / ((epoch_us(t2) - epoch_us(t1)) / 1e6), 9) AS lines_per_second
         FROM (SELECT max(line_no) AS n2, max(arrival_ts) AS t2 FROM ev), (SELECT max(line_no) AS n1, max(arrival_ts) AS t1 FROM ev WHERE line_no < (SELECT max(line_no) // 100 * 100 FROM ev))"""))
 def _(spark, d):
@@ -516,7 +513,7 @@ def _offsets(spark, d) -> DataFrame:
     return rows.withColumns({"byte_length": F.octet_length("content"), "fingerprint": md.fingerprint(F.col("content"))})
 
 
-@query("structural_violations", "SELECT 'app' AS source, event_id AS line_no, CASE WHEN event_id % 1000 = 77 THEN 'not at a line boundary' ELSE 'not at a line boundary' END AS problem FROM events WHERE event_id % 1000 IN (77, 78)")
+@query("structural_violations", "SELECT 'app' AS source, event_id AS line_no, 'not at a line boundary' AS problem FROM events WHERE event_id % 1000 IN (77, 78)")
 def _(spark, d):
     moved = F.when(F.col("line_no") % 1000 == 77, F.col("byte_offset") + 5).otherwise(F.col("byte_offset"))
     return ch.structural_violations(_offsets(spark, d).withColumn("byte_offset", moved), block=500).select("source", "line_no", "problem")
@@ -530,9 +527,9 @@ def _(spark, d):
     rows = _offsets(spark, d)
     points = ag.checkpoints(rows.withColumn("severity", md.severity(F.col("content"))))
     half = rows.groupBy("source").agg(F.floor(F.max("line_no") / 2).alias("half"))
-    edited = rows.join(half, "source").withColumn("fingerprint", F.when(F.col("line_no") < F.col("half"), F.col("fingerprint")).otherwise(F.col("fingerprint") + 0 + F.lit(1).cast("long") * 0).cast("long"))
-    edited = edited.withColumn("content", F.when(F.col("line_no") < F.col("half"), F.col("content")).otherwise(F.concat(F.lit("x"), F.col("content")))).withColumn("fingerprint", md.fingerprint(F.col("content")))
-    return ch.trusted_prefix(points, edited)
+    changed = F.when(F.col("line_no") < F.col("half"), F.col("content")).otherwise(F.concat(F.lit("x"), F.col("content")))
+    edited = rows.join(half, "source").withColumn("content", changed)
+    return ch.trusted_prefix(points, edited.withColumn("fingerprint", md.fingerprint(F.col("content"))))
 
 
 @query("repair", "SELECT event_id AS line_no, event_id >= 300 AS changed FROM events")
