@@ -43,7 +43,10 @@ TARGETS = frozenset("you your yours yourself he him his she her they them their
 NEGATIONS = frozenset("not no never isn aren wasn don doesn didn nicht kein keine nie pas jamais ne nunca jamás".split())
 REPORTS = frozenset("said says say quoted quote claimed wrote called reported sagte dit dijo".split())
 THREATS = frozenset("kill hurt destroy beat burn shoot stab töten tuer matar".split())
-INSULTS = frozenset("idiot moron scum loser stupid worthless pathetic disgusting trash clown".split())
+INSULTS = frozenset(
+    "idiot moron imbecile cretin dunce scum loser coward liar bastard lowlife subhuman stupid worthless pathetic disgusting trash garbage filth clown"
+    " trottel versager dummkopf imbécile crétin débile imbécil estúpido basura".split()
+)
 # end of fixed values
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
