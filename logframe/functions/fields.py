@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ENTRY = r"""(?U)=[\s\S]*|[^\s=]+(?:="(?:[^"\\]|\\[\s\S]|\\$)*"?|=\S*)?"""
+#: How a JSON document begins and ends.
+_DOCUMENT = r"""^[ \t\n\r]*(?:\{[\s\S]*\}|\[[\s\S]*\]|"[\s\S]*"|-?[0-9][0-9.eE+\-]*|true|false|null)[ \t\n\r]*$"""
 #: Text that a plain float reader takes: no suffix, no blanks.
 NUMBER = r"^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity|nan))$"
 
@@ -23,12 +25,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def json_variant(c: Column) -> Column:
     """The line's single JSON document inside an array, as a variant; null where the line is not strictly one document.
 
-    The parser stops after a first complete value, so the line must parse inside both
-    brackets and braces: trailing text that closes one of them early fails in the other.
+    A line that does not begin and end like a document is not parsed at all: a failing parse
+    costs more than a good one. The parser stops after a first complete value, so a line
+    that closes the bracket early could go on with anything; such a line must also parse
+    inside braces, where the same text fails.
     """
     named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     has = lambda x, i: F.try_variant_get(x, f"$[{i}]", "variant").isNotNull()
-    return let(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), lambda x: F.when(has(x, 0) & ~has(x, 1) & named.isNotNull(), x))
+    listed = F.when(c.rlike(_DOCUMENT), F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))))
+    return let(listed, lambda x: F.when(has(x, 0) & ~has(x, 1) & (~c.contains("]") | named.isNotNull()), x))
 
 
 def valid_json(c: Column) -> Column:
