@@ -28,6 +28,8 @@ from logframe.llm.components import connected
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints that one task holds of one bucket; larger buckets are cut into pairs of chunks of this size.
 CHUNK = 8192
+#: Most frequent fingerprints whose components are broadcast.
+HEAVY = 1000
 #: From how many members a bucket's links are found as a spanning forest.
 DENSE = 32
 #: (offset, bits, radius) of each segment. The radii r satisfy sum(r + 1) > distance.
@@ -182,14 +184,24 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments=None, chunk: int =
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) for every row; component_id is the smallest key reachable through links."""
+    """(doc_id, text_key, fp, root, component_id) for every row; component_id is the smallest key
+    reachable through links, root a fingerprint that names the component even if keys repeat.
+
+    Rows of the ``HEAVY`` most frequent fingerprints get theirs from a broadcast table, the
+    others by a join, so that a text with very many copies does not fill one partition.
+    """
     rows = durable(fingerprints(docs, key, text))
-    fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = connected(links(fps.select("fp"), distance))
+    fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    found = durable(connected(links(fps.select("fp"), distance)))
     named = found.join(fps, found.node == fps.fp).groupBy("root").agg(F.min("first").alias("least"))
-    moved = found.join(named, "root").select(F.col("node").alias("fp"), "least")
-    final = fps.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(final, "fp").select("doc_id", "text_key", "fp", "component_id")
+    moved = found.join(named, "root").select(F.col("node").alias("fp"), "root", "least")
+    final = fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"), "copies")
+    final = durable(final)
+    heavy = F.broadcast(final.filter("copies > 1").orderBy(F.desc("copies"), "fp").limit(HEAVY).drop("copies"))
+    columns = ["doc_id", "text_key", "fp", "root", "component_id"]
+    frequent = rows.join(heavy, "fp").select(*columns)
+    others = rows.join(heavy, "fp", "left_anti").join(final, "fp").select(*columns)
+    return frequent.union(others)
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -208,9 +220,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     )
     kept = docs.select("*", key)
     kept = kept.join(gone.distinct(), kept["doc_id"].eqNullSafe(F.col("__gone")) & (kept["__text_key"] == F.col("__gone_key")), "left_anti")
-    twice = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").count().filter("count > 1")
+    twice = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").count().filter("count > 1")
     if not twice.isEmpty():  # repeated ids: rare, so only then are the kept rows dealt again
-        ids = groups.select("doc_id", "text_key", "component_id").distinct()
-        ids = ids.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("component_id").alias("__component"))
-        kept = kept.join(ids, kept["doc_id"].eqNullSafe(ids["__id"]) & (kept["__text_key"] == ids["__key"])).dropDuplicates(["__component"])
+        ids = groups.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("root").alias("__root")).distinct()
+        kept = kept.join(ids, kept["doc_id"].eqNullSafe(ids["__id"]) & (kept["__text_key"] == ids["__key"])).dropDuplicates(["__root"])
     return kept.select(*docs.columns)
