@@ -74,7 +74,15 @@ class Language:
 def learn_language(docs: DataFrame, bound: int = DICTIONARY) -> Language:
     """The ``bound`` most frequent words of 3 to 12 letters over all documents, and their letter pairs."""
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-zß-öø-ÿ]+")).alias("word")).filter("length(word) between 3 and 12")
-    top = durable(words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(bound)).collect()
+    counts = durable(words.groupBy("word").count())
+    # a coarse histogram of the counts tells from which count on about ``bound`` words are left to sort
+    step = F.floor(F.log2("count") * 8).cast("int")
+    least, seen = 0, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        least, seen = r["step"], seen + r["n"]
+        if seen >= bound:
+            break
+    top = counts.filter(step >= least).orderBy(F.desc("count"), "word").limit(bound).collect()
     pairs = np.ones((26, 26))
     for word, n in top:
         at = [LETTERS.find(c) for c in word]
