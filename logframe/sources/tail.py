@@ -3,6 +3,12 @@
 The driver only finds where complete lines end; tasks read the byte ranges. A file that
 became smaller starts a new generation and is read from its beginning. Files must be on
 storage that the driver and all executors see.
+
+Options: ``path`` (a folder of ``*.log`` files, or a glob), ``maxBytesPerBatch``,
+``rangeBytes`` (of one task), and ``state``, a file in which the source keeps its last
+committed place. A restarted query goes on from its checkpoint without ``state``, too;
+with it, its first batch is limited like the others if the query is new, and it notices
+files that shrank while it was down.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import sys
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -40,6 +47,7 @@ class TailReader(DataSourceStreamReader):
         self.path = options["path"]
         self.batch_bytes = int(options.get("maxbytesperbatch", options.get("maxBytesPerBatch", BATCH_BYTES)))
         self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
+        self.state = options.get("state")
         self.at: dict | None = None
 
     def files(self) -> list[str]:
@@ -48,9 +56,18 @@ class TailReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
+    def remembered(self) -> dict | None:
+        if self.state and os.path.exists(self.state):
+            with open(self.state) as f:
+                return json.load(f)
+        return None
+
     def latestOffset(self) -> dict:
-        known = json.loads(self.at["files"]) if self.at else {}
-        left = self.batch_bytes
+        # Spark does not tell the place to go on from, and the remembered one may lag behind it: a first batch
+        # that may be a restart's takes all there is, so that it cannot end before it starts
+        known = json.loads(self.at["files"]) if self.at else self.remembered()
+        first = self.at is None and not (self.state and known is None)
+        known, left = known or {}, sys.maxsize if first else self.batch_bytes
         for path in self.files():
             done, generation = known.get(path, [0, 0])
             size = os.path.getsize(path)
@@ -65,7 +82,7 @@ class TailReader(DataSourceStreamReader):
         return self.at
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        self.at = self.at or end
+        self.at = self.at or end  # a batch run again after a restart
         old, new, out = json.loads(start["files"]), json.loads(end["files"]), []
         for path, (stop, generation) in sorted(new.items()):
             begin, before = old.get(path, [0, 0])
@@ -93,7 +110,10 @@ class TailReader(DataSourceStreamReader):
                 at += len(raw)
 
     def commit(self, end: dict) -> None:
-        pass
+        if self.state:
+            with open(f"{self.state}.new", "w") as f:
+                f.write(end["files"])
+            os.replace(f"{self.state}.new", self.state)
 
     def stop(self) -> None:
         pass

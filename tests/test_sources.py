@@ -89,6 +89,26 @@ def test_tail_follows_and_restarts(spark, tmp_path):
     assert sorted(r.content for r in newest.collect()) == ["new", "other"]
 
 
+def test_tail_goes_on_after_a_stop(spark, tmp_path):
+    tail.register(spark)
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+    logs.mkdir()
+    f = logs / "x.log"
+    f.write_bytes(b"".join(b"line %d\n" % i for i in range(10)))
+
+    def run():
+        stream = spark.readStream.format("log_tail").option("path", str(logs)).option("maxBytesPerBatch", "20").option("state", str(tmp_path / "state.json")).load()
+        drain(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).start())
+        return sorted((r.generation, int(r.content.split()[1])) for r in spark.read.schema(stream.schema).parquet(out).collect())
+
+    assert run() == [(0, i) for i in range(10)]
+    with f.open("ab") as h:
+        h.write(b"".join(b"line %d\n" % i for i in range(10, 14)))
+    assert run() == [(0, i) for i in range(14)]
+    f.write_bytes(b"line 99\n")
+    assert run() == [(0, i) for i in range(14)] + [(1, 99)]
+
+
 TEXTS = ['{"level":"error","s":"a"}', '{"level":"info","s":"b"}', "plain warn", '{"level":"error","s":"a"}', "", '{"s":"c"}']
 
 
