@@ -147,13 +147,13 @@ def _letters(seed: Column, length: Column) -> Column:
     return F.translate(F.substring(F.sha2(seed, 256), F.lit(1), F.least(length, F.lit(32))), "0123456789abcdef", "bcdfghjklmnpqrst")
 
 
-def _like_email(entity: Column, salt: Column) -> Column:
+def _like_email(entity: Column, salt: Column, key: str) -> Column:
     local, domain = F.regexp_extract(entity, "^([^@]*)@", 1), F.regexp_extract(entity, r"@(.*)\.[^.]*$", 1)
     top, digits = F.regexp_extract(entity, r"(\.[^.]*)$", 1), F.regexp_extract(local, "([0-9]+)$", 1)
     gap = F.when((digits != "") & local.rlike(r"[._%+\-][0-9]+$"), F.regexp_extract(local, r"([._%+\-])[0-9]+$", 1)).otherwise(F.lit(""))
     number = F.when(digits == "", F.lit("")).otherwise(F.substring(F.lpad(_number(F.concat(salt, F.lit("n"), entity)).cast("string"), 20, "0"), F.lit(8), F.least(F.length(digits), F.lit(12))))
     words = _letters(F.concat(salt, F.lit("l"), entity), F.greatest(F.length(local), F.lit(12)))
-    return F.concat(words, gap, number, F.lit("@"), _letters(F.concat(F.lit(KEY), F.lit("d"), domain), F.lit(12)), top)
+    return F.concat(words, gap, number, F.lit("@"), _letters(F.concat(F.lit(key), F.lit("d"), domain), F.lit(12)), top)
 
 
 def _like_name(entity: Column, salt: Column) -> Column:
@@ -172,7 +172,7 @@ def _like_name(entity: Column, salt: Column) -> Column:
 def surrogate(entity: Column, kind: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement of an entity; ``attempt`` changes the key."""
     salt = F.concat_ws("|", F.lit(key), kind, attempt.cast("string"))
-    made = F.when(kind == "email", _like_email(entity, salt)).when(kind == "card", _like_card(entity, salt)).when(kind == "ip", _like_ip(entity, salt))
+    made = F.when(kind == "email", _like_email(entity, salt, key)).when(kind == "card", _like_card(entity, salt)).when(kind == "ip", _like_ip(entity, salt))
     return made.when(kind == "name", _like_name(entity, salt)).otherwise(_like_number(entity, salt))
 
 

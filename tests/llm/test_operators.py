@@ -317,6 +317,8 @@ def test_surrogates(spark, odd, empty):
     names = re.match(r"Mr\. (\w+) (\w+) met Mrs (\w+), Frau (\w+), Господин ([а-яА-Я]+);", got[2].text)
     assert names[1] in pii.GIVEN["latin", "male"] and names[2] == names[3] and names[4] not in ("Müller", names[2])
     assert pii.surrogates(df, key="other").filter("doc_id = 0").first().text != got[0].text
+    domain = lambda text: re.search(r"@(\w+)\.com", text)[1]
+    assert domain(pii.surrogates(df, key="other").filter("doc_id = 1").first().text) != domain(got[1].text)
     kept = {(r.doc_id, r.text) for r in pii.surrogates(clashing(odd)).collect()}
     assert kept == {(r.doc_id, r.text) for r in odd.collect()}
     assert rows(pii.surrogates(empty)) == []
