@@ -19,6 +19,8 @@ from logframe.llm import bpe, decontaminate, secret_scan, simhash, toxicity
 from logframe.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
+#: Jaccard similarity of five-word shingles from which documents are near duplicates, besides op7's 4 bits.
+SIMILARITY = 0.8
 #: A forest, learned weights and the tokenizer's rules are not expressible in SQL; tests use brute force.
 ORACLE_SQL = None
 
@@ -28,7 +30,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, similarity=SIMILARITY)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ bits agree up to a small radius in at least one segment, so each fingerprint loo
 the Hamming ball of that radius around each of its segments in a table of all segments,
 and the complete distance decides. Equal fingerprints are one node from the start.
 
+With a ``similarity`` (the pipeline's stage), texts are linked as well where the Jaccard
+similarity of their shingles of one word more is at least that. MinHash bands find the
+candidates: a pair at 0.8 meets in one of 20 bands of 4 with probability 0.99997. The
+shingle sets themselves decide.
+
 Texts without words, empty and null ones have fingerprint zero. Null keys take part but
 never name a component unless it has no other key. Repeated rows give repeated results.
 Extra columns of the input are ignored.
@@ -36,20 +41,29 @@ DENSE = 32
 SEGMENTS_SMALL = ((0, 22, 0), (22, 21, 1), (43, 21, 1))
 SEGMENTS_LARGE = ((0, 32, 2), (32, 32, 1))
 LARGE = 1 << 28
+#: MinHash bands and the values in each; texts that one task compares of one bucket.
+BANDS, BAND_VALUES, TEXTS = 20, 4, 1024
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """SimHash of the word shingles of one text, as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> list[int]:
+    """A hash of each word shingle of one text, in order; of the whole text where it is shorter."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return []
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(parts) - words + 1)
     last = ends[-1:] if len(parts) < words else ends[words - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)]
+    return [digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)]
+
+
+def _majority(hashes: list[int]) -> int:
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, n, 8192):
         block = np.array(hashes[i : i + 8192], dtype=">u8")
@@ -57,16 +71,49 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_key, fp) for every row; text_key is a hash of the text itself."""
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """SimHash of the word shingles of one text, as a signed 64-bit integer."""
+    return _majority(shingle_hashes(text, words, seed))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(hashes: list[int]) -> np.ndarray:
+    """Distinct shingles of one word more: each is two adjacent ones. A text of one shingle keeps it."""
+    h = np.array(hashes, dtype=np.uint64)
+    return np.unique(_mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h)
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """One value for each MinHash band, as signed 64-bit integers; none for no shingles."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[i : i + 1024, None] * _FACTORS).min(axis=0))
+    value = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_VALUES).T:
+        value = _mix(value * np.uint64(0x9E3779B97F4A7C15) + column)
+    return value.view(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", banded: bool = False) -> DataFrame:
+    """(doc_id, text_key, fp) for every row; text_key is a hash of the text itself. ``banded`` adds the MinHash bands."""
     import pyarrow as pa
 
     def run(batch):
-        fps = pa.array([fingerprint(t) for t in batch.column(2).to_pylist()], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["doc_id", "text_key", "fp"])
+        hashes = [shingle_hashes(t) for t in batch.column(2).to_pylist()]
+        out = [batch.column(0), batch.column(1), pa.array(map(_majority, hashes), pa.int64())]
+        if banded:
+            out.append(pa.array([bands(shingle_set(h)) for h in hashes], pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(out, names=["doc_id", "text_key", "fp", "bands"][: len(out)])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return map_arrow(rows, run, "doc_id long, text_key long, fp long")
+    return map_arrow(rows, run, "doc_id long, text_key long, fp long" + (", bands array<long>" if banded else ""))
 
 
 def _masks(bits: int, radius: int) -> list[int]:
@@ -161,38 +208,117 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments=None, chunk: int =
     dealt = counted.select("seg", "value", "own", "fp", F.explode(pairs.cast("array<long>")).alias("pair"))
     ordered = dealt.repartition("seg", "value", "pair").sortWithinPartitions("seg", "value", "pair", F.desc("own"), "fp")
 
+    return ordered.mapInPandas(_whole_buckets(["seg", "value", "pair"], lambda pdf: _bucket_links(pdf, distance)), "a long, b long").distinct()
+
+
+def _whole_buckets(names: list[str], fn):
+    """A function of batches sorted by bucket that gives ``fn`` whole buckets, whatever the batches' borders."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
             if not len(batch):
                 continue
-            keys = batch[["seg", "value", "pair"]].to_numpy()
+            keys = batch[names].to_numpy()
             inside = (keys == keys[-1]).all(axis=1)
             cut = len(batch) - int(inside.sum())  # the last bucket may go on in the next batch
             if cut:
-                yield _bucket_links(pd.concat([*held, batch[:cut]], ignore_index=True), distance)
+                yield fn(pd.concat([*held, batch[:cut]], ignore_index=True))
                 held = [batch[cut:]]
-            elif held and not (held[-1][["seg", "value", "pair"]].to_numpy()[-1] == keys[-1]).all():
-                yield _bucket_links(pd.concat(held, ignore_index=True), distance)
+            elif held and not (held[-1][names].to_numpy()[-1] == keys[-1]).all():
+                yield fn(pd.concat(held, ignore_index=True))
                 held = [batch]
             else:
                 held.append(batch)
         if held:
-            yield _bucket_links(pd.concat(held, ignore_index=True), distance)
+            yield fn(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _similar_in_bucket(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs whose Jaccard similarity is at least ``similarity``."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    marked = np.zeros(int(ids.max()) + 1, dtype=np.int64)
+    left, out = np.arange(1, len(sets)), []
+    stack = [0]
+    while len(left):
+        if not stack:
+            stack, left = [left[0]], left[1:]
+            continue
+        at = stack.pop()
+        own = ids[begins[at] : begins[at] + sizes[at]]
+        marked[own] = 1
+        both = np.add.reduceat(marked[ids], begins)[left]
+        marked[own] = 0
+        near = both >= similarity * (sizes[left] + sizes[at] - both) - 1e-9
+        out += [(int(at), int(x)) for x in left[near]]
+        stack.extend(left[near])
+        left = left[~near]
+    return out
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, similarity: float, key: str = "doc_id", text: str = "text", chunk: int = TEXTS) -> DataFrame:
+    """Edges (a, b) between fingerprints of texts whose shingle sets have at least ``similarity``; ``rows`` are banded fingerprints.
+
+    Only texts that share a band are compared, each distinct text once. Bands with equal
+    members are one bucket; a bucket above ``chunk`` texts is cut into pairs of chunks.
+    """
+    band = Window.partitionBy("value")
+    met = (
+        rows.select(F.explode("bands").alias("value"), "text_key").distinct()
+        .withColumns({"members": F.count("*").over(band), "sum": F.sum(F.shiftright(F.xxhash64("text_key"), 24)).over(band)})
+        .filter("members > 1")
+    )
+    met = durable(met.select(F.xxhash64("members", "sum").alias("bucket"), "members", "text_key").distinct())
+    wanted = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).join(met.select("text_key").distinct(), "text_key", "left_semi")
+    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    source = source.join(wanted, source["doc_id"].eqNullSafe(F.col("__id")) & (source["text_key"] == F.col("__key"))).select("doc_id", "text_key", "text")
+
+    def sets(batch):
+        import pyarrow as pa
+
+        hashes = [shingle_hashes(t) for t in batch.column(2).to_pylist()]
+        made = pa.array([shingle_set(h).tobytes() for h in hashes], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(map(_majority, hashes), pa.int64()), made], names=["text_key", "fp", "shingles"])
+
+    texts = map_arrow(source, sets, "text_key long, fp long, shingles binary").dropDuplicates(["text_key"])
+    k = F.ceil(F.col("members") / chunk).cast("int")
+    mine = F.pmod(F.xxhash64("text_key"), k).cast("int")
+    pairs = F.when(k == 1, F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.least(x, mine) * k + F.greatest(x, mine))
+    )
+    dealt = met.select("bucket", "text_key", F.explode(pairs.cast("array<long>")).alias("pair")).join(texts, "text_key")
+    ordered = dealt.select("bucket", "pair", "fp", "shingles").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "fp")
+
+    def similar(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, group in pdf.groupby(["bucket", "pair"], sort=False):
+            fp = group["fp"].to_numpy()
+            for x, y in _similar_in_bucket([np.frombuffer(s, np.uint64) for s in group["shingles"]], similarity):
+                a.append(fp[x])
+                b.append(fp[y])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return ordered.mapInPandas(run, "a long, b long").distinct()
+    return ordered.mapInPandas(_whole_buckets(["bucket", "pair"], similar), "a long, b long").filter("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """(doc_id, text_key, fp, root, component_id) for every row; component_id is the smallest key
     reachable through links, root a fingerprint that names the component even if keys repeat.
 
     Rows of the ``HEAVY`` most frequent fingerprints get theirs from a broadcast table, the
     others by a join, so that a text with very many copies does not fill one partition.
     """
-    rows = durable(fingerprints(docs, key, text))
+    rows = durable(fingerprints(docs, key, text, banded=similarity is not None))
     fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    found = durable(connected(links(fps.select("fp"), distance)))
+    edges = links(fps.select("fp"), distance)
+    if similarity is not None:
+        edges = edges.union(similar_links(docs, rows, similarity, key, text))
+    found = durable(connected(edges))
     named = found.join(fps, found.node == fps.fp).groupBy("root").agg(F.min("first").alias("least"))
     moved = found.join(named, "root").select(F.col("node").alias("fp"), "root", "least")
     final = fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"), "copies")
@@ -211,9 +337,9 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", dis
     )
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest doc_id; rows repeated whole are kept once."""
-    groups = durable(near_duplicates(docs, distance=distance))
+    groups = durable(near_duplicates(docs, distance=distance, similarity=similarity))
     key = F.xxhash64("text").alias("__text_key")
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")
