@@ -8,7 +8,8 @@ next to it. It is trained on labelled findings: a table (doc_id, begin, label),
 none is given, findings labelled by the name they are assigned to.
 
 The dictionary and the transitions come from word counts over the whole corpus. Training
-takes at most ``FINDINGS`` findings, those with the smallest hash. Whole texts are
+takes at most ``FINDINGS`` distinct findings, half of each class, those with the smallest
+hash. Where one class has none, no forest is trained and the weak label decides. Whole texts are
 scanned. Null and empty texts have no candidates. Offsets count code points. Repeated
 rows give repeated results; a table without findings is left as it is.
 """
@@ -185,15 +186,24 @@ def _tree(lines: list[str]):
     return float(line.split("Predict:")[1])
 
 
+def sample(labelled: DataFrame, bound: int = FINDINGS) -> DataFrame:
+    """(label, x, weight) of distinct findings; of each class the ``bound`` / 2 with the smallest hash.
+
+    Copies count as a weight, 1 + log of their number, and take no place in the sample.
+    """
+    distinct = durable(labelled.groupBy("label", "x").agg((1 + F.log(F.count("*"))).alias("weight")))
+    of = lambda c: distinct.filter(F.col("label") == c).orderBy(F.xxhash64("x"), "x").limit(bound // 2)
+    return durable(of(0).union(of(1)))
+
+
 def train(found: DataFrame, labels: DataFrame | None = None, bound: int = FINDINGS) -> Forest:
     """A random forest from labelled findings (doc_id, begin, label), or from weak labels."""
     labelled = found.withColumn("label", F.col("weak")) if labels is None else found.join(labels.select("doc_id", "begin", "label"), ["doc_id", "begin"])
-    rows = labelled.filter("label is not null").select(F.col("label").cast("double"), "x")
-    rows = durable(rows.orderBy(F.xxhash64("x"), "x", "label").limit(bound))
+    rows = sample(labelled.filter("label is not null").select(F.col("label").cast("double"), "x"), bound)
     if rows.select("label").distinct().count() < 2:
         return Forest(())
-    frame = rows.select("label", array_to_vector("x").alias("features"))
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=2).fit(frame)
+    frame = rows.select("label", "weight", array_to_vector("x").alias("features"))
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=2, weightCol="weight").fit(frame)
     return Forest(tuple(_tree([x for x in t.toDebugString.splitlines()[1:] if x.strip()]) for t in model.trees))
 
 

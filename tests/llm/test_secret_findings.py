@@ -1,0 +1,17 @@
+"""Training samples, candidates and the dictionary of the secret scan."""
+
+from pyspark.sql import functions as F
+
+from logframe.llm import secret_scan
+
+
+def test_copies_take_no_place_in_the_sample(spark):
+    n = len(secret_scan.FEATURES)
+    made = [(1.0, [float(i)] * n) for i in range(30)] + [(0.0, [float(i)] * n) for i in range(100, 130)]
+    hot = spark.range(5000).select(F.lit(0.0).alias("label"), F.array(*[F.lit(200.0)] * n).alias("x"))
+    df = spark.createDataFrame(made, "label double, x array<double>").union(hot)
+    got = secret_scan.sample(df, 100).collect()
+    assert len({(r.label, tuple(r.x)) for r in got}) == len(got) == 61
+    assert {r.weight for r in got if r.x[0] < 200} == {1.0} and [r.weight > 9 for r in got if r.x[0] == 200] == [True]
+    forest = secret_scan.train(df.select(F.lit(1).alias("doc_id"), F.lit(1).alias("begin"), F.col("label").cast("int").alias("weak"), "x"), bound=100)
+    assert forest.trees and forest.vote([10.0] * n) > 0.5 > forest.vote([115.0] * n)
