@@ -1,7 +1,8 @@
 """Secret scans: candidates in texts, sifted by a random forest.
 
-Candidates are assigned values (``name = "value"``) and free-standing runs of at least
-``SHORTEST`` token characters with a digit. A random forest removes false positives by
+Candidates are assigned values (``name = "value"``, ``name: value``) of any length and any
+characters, to the closing quote or up to white space, and runs of at least ``SHORTEST``
+token characters with a digit. Assignments inside values are candidates, too. A random forest removes false positives by
 the candidate's length and character classes, its character transitions under a model of
 the corpus's own words, its coverage by the corpus dictionary, its path, and the words
 next to it. It is trained on labelled findings: a table (doc_id, begin, label), or, where
@@ -35,9 +36,12 @@ DICTIONARY, FINDINGS = 5_000, 20_000
 TREES, DEPTH = 24, 6
 PLACEHOLDER = "[SECRET]"
 CANDIDATE = re.compile(r"[A-Za-z0-9_\-+/]{%d,}={0,2}" % SHORTEST)
-ASSIGNED = re.compile(r"""([A-Za-z][\w\-]*)\s*(?:=|:=|:)\s*["'`]?$""")
+SEPARATOR = re.compile(r"[:=][=>]?\s{0,8}")
+NAME = re.compile(r"""([A-Za-z][\w\-]*)["'`]?\s*$""")
+VALUE = re.compile(r""""(?P<a>(?:\\.|[^"\\\n])+)"|'(?P<b>(?:\\.|[^'\\\n])+)'|`(?P<c>[^`\n]+)`|["'`]?(?P<d>[^\s"'`]\S*)""")
+ASSIGNED = re.compile(r"""([A-Za-z][\w\-]*)["'`]?\s*[:=][=>]?\s*["'`]?$""")
 # fixed values: words of secret and of harmless names, known key beginnings, path words
-SECRET_NAMES = re.compile(r"(?i)token|secret|passw|pwd|api_?key|access_?key|private_?key|credential|bearer|auth")
+SECRET_NAMES = re.compile(r"(?i)token|secret|passw|pwd|api_?key|access_?key|private_?key|credential|bearer|auth(?!or(?:s|ed|it\w*)?\b)")
 HARMLESS_NAMES = re.compile(r"(?i)^(sha\d*|md5|hash|checksum|digest|commit|rev|revision|uuid|guid|id|etag|integrity|version|example)$")
 PREFIXES = re.compile(r"^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ)")
 TEST_PATHS = re.compile(r"(?i)test|example|sample|mock|fixture|lock|vendor|docs?/")
@@ -48,6 +52,8 @@ FEATURES = (
 )
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 48
+#: Bits a character from which a free-standing run may be a key.
+RANDOM = 3.0
 
 
 @dataclass(frozen=True)
@@ -95,14 +101,13 @@ def learn_language(docs: DataFrame, bound: int = DICTIONARY) -> Language:
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """(begin, end) of each candidate: long runs that hold a digit, or that a name is assigned."""
+    """(begin, end) of each candidate, in order; one may lie inside another."""
     text = text or ""
-    found = []
-    for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if any(c.isdigit() for c in value) or ASSIGNED.search(text[max(0, m.start() - WINDOW) : m.start()]):
-            found.append(m.span())
-    return found
+    found = {m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0])}
+    for m in SEPARATOR.finditer(text):
+        if NAME.search(text[max(0, m.start() - WINDOW) : m.start()]) and (value := VALUE.match(text, m.end())):
+            found.add(value.span(value.lastgroup))
+    return sorted(found)
 
 
 def features(text: str, begin: int, end: int, path: str | None, language: Language) -> list[float]:
@@ -125,14 +130,20 @@ def features(text: str, begin: int, end: int, path: str | None, language: Langua
 def weak_label(x: list[float]) -> int | None:
     """1 or 0 by the assigned name or a known beginning; None where they say nothing sure.
 
-    A long number and a value mostly made of dictionary words are no secrets.
+    A long number and a value mostly made of dictionary words are no secrets, unless a
+    secret name has them: there only plain words are none, and a number is not sure. Nothing
+    is sure of a free-standing run that may be random.
     """
     f = dict(zip(FEATURES, x, strict=True))
-    if f["digits"] == 1 or f["coverage"] > 0.6 or f["harmless_name"] or f["distinct"] < 0.1:
+    if f["harmless_name"]:
         return 0
-    if f["prefix"] or f["secret_name"]:
+    if f["secret_name"]:
+        return None if f["digits"] == 1 else int(f["coverage"] <= 0.6 or f["digits"] + f["other"] > 0)
+    if f["digits"] == 1 or f["coverage"] > 0.6 or f["distinct"] < 0.1:
+        return 0
+    if f["prefix"]:
         return 1
-    return None if f["assigned"] or f["near_secret"] else 0
+    return None if f["assigned"] or f["near_secret"] or f["entropy"] >= RANDOM else 0
 
 
 def findings(docs: DataFrame, language: Language, path: str | None = "source") -> DataFrame:
@@ -213,9 +224,15 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, path: str | None = "so
 
 
 def secrets_in(text: str | None, path: str | None, language: Language, forest: Forest) -> tuple[int, list[tuple[int, int]]]:
-    """Number of candidates, and the spans of those that the forest keeps."""
-    found = candidates(text)
-    return len(found), [(b, e) for b, e in found if forest.vote(features(text or "", b, e, path, language)) >= 0.5]
+    """Number of candidates, and the spans of those that the forest keeps; spans that overlap are one."""
+    found, kept = candidates(text), []
+    for b, e in found:
+        if forest.vote(features(text or "", b, e, path, language)) >= 0.5:
+            if kept and b < kept[-1][1]:
+                kept[-1] = (kept[-1][0], max(e, kept[-1][1]))
+            else:
+                kept.append((b, e))
+    return len(found), kept
 
 
 def scan(docs: DataFrame, language: Language, forest: Forest, path: str | None = "source") -> DataFrame:

@@ -15,3 +15,29 @@ def test_copies_take_no_place_in_the_sample(spark):
     assert {r.weight for r in got if r.x[0] < 200} == {1.0} and [r.weight > 9 for r in got if r.x[0] == 200] == [True]
     forest = secret_scan.train(df.select(F.lit(1).alias("doc_id"), F.lit(1).alias("begin"), F.col("label").cast("int").alias("weak"), "x"), bound=100)
     assert forest.trees and forest.vote([10.0] * n) > 0.5 > forest.vote([115.0] * n)
+
+
+def test_whole_values_are_candidates():
+    of = lambda text: [text[b:e] for b, e in secret_scan.candidates(text)]
+    assert of('password = "hunter2!"') == ["hunter2!"]
+    assert of("pwd: a.b!c@d$e next") == ["a.b!c@d$e"]
+    assert of('{"api_key": "x y z", "n": 1}') == ["x y z", "1}"]
+    assert of('url=https://h/?token=abc.def') == ["https://h/?token=abc.def", "//h/?token=abc.def", "abc.def"]
+    assert of("words only, 12:30 and nothing else") == [] and of(None) == [] and of('password = ""') == []
+    assert of("-----BEGIN KEY-----\nMIIEpAIBAAKCAQEA7bq9Xk2\n") == ["MIIEpAIBAAKCAQEA7bq9Xk2"]
+    assert len(of("x" * 200_000 + "=" * 1000)) <= 2
+
+
+def test_weak_labels_and_redaction(spark):
+    language = secret_scan.Language(frozenset({"hunter", "please", "words"}), ((-3.0,) * 26,) * 26)
+
+    def label(text, value):
+        b = text.index(value)
+        return secret_scan.weak_label(secret_scan.features(text, b, b + len(value), None, language))
+
+    assert label('password = "hunter2!"', "hunter2!") == 1 and label("password: please", "please") == 0
+    assert label("\nMIIEpAIBAAKCAQEA7bq9Xk2\n", "MIIEpAIBAAKCAQEA7bq9Xk2") is None  # a line of a PEM key is not taught as clean
+    assert label("author: Xqzw", "Xqzw") is None
+    docs = spark.createDataFrame([(1, 'password = "hunter2!" and secret=a.b!c, url=http://h/?pwd=zz9!q end', 1)], "doc_id long, text string, n_chars long")
+    got = secret_scan.redact(docs, language, secret_scan.Forest(())).first()
+    assert got.text == 'password = "[SECRET]" and secret=[SECRET] url=http://h/?pwd=[SECRET] end' and got.n_chars == len(got.text)
