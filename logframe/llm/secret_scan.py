@@ -8,7 +8,8 @@ the corpus's own words, its coverage by the corpus dictionary, its path, and the
 next to it. It is trained on labelled findings: a table (doc_id, begin, label), or, where
 none is given, findings labelled by the name they are assigned to.
 
-The dictionary and the transitions come from word counts over the whole corpus. Training
+The dictionary and the transitions come from word counts over the whole corpus: the words
+that a ``SHARE`` of all documents hold, and the letter pairs of every word. Training
 takes at most ``FINDINGS`` distinct findings, half of each class, those with the smallest
 hash. Where one class has none, no forest is trained and the weak label decides. Whole texts are
 scanned. Null and empty texts have no candidates. Offsets count code points. Repeated
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from logframe.llm.common import durable
 
 SHORTEST = 16
-#: Bounds on the dictionary and on the training findings.
-DICTIONARY, FINDINGS = 5_000, 20_000
+#: Share of the documents that hold a dictionary word, and the bound on the training findings.
+SHARE, FINDINGS = 0.001, 20_000
 TREES, DEPTH = 24, 6
 PLACEHOLDER = "[SECRET]"
 CANDIDATE = re.compile(r"[A-Za-z0-9_\-+/]{%d,}={0,2}" % SHORTEST)
@@ -58,7 +59,7 @@ RANDOM = 3.0
 
 @dataclass(frozen=True)
 class Language:
-    """What the corpus's words look like: its frequent words, and log probabilities of letter pairs."""
+    """What the corpus's words look like: its common words, and log probabilities of letter pairs."""
 
     words: frozenset[str]
     pairs: tuple[tuple[float, ...], ...]
@@ -78,26 +79,22 @@ class Language:
         return covered / max(1, len(low))
 
 
-def learn_language(docs: DataFrame, bound: int = DICTIONARY) -> Language:
-    """The ``bound`` most frequent words of 3 to 12 letters over all documents, and their letter pairs."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-zß-öø-ÿ]+")).alias("word")).filter("length(word) between 3 and 12")
+def learn_language(docs: DataFrame, share: float = SHARE) -> Language:
+    """The words of 3 to 12 letters in at least ``share`` of the documents, and the letter pairs of all such words.
+
+    A word counts once for each document that holds it. Their number is bounded by the
+    distinct words of a mean document over ``share``, at every size of the table.
+    """
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-zß-öø-ÿ]+"))).alias("word")).filter("length(word) between 3 and 12")
     counts = durable(words.groupBy("word").count())
-    # a coarse histogram of the counts tells from which count on about ``bound`` words are left to sort
-    step = F.floor(F.log2("count") * 8).cast("int")
-    least, seen = 0, 0
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        least, seen = r["step"], seen + r["n"]
-        if seen >= bound:
-            break
-    top = counts.filter(step >= least).orderBy(F.desc("count"), "word").limit(bound).collect()
+    top = counts.filter(F.col("count") >= share * docs.count()).select("word").collect()
     pairs = np.ones((26, 26))
-    for word, n in top:
-        at = [LETTERS.find(c) for c in word]
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if a >= 0 and b >= 0:
-                pairs[a, b] += n
+    at = F.sequence(F.lit(1), F.length("word") - 1)
+    cut = counts.select(F.explode(F.transform(at, lambda i: F.substring("word", i, F.lit(2)))).alias("pair"), "count")
+    for pair, n in cut.filter(F.col("pair").rlike("^[a-z]{2}$")).groupBy("pair").agg(F.sum("count")).collect():
+        pairs[LETTERS.index(pair[0]), LETTERS.index(pair[1])] += n
     logs = np.round(np.log(pairs / pairs.sum(axis=1, keepdims=True)), 6)
-    return Language(frozenset(w for w, _ in top), tuple(map(tuple, logs.tolist())))
+    return Language(frozenset(r["word"] for r in top), tuple(map(tuple, logs.tolist())))
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:

@@ -41,3 +41,21 @@ def test_weak_labels_and_redaction(spark):
     docs = spark.createDataFrame([(1, 'password = "hunter2!" and secret=a.b!c, url=http://h/?pwd=zz9!q end', 1)], "doc_id long, text string, n_chars long")
     got = secret_scan.redact(docs, language, secret_scan.Forest(())).first()
     assert got.text == 'password = "[SECRET]" and secret=[SECRET] url=http://h/?pwd=[SECRET] end' and got.n_chars == len(got.text)
+
+
+def test_language_of_a_large_vocabulary(spark):
+    """Over 5,000 words in common use, one source with a third of the rows, and letter pairs of words outside the dictionary."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    common = [name(7 * i) for i in range(8000)]
+    texts = [" ".join(common[i % 4 :: 4]) for i in range(40)] + ["hot words here"] * 20 + ["zqzqzqzq"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    language = secret_scan.learn_language(docs, share=0.1)
+    assert language.words == {*common, "hot", "words", "here"}
+    zq, plain = letter("z"), secret_scan.learn_language(docs.filter("doc_id < 60"), share=0.1)
+    assert language.pairs[zq][letter("q")] > plain.pairs[zq][letter("q")]  # a rare word's pairs count
+    twice = secret_scan.learn_language(docs.union(docs), share=0.1)
+    assert twice.words == language.words
+
+
+def letter(c):
+    return secret_scan.LETTERS.index(c)
