@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from logframe.llm import bpe, chat, components, decontaminate, media, pii, secret_scan, sharding, simhash, token_counts, toxicity
+from logframe.llm import bpe, chat, components, decontaminate, media, secret_scan, sharding, simhash, token_counts, toxicity
 from tests.llm.conftest import clashing
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -296,56 +296,3 @@ def test_token_counts(documents, odd, empty):
         expect = sorted(((d, len((t or "").encode()), want(t), want(t) > 1024) for d, t in df.select("doc_id", "text").collect()), key=repr)
         assert sorted(rows(token_counts.count_tokens(df, BYTES)), key=repr) == expect
     assert rows(token_counts.count_tokens(empty, BYTES)) == []
-
-
-# --- private data
-PRIVATE = ["Call +1 (017) 555-7713 or 555-123-4567, ok.", "mail ouer.07@mail1.example.com, 4111 1111 1111 1111 and 4111111111111112$$$ ip 92.142.22.65.", "Mr. John Smith met Mrs Smith, Frau Müller, Господин Иванов; GB82WEST12345698765432 SSN 123-45-6789"]
-
-
-def luhn(n):
-    d = [int(c) for c in n if c.isdigit()][::-1]
-    return sum(d[::2] + [x * 2 - 9 * (x > 4) for x in d[1::2]]) % 10 == 0
-
-
-def test_surrogates(spark, odd, empty):
-    df = spark.createDataFrame([*enumerate(PRIVATE), (3, PRIVATE[0])], "doc_id int, text string")
-    got = {r.doc_id: r for r in pii.surrogates(df).collect()}
-    assert [got[i].n_entities for i in range(3)] == [2, 4, 6] and got[0].text == got[3].text
-    assert re.fullmatch(r"Call \+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}, ok\.", got[0].text) and "555-7713" not in got[0].text
-    card, other = re.search(r"\d{4} \d{4} \d{4} \d{4}", got[1].text)[0], re.search(r"\d{16}", got[1].text)[0]
-    assert luhn(card) and not luhn(other) and "$$$" in got[1].text and "ouer" not in got[1].text
-    names = re.match(r"Mr\. (\w+) (\w+) met Mrs (\w+), Frau (\w+), Господин ([а-яА-Я]+);", got[2].text)
-    assert names[1] in pii.GIVEN["latin", "male"] and names[2] == names[3] and names[4] not in ("Müller", names[2])
-    assert pii.surrogates(df, key="other").filter("doc_id = 0").first().text != got[0].text
-    domain = lambda text: re.search(r"@(\w+)\.com", text)[1]
-    assert domain(pii.surrogates(df, key="other").filter("doc_id = 1").first().text) != domain(got[1].text)
-    kept = {(r.doc_id, r.text) for r in pii.surrogates(clashing(odd)).collect()}
-    assert kept == {(r.doc_id, r.text) for r in odd.collect()}
-    assert rows(pii.surrogates(empty)) == []
-    out = pii.replace_entities(odd.withColumn("n_entities", F.lit("clash")))
-    assert out.columns == [*odd.columns, "n_entities"] and out.count() == odd.count()
-
-
-def test_permutations_are_one_to_one(spark):
-    ips = spark.range(3000).select(F.concat_ws(".", F.lit("10"), F.lit("0"), (F.col("id") / 256).cast("int"), F.col("id") % 256).alias("entity"))
-    phones = spark.range(1000).select(F.format_string("+1 (000) 000-%04d", F.col("id")).alias("entity"))
-    both = ips.union(phones).withColumn("kind", pii.kind_of(F.col("entity")))
-    made = pii.assign(both)
-    assert made.select("surrogate").distinct().count() == 4000 and set(r.kind for r in made.select("kind").distinct().collect()) == {"ip", "phone"}
-    assert made.join(both.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").count() == 0
-    five = spark.range(100000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("d"))
-    assert five.select(pii._permuted_digits(F.col("d"), F.lit("k")).alias("p")).distinct().count() == 100000
-
-
-def test_collisions_are_keyed_anew(spark, monkeypatch):
-    # three-digit names of one syllable list collide often enough
-    names = spark.createDataFrame([(f"Mr. A{chr(97 + i % 26)}{chr(97 + i // 26)}",) for i in range(300)], "entity string").withColumn("kind", F.lit("name"))
-    real = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda e, k, a, key=pii.KEY: F.when(a < 3, F.substring(real(e, k, a, key), 1, 6)).otherwise(real(e, k, a, key)))
-    made = pii.assign(names)
-    assert made.select("surrogate").distinct().count() == 300 and made.filter("attempt > 0").count() > 0
-    docs = spark.createDataFrame([(1, "Mr. Aaa and Mr. Aba"), (2, "Mr. Aaa")], "doc_id long, text string")
-    monkeypatch.setattr(pii, "assign", lambda e, key: made)
-    table = {r.entity: r.surrogate for r in made.collect()}
-    got = {r.doc_id: r.text for r in pii.replace_entities(docs).collect()}
-    assert got == {1: f"{table['Mr. Aaa']} and {table['Mr. Aba']}", 2: table["Mr. Aaa"]}
