@@ -1,17 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five lexical transducers map words to symbols: insult (stems learned from labels, plus a
-public list), threat, target, negation and reported speech. They are composed into one
-clause grammar: a finite-state table that reads a clause's symbols and emits matched
-patterns. A clause counts as a plain, aimed, negated or reported insult, or as a threat
-against a target; isolated words only count through the clause that holds them. The
-weights of the patterns are fitted to labels by a ridge logistic regression.
+A lexical transducer maps each word of a clause to a symbol: insult (stems learned from
+labels, each with its weight, besides a public list), threat (verb stems with their
+inflections), target, negation, report, other. Five transducers over these symbols are
+composed into one (``logframe.llm.transducers``):
+
+* target: an insult or threat in a clause with a target is aimed. It reads the clause from
+  the right first, then from the left, so a target on either side counts;
+* negation and report: what follows one within ``REACH`` words is negated or reported;
+* insult: writes the pattern negated, reported, aimed or plain;
+* threat: writes the pattern threat for an aimed threat that is neither negated nor reported.
+
+So a word counts only through the clause that holds it. The weight of a text is the sum of
+the arcs of its matches, that is of the patterns' and the stems' weights, over its distinct
+(word, pattern) pairs: repeating a match adds nothing. To it come a start weight and one
+for the logarithm of the number of words; the logistic function gives the score. All these
+weights are fitted to labels by a ridge logistic regression.
 
 Learning uses labelled rows only where crc32(doc_id as text) mod 5 is not 0, and of these
-at most ``LABELLED`` rows, those with the smallest hash. Whole texts are scored. Null and
-empty texts have no clauses and get the base score. Conflicting labels of one document
-count as their maximum. Without any label (or with one class only) the built-in weights
-stand. Repeated rows get equal scores; extra columns are ignored.
+at most ``LABELLED`` documents, those with the smallest hash. Whole texts are scored. Null
+and empty texts have no clauses and get the start weight's score. Conflicting labels of one
+document count as their maximum; of several texts under one id the smallest is learned
+from. Without any label (or with one class only) the built-in weights stand. Repeated rows
+get equal scores; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,109 +38,155 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logframe.llm.common import durable, with_fields
+from logframe.llm.transducers import ANY, Transducer, compose
 
-#: Bound on the labelled rows that the weights and stems are learned from.
+#: Bound on the labelled documents that the weights and stems are learned from.
 LABELLED = 20_000
-#: Bound on learned insult stems, and on their length in characters.
-STEMS, SHORTEST, LONGEST = 400, 3, 9
+#: Characters of a stem.
+SHORTEST, LONGEST = 3, 16
 #: A stem is learned from at least so many toxic documents, and where chance would give
-#: fewer than CHANCE such stems among all that are as frequent.
+#: fewer than CHANCE such stems among all.
 LEAST_DOCUMENTS, CHANCE = 4, 1e-2
-CAP = 3
 HOLD_OUT = 5
 
-# fixed values: public lists of function words and plain insults
+# fixed values: public lists of function words, threats with their endings, and plain insults
 TARGETS = frozenset("you your yours yourself he him his she her they them their we us everyone somebody du dich dir ihr euch tu te toi vous tú usted vosotros".split())
 NEGATIONS = frozenset("not no never isn aren wasn don doesn didn nicht kein keine nie pas jamais ne nunca jamás".split())
 REPORTS = frozenset("said says say quoted quote claimed wrote called reported sagte dit dijo".split())
-THREATS = frozenset("kill hurt destroy beat burn shoot stab töten tuer matar".split())
+THREATS = frozenset("kill hurt destroy beat burn shoot stab strangl murder töt umbring tuer mat".split())
+ENDINGS = frozenset(" s e d es ed en er ing t st te ten et ai ons ez é ée ar aré ará o".split(" "))
 INSULTS = frozenset(
     "idiot moron imbecile cretin dunce scum loser coward liar bastard lowlife subhuman stupid worthless pathetic disgusting trash garbage filth clown"
     " trottel versager dummkopf imbécile crétin débile imbécil estúpido basura".split()
 )
 # end of fixed values
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "other", "insult", "threat", "target", "negation", "report"
+SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
+#: Marks that the transducers put behind a symbol.
+AIMED, NEGATED, REPORTED = ">", "-", "\""
 PATTERNS = ("plain", "aimed", "negated", "reported", "threat")
-#: Prior weights of (base, plain, aimed, negated, reported, threat), in log odds.
-PRIOR = np.array([-3.0, 3.0, 3.5, 1.5, 1.5, 2.5])
+#: Weight of a public insult that labels say nothing of, and prior weights in log odds:
+#: start, each pattern, stems (a factor), logarithm of the number of words.
+PUBLIC = 4.0
+PRIOR = np.array([-3.0, 0.5, 1.0, -1.5, -1.5, 2.5, 0.8, 0.0])
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:|\n]+")
 #: How many words a negation or a report reaches.
 REACH = 4
 
 
-class ClauseGrammar:
-    """The composed transducer: reads word symbols, emits pattern counts for a clause.
+def _marked(marks: str) -> list[str]:
+    """Insult and threat with every subset of ``marks``, in this order of the marks."""
+    out = [INSULT, THREAT]
+    for mark in marks:
+        out += [s + mark for s in out]
+    return out
+
+
+def target() -> Transducer:
+    """Marks insults and threats behind a target, in reading order."""
+    aim = {(1, s): (1, s if s.endswith(AIMED) else s + AIMED, 0.0) for s in _marked(AIMED)}
+    return Transducer(0, {(0, TARGET): (1, ANY, 0.0), **aim})
+
+
+def modifier(word: str, mark: str, before: str) -> Transducer:
+    """Marks insults and threats at most ``REACH`` words behind ``word``; the state is how many it still reaches."""
+    arcs = {(n, word): (REACH, ANY, 0.0) for n in range(REACH + 1)}
+    for n in range(1, REACH + 1):
+        arcs[n, ANY] = (n - 1, ANY, 0.0)
+        arcs |= {(n, s): (n - 1, s + mark, 0.0) for s in _marked(before)}
+    return Transducer(0, arcs)
+
+
+def pattern_of(symbol: str) -> str | None:
+    """The pattern of a marked symbol; None for what is no match."""
+    if symbol.startswith(INSULT):
+        return "negated" if NEGATED in symbol else "reported" if REPORTED in symbol else "aimed" if AIMED in symbol else "plain"
+    return "threat" if symbol == THREAT + AIMED else None
+
+
+def writer(kind: str, weights: dict[str, float]) -> Transducer:
+    """Writes the patterns of a kind, with their weights."""
+    marked = [s for s in _marked(AIMED + NEGATED + REPORTED) if s.startswith(kind) and pattern_of(s)]
+    return Transducer(0, {(0, s): (0, pattern_of(s), weights[pattern_of(s)]) for s in marked})
 
-    The state is (kind of the last modifier, words it still reaches, target seen, threat open).
-    """
 
-    def __init__(self, stems: frozenset[str]):
-        self.stems = stems
-        self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        self.heads = frozenset(s[:SHORTEST] for s in stems | THREATS)
-
-    def symbol(self, word: str) -> int:
-        if word in THREATS:
-            return THREAT
-        if word in INSULTS:
-            return INSULT
-        if word in TARGETS:
-            return TARGET
-        if word in NEGATIONS:
-            return NEGATION
-        if word in REPORTS:
-            return REPORT
-        if word[:SHORTEST] in self.heads and any(word[:n] in self.stems for n in self.lengths):
-            return INSULT
-        return OTHER
-
-    def clause(self, words: list[str], counts: list[int]) -> None:
-        modifier, reach, target, threat, insults = OTHER, 0, False, False, []
-        for word in words:
-            symbol = self.symbol(word)
-            if symbol in (NEGATION, REPORT):
-                modifier, reach = symbol, REACH
-                continue
-            if symbol == INSULT:
-                insults.append(modifier if reach else OTHER)
-            elif symbol == TARGET:
-                target = True
-            elif symbol == THREAT and modifier == OTHER:
-                threat = True
-            reach = max(0, reach - 1)
-            if not reach and modifier == NEGATION:
-                modifier = OTHER
-        for found in insults:
-            counts[{NEGATION: 2, REPORT: 3}.get(found, 1 if target else 0)] += 1
-        counts[4] += threat and target
-
-    def counts(self, text: str | None) -> list[int]:
-        """Matched clauses by pattern, each capped at CAP, over the whole text."""
-        counts = [0] * len(PATTERNS)
-        lowered = (text or "").lower()
-        heads = self.heads
-        if any(w[:SHORTEST] in heads for w in WORD.findall(lowered)):
-            for clause in CLAUSE_END.split(lowered):
-                words = WORD.findall(clause)
-                if any(w[:SHORTEST] in heads for w in words):
-                    self.clause(words, counts)
-        return [min(c, CAP) for c in counts]
+def grammar(weights: dict[str, float]) -> Transducer:
+    """The composed transducer; it reads a clause whose insults and threats are marked from the right."""
+    made, alphabet = target(), [*SYMBOLS, INSULT + AIMED, THREAT + AIMED]
+    for part in (modifier(NEGATION, NEGATED, AIMED), modifier(REPORT, REPORTED, AIMED + NEGATED), writer(INSULT, weights), writer(THREAT, weights)):
+        made = compose(made, part, alphabet)
+    return made
 
 
 @dataclass(frozen=True)
 class Model:
-    stems: frozenset[str]
-    weights: tuple[float, ...]
+    """Stems with their weights, and the fitted weights in the order of PRIOR."""
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
-        w = np.array(self.weights)
-        return 1 / (1 + np.exp(-(w[0] + saturated(counts) @ w[1:])))
+    stems: tuple[tuple[str, float], ...]
+    weights: tuple[float, ...]
 
 
-def saturated(counts: np.ndarray) -> np.ndarray:
-    return np.log2(1 + np.asarray(counts, dtype=np.float64).reshape(-1, len(PATTERNS)))
+class ClauseGrammar:
+    """The lexical transducer and the composed grammar of one model."""
+
+    def __init__(self, model: Model):
+        self.stems, self.weights = dict(model.stems), model.weights
+        self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
+        self.heads = frozenset(s[:SHORTEST] for s in [*self.stems, *THREATS])
+        self.machine = grammar(dict(zip(PATTERNS, model.weights[1 : 1 + len(PATTERNS)], strict=True)))
+        self.from_right = target()
+
+    def symbol(self, word: str) -> tuple[str, float]:
+        """The word's symbol and weight."""
+        if any(word[:n] in THREATS and word[n:] in ENDINGS for n in range(SHORTEST, len(word) + 1)):
+            return THREAT, 0.0
+        for known, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+            if word in known:
+                return symbol, 0.0
+        if word[:SHORTEST] in self.heads:
+            for n in self.lengths:
+                if (weight := self.stems.get(word[:n])) is not None:
+                    return INSULT, weight
+        return OTHER, 0.0
+
+    def clause(self, words: list[str]) -> list[tuple[str, str, float, float]]:
+        """(word, pattern, weight of the pattern's arcs, weight of the stem's) of each match."""
+        read = [self.symbol(w) for w in words]
+        if not any(s in (INSULT, THREAT) for s, _ in read):
+            return []
+        symbols, _ = self.from_right.run(s for s, _ in reversed(read))
+        state, out = self.machine.start, []
+        for word, symbol, (_, weight) in zip(words, reversed(symbols), read, strict=True):
+            state, written, arc = self.machine.step(state, symbol)
+            if written in PATTERNS:
+                out.append((word, written, arc, weight))
+        return out
+
+    def matches(self, text: str | None) -> tuple[dict[tuple[str, str], tuple[float, float]], int]:
+        """Distinct (word, pattern) matches with their weights, and the number of words, of a whole text."""
+        found, heads, lowered, n = {}, self.heads, (text or "").lower(), 0
+        for clause in CLAUSE_END.split(lowered):
+            words = WORD.findall(clause)
+            n += len(words)
+            if any(w[:SHORTEST] in heads for w in words):
+                for word, pattern, arc, weight in self.clause(words):
+                    found[word, pattern] = arc, weight
+        return found, n
+
+    def features(self, text: str | None) -> list[float]:
+        """Distinct matches by pattern, the sum of their stems' weights, and log2(1 + words)."""
+        found, n = self.matches(text)
+        counts = [float(sum(p == q for _, q in found)) for p in PATTERNS]
+        return [*counts, round(sum(w for _, w in found.values()), 6), round(math.log2(1 + n), 6)]
+
+    def score(self, text: str | None) -> float:
+        """From 0 to 1: the logistic function of the path's weight."""
+        found, n = self.matches(text)
+        start, stem, length = self.weights[0], *self.weights[-2:]
+        total = start + length * round(math.log2(1 + n), 6) + sum(arc + stem * w for arc, w in found.values())
+        return round(1 / (1 + math.exp(-max(-500.0, min(500.0, total)))), 9)
 
 
 def held_out(key: Column) -> Column:
@@ -146,15 +203,28 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) ->
         .limit(bound)
     )
     # at most ``bound`` rows of two numbers
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("label", "text")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    return found.groupBy("labelled", "label").agg(F.min("text").alias("text")).select("label", "text")
+
+
+def _evidence(t: Column, c: Column, rate: float) -> Column:
+    """How far a stem's share of toxic documents is above the rate of all, in nats of a binomial tail's bound."""
+    n = t + c
+    part = lambda k, r: F.when(k > 0, k * F.log(k / n / r)).otherwise(0.0)
+    return F.when(t / n > rate, part(t, rate) + part(c, 1 - rate)).otherwise(0.0)
 
 
-def learn_stems(rows: DataFrame) -> tuple[frozenset[str], int, int]:
-    """Word beginnings that mark toxic documents, and the numbers of toxic and clean rows."""
+def learn_stems(rows: DataFrame) -> tuple[tuple[tuple[str, float], ...], int, int]:
+    """Word beginnings that mark toxic documents with their log odds, and the numbers of toxic and clean rows.
+
+    All that pass the test of significance are kept, the most telling of those that begin
+    alike; the labelled documents bound their number.
+    """
     totals = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     toxic, clean = int(totals[0]), int(totals[1] - totals[0])
+    public = tuple((s, PUBLIC) for s in sorted(INSULTS))
     if not toxic or not clean:
-        return INSULTS, toxic, clean
+        return public, toxic, clean
 
     def beginnings(batches):
         for batch in batches:
@@ -170,78 +240,69 @@ def learn_stems(rows: DataFrame) -> tuple[frozenset[str], int, int]:
                 places += [xxhash.xxh64_intdigest(" ".join(words[i - 1 : i + 2])) >> 1 for i in found.values()]
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(stems, pa.string()), pa.array(places, pa.int64())], names=["label", "stem", "place"])
 
-    # copies of a document show a stem in the same place, between the same words: they are one piece of evidence
+    # copies of a document show a stem first in the same place, between the same words: they are one piece of evidence
     seen = rows.select("label", "text").mapInArrow(beginnings, "label int, stem string, place long").distinct()
     counts = seen.groupBy("stem").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    counts = durable(counts.filter(F.col("t") + F.col("c") >= LEAST_DOCUMENTS))
-    candidates_in_all = max(1, counts.count())
-    rate = toxic / (toxic + clean)
-    # by chance, a stem is in so many toxic documents in this share of cases
-    chance = F.col("t") * math.log(rate) + F.col("c") * math.log(1 / rate)
-    candidates = counts.filter((F.col("t") >= LEAST_DOCUMENTS) & (F.col("c") <= 0.02 * F.col("t") * clean / toxic) & (chance < math.log(CHANCE / candidates_in_all)))
-    best = candidates.orderBy(F.desc(F.col("t") - F.col("c")), "stem").limit(STEMS * 8).collect()
-    found = {r["stem"]: (r["t"], r["c"]) for r in best}
-
-    def kept(stem: str) -> bool:
-        t, c = found[stem]
-        if any(x[0] >= t and x[1] <= c for s, x in found.items() if s != stem and s.startswith(stem)):
-            return False  # a longer stem marks the same documents more exactly
-        if c and any(x[0] >= 0.9 * t and x[1] < c for s, x in found.items() if s != stem and s.startswith(stem)):
-            return False  # a longer stem is cleaner and loses little
-        return not any((x := found.get(stem[:n])) and x[0] > t and x[1] <= c for n in range(SHORTEST, len(stem)))
-
-    stems = sorted((s for s in found if kept(s)), key=lambda s: (-found[s][0], s))[:STEMS]
-    return frozenset(stems) | INSULTS, toxic, clean
+    counts = durable(counts.filter((F.col("t") >= LEAST_DOCUMENTS) | F.col("stem").isin(*sorted(INSULTS))))
+    rate, tests = toxic / (toxic + clean), max(1, counts.count())
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
+    told = counts.withColumns({"evidence": _evidence(F.col("t"), F.col("c"), rate), "odds": F.round(odds, 6)})
+    known = {r["stem"]: r["odds"] for r in told.filter(F.col("stem").isin(*sorted(INSULTS)) & (F.col("t") + F.col("c") >= LEAST_DOCUMENTS)).collect()}
+    best = told.filter((F.col("t") >= LEAST_DOCUMENTS) & (F.col("evidence") > math.log(tests / CHANCE))).orderBy(F.desc("evidence"), F.desc(F.length("stem")), "stem").collect()
+    stems = {s: known.get(s, PUBLIC) for s in INSULTS if known.get(s, PUBLIC) > 0}
+    begun = {s[:n] for s in stems for n in range(SHORTEST, len(s))}
+    for r in best:
+        stem = r["stem"]
+        if stem in begun or any(stem[:n] in stems for n in range(SHORTEST, len(stem) + 1)):
+            continue  # a more telling one, or a public one, begins alike
+        stems[stem] = r["odds"]
+        begun |= {stem[:n] for n in range(SHORTEST, len(stem))}
+    return tuple(sorted(stems.items())), toxic, clean
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
-    """Stems, then pattern weights from the counted table of pattern vectors: at most (CAP + 1)**5 rows reach the driver."""
+    """Stems, then weights from the table of distinct feature vectors: at most ``bound`` rows reach the driver."""
     rows = durable(labelled_rows(docs, labels, bound))
     stems, toxic, clean = learn_stems(rows)
+    prior = Model(stems, tuple(PRIOR.tolist()))
     if not toxic or not clean:
-        return Model(stems, tuple(PRIOR))
-    cells = with_counts(rows, stems, ["label"]).groupBy("label", "counts").count().collect()
-    x = np.column_stack([np.ones(len(cells)), saturated(np.array([c["counts"] for c in cells]))])
+        return prior
+    cells = with_features(rows, prior, ["label"]).groupBy("label", "features").count().orderBy("label", "features").collect()
+    x = np.column_stack([np.ones(len(cells)), np.array([c["features"] for c in cells])])
     y, n = np.array([c["label"] for c in cells], dtype=np.float64), np.array([c["count"] for c in cells], dtype=np.float64)
     w = PRIOR.copy()
-    w[0] = math.log(max(toxic, 1) / max(clean, 1))
     start, ridge = w.copy(), np.full(len(w), 0.5)
     ridge[0] = 0.01
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         gradient = x.T @ (n * (y - p)) - ridge * (w - start)
         step = np.linalg.solve((x.T * (n * np.maximum(p * (1 - p), 1e-9))) @ x + np.diag(ridge), gradient)
-        w = w + np.clip(step, -2, 2)
+        w = w + np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
     return Model(stems, tuple(float(v) for v in np.round(w, 9)))
 
 
-def with_counts(rows: DataFrame, stems: frozenset[str], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``counts`` array<int> of pattern counts."""
-    at, schema = len(keep), with_fields(rows.select(*keep).schema, "counts array<int>")
+def with_features(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and ``features`` array<double>."""
+    at, schema = len(keep), with_fields(rows.select(*keep).schema, "features array<double>")
 
     def run(batches):
-        grammar = ClauseGrammar(stems)
+        reader = ClauseGrammar(model)
         for batch in batches:
-            counts = pa.array([grammar.counts(t.as_py()) for t in batch.column(at)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], counts], names=[*keep, "counts"])
+            features = pa.array([reader.features(t.as_py()) for t in batch.column(at)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], features], names=[*keep, "features"])
 
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
-def _scored(batch_texts, grammar: ClauseGrammar, model: Model) -> np.ndarray:
-    counts = [grammar.counts(t.as_py()) for t in batch_texts]
-    return np.round(model.score(np.array(counts)), 9) if counts else np.zeros(0)
-
-
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
 
     def run(batches):
-        grammar = ClauseGrammar(model.stems)
+        reader = ClauseGrammar(model)
         for batch in batches:
-            scores = pa.array(_scored(batch.column(1), grammar, model), pa.float64())
+            scores = pa.array([reader.score(t.as_py()) for t in batch.column(1)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -253,8 +314,8 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     where = docs.columns.index("text")
 
     def run(batches):
-        grammar = ClauseGrammar(model.stems)
+        reader = ClauseGrammar(model)
         for batch in batches:
-            yield batch.filter(pa.array(_scored(batch.column(where), grammar, model) < 0.5, pa.bool_()))
+            yield batch.filter(pa.array([reader.score(t.as_py()) < 0.5 for t in batch.column(where)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
