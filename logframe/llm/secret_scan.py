@@ -1,24 +1,31 @@
 """Secret scans: candidates in texts, sifted by a random forest.
 
 Candidates are assigned values (``name = "value"``, ``name: value``) of any length and any
-characters, to the closing quote or up to white space, and runs of at least ``SHORTEST``
-token characters with a digit. Assignments inside values are candidates, too. A random forest removes false positives by
-the candidate's length and character classes, its character transitions under a model of
-the corpus's own words, its coverage by the corpus dictionary, its path, and the words
-next to it. It is trained on labelled findings: a table (doc_id, begin, label), or, where
-none is given, findings labelled by the name they are assigned to.
+characters, to the closing quote or up to white space; passwords in addresses; what follows
+``Bearer``; private key blocks; tokens of parts joined by dots; and runs of at least
+``SHORTEST`` token characters with a digit. Assignments inside values are candidates, too.
+
+A random forest removes false positives by the candidate's length and character classes,
+its character transitions under a model of the corpus's own words, its coverage by the
+corpus dictionary, its path, and the words next to it. It is trained on labelled findings:
+a table (doc_id, begin, label), or, where none is given, secrets and look-alikes planted
+into corpus texts and labelled by what was planted (``logframe.llm.planted``). A fifth of
+the planted findings is never trained on; ``held_out_quality`` measures the forest on it.
 
 The dictionary and the transitions come from word counts over the whole corpus: the words
-that a ``SHARE`` of all documents hold, and the letter pairs of every word. Training
-takes at most ``FINDINGS`` distinct findings, half of each class, those with the smallest
-hash. Where one class has none, no forest is trained and the weak label decides. Whole texts are
-scanned. Null and empty texts have no candidates. Offsets count code points. Repeated
-rows give repeated results; a table without findings is left as it is.
+that a ``SHARE`` of all documents hold, and the letter pairs of every word. Findings are
+planted into at most ``HOSTS`` documents, those with the smallest hash; of a given table at
+most ``FINDINGS`` distinct findings are trained on, half of each class. Whole texts are
+scanned. Null and empty texts have no candidates. Offsets count code points. Repeated rows
+give repeated results. A table without findings is left as it is, an empty one stays empty.
+Where a given table has findings of one class only, that class decides. Extra columns of
+any name are kept by ``redact`` and ignored by ``scan``; the path column may be absent.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from dataclasses import dataclass
 
@@ -30,31 +37,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logframe.llm.common import durable
+from logframe.llm.planted import plant
 
 SHORTEST = 16
 #: Share of the documents that hold a dictionary word, and the bound on the training findings.
 SHARE, FINDINGS = 0.001, 20_000
-TREES, DEPTH = 24, 6
+#: Bound on the documents that findings are planted into, and how many findings there are at least.
+HOSTS, PLANTED = 5_000, 4_000
+#: One in so many planted findings is held out.
+HOLD_OUT = 5
+TREES, DEPTH = 32, 10
 PLACEHOLDER = "[SECRET]"
 CANDIDATE = re.compile(r"[A-Za-z0-9_\-+/]{%d,}={0,2}" % SHORTEST)
 SEPARATOR = re.compile(r"[:=][=>]?\s{0,8}")
 NAME = re.compile(r"""([A-Za-z][\w\-]*)["'`]?\s*$""")
 VALUE = re.compile(r""""(?P<a>(?:\\.|[^"\\\n])+)"|'(?P<b>(?:\\.|[^'\\\n])+)'|`(?P<c>[^`\n]+)`|["'`]?(?P<d>[^\s"'`]\S*)""")
 ASSIGNED = re.compile(r"""([A-Za-z][\w\-]*)["'`]?\s*[:=][=>]?\s*["'`]?$""")
+USER = re.compile(r"://[^\s/]*$")
+#: Passwords in addresses, bearer tokens, private key blocks and dotted tokens.
+FORMS = re.compile(
+    r"(?P<a>-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[^\-]{0,8000}(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?)|://[^\s/:@]{1,64}:(?P<b>[^\s/@]{1,256})@"
+    r"|(?i:\bbearer)[ \t]{1,4}(?P<c>[^\s\"',;]{8,})|(?<![\w\-])(?P<d>[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,})*)(?![\w\-])"
+)
 # fixed values: words of secret and of harmless names, known key beginnings, path words
 SECRET_NAMES = re.compile(r"(?i)token|secret|passw|pwd|api_?key|access_?key|private_?key|credential|bearer|auth(?!or(?:s|ed|it\w*)?\b)")
 HARMLESS_NAMES = re.compile(r"(?i)^(sha\d*|md5|hash|checksum|digest|commit|rev|revision|uuid|guid|id|etag|integrity|version|example)$")
-PREFIXES = re.compile(r"^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ)")
+PREFIXES = re.compile(r"^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|-----BEGIN)")
 TEST_PATHS = re.compile(r"(?i)test|example|sample|mock|fixture|lock|vendor|docs?/")
 # end of fixed values
 FEATURES = (
     "length", "digits", "upper", "lower", "other", "distinct", "hexadecimal", "entropy", "transition",
-    "coverage", "prefix", "assigned", "secret_name", "harmless_name", "quoted", "near_secret", "near_harmless", "test_path",
+    "coverage", "prefix", "assigned", "secret_name", "harmless_name", "quoted", "near_secret", "near_harmless", "test_path", "in_address", "runs",
 )
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 48
-#: Bits a character from which a free-standing run may be a key.
-RANDOM = 3.0
+RUN = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+")
 
 
 @dataclass(frozen=True)
@@ -101,8 +118,14 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     """(begin, end) of each candidate, in order; one may lie inside another."""
     text = text or ""
     found = {m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0])}
+    for m in FORMS.finditer(text):
+        if m.lastgroup != "d" or any(c.isdigit() for c in m["d"]):
+            found.add(m.span(m.lastgroup))
     for m in SEPARATOR.finditer(text):
-        if NAME.search(text[max(0, m.start() - WINDOW) : m.start()]) and (value := VALUE.match(text, m.end())):
+        before = text[max(0, m.start() - WINDOW) : m.start()]
+        # the colons of an address, behind its scheme and before its password, assign nothing
+        address = text.startswith("://", m.start()) or USER.search(before)
+        if not address and NAME.search(before) and (value := VALUE.match(text, m.end())):
             found.add(value.span(value.lastgroup))
     return sorted(found)
 
@@ -121,58 +144,70 @@ def features(text: str, begin: int, end: int, path: str | None, language: Langua
         float(bool(name and SECRET_NAMES.search(name[1]))), float(bool(name and HARMLESS_NAMES.match(name[1]))),
         float(before[-1:] in "\"'`" and bool(before)), float(bool(SECRET_NAMES.search(near))),
         float(any(HARMLESS_NAMES.match(w) for w in re.findall(r"\w+", near))), float(bool(TEST_PATHS.search(path or ""))),
+        float(after[:1] == "@" and "://" in before), len(RUN.findall(value)) / n,
     ]
 
 
-def weak_label(x: list[float]) -> int | None:
-    """1 or 0 by the assigned name or a known beginning; None where they say nothing sure.
-
-    A long number and a value mostly made of dictionary words are no secrets, unless a
-    secret name has them: there only plain words are none, and a number is not sure. Nothing
-    is sure of a free-standing run that may be random.
-    """
-    f = dict(zip(FEATURES, x, strict=True))
-    if f["harmless_name"]:
-        return 0
-    if f["secret_name"]:
-        return None if f["digits"] == 1 else int(f["coverage"] <= 0.6 or f["digits"] + f["other"] > 0)
-    if f["digits"] == 1 or f["coverage"] > 0.6 or f["distinct"] < 0.1:
-        return 0
-    if f["prefix"]:
-        return 1
-    return None if f["assigned"] or f["near_secret"] or f["entropy"] >= RANDOM else 0
+def _paths(docs: DataFrame, path: str | None):
+    return (F.col(path) if path and path in docs.columns else F.lit(None)).cast("string")
 
 
 def findings(docs: DataFrame, language: Language, path: str | None = "source") -> DataFrame:
-    """(doc_id, begin, end, x array<double>, weak int) of every candidate."""
-    where = F.col(path) if path and path in docs.columns else F.lit(None)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", where.cast("string").alias("path"))
+    """(doc_id, begin, end, x array<double>) of every candidate."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _paths(docs, path).alias("path"))
 
     def run(batches):
         for batch in batches:
             out = []
             for doc, text, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for begin, end in candidates(text):
-                    x = features(text, begin, end, p, language)
-                    out.append((doc, begin, end, x, weak_label(x)))
+                out += [(doc, begin, end, features(text, begin, end, p, language)) for begin, end in candidates(text)]
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int32()]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
                 arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "begin", "end", "x", "weak"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "begin", "end", "x"])
+
+    return rows.mapInArrow(run, "doc_id long, begin int, end int, x array<double>")
 
-    return rows.mapInArrow(run, "doc_id long, begin int, end int, x array<double>, weak int")
+
+def planted_findings(docs: DataFrame, language: Language, path: str | None = "source", hosts: int = HOSTS, least: int = PLANTED) -> DataFrame:
+    """(label, x, held_out, found) of findings planted into at most ``hosts`` corpus texts, at least ``least`` in all.
+
+    ``found`` tells whether the planted value is a candidate at all; where it is none, x is null.
+    Only distinct texts are hosts, so a text with many copies is no more likely than another.
+    """
+    texts = docs.select("text", _paths(docs, path).alias("path")).filter("text is not null")
+    chosen = texts.groupBy(F.xxhash64("text").alias("k")).agg(F.min(F.struct("text", "path")).alias("t")).orderBy(F.xxhash64("k"), "k").limit(hosts)
+    chosen = durable(chosen.select("k", "t.text", "t.path"))
+    n = chosen.count()
+    each = -(-least // n) if n else 0
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, text, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rng = random.Random(k)
+                for i in range(each):
+                    # a stretch of the text is enough: features look at the words next to a finding
+                    at = rng.randint(0, max(0, len(text) - 4 * WINDOW))
+                    made, begin, end, label = plant(rng, text[at : at + 4 * WINDOW])
+                    held = [s for s in candidates(made) if s[0] <= begin and end <= s[1] and s[1] - s[0] <= end - begin + 2]
+                    span = min(held, key=lambda s: s[1] - s[0], default=None)
+                    out.append((label, features(made, *span, p, language) if span else None, (k + i) % HOLD_OUT == 0, span is not None))
+            kinds = [pa.int32(), pa.list_(pa.float64()), pa.bool_(), pa.bool_()]
+            arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays(arrays, names=["label", "x", "held_out", "found"])
+
+    return chosen.mapInArrow(run, "label int, x array<double>, held_out boolean, found boolean")
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees as nested (feature, threshold, below, above) tuples with votes at the leaves; none: the weak label stands."""
+    """Trees as nested (feature, threshold, below, above) tuples with votes at the leaves; a single number votes for all."""
 
     trees: tuple
 
     def vote(self, x: list[float]) -> float:
-        if not self.trees:
-            return float(weak_label(x) or 0)
-        return sum(self._walk(t, x) for t in self.trees) / len(self.trees)
+        return sum(self._walk(t, x) for t in self.trees) / max(1, len(self.trees))
 
     @staticmethod
     def _walk(node, x: list[float]) -> float:
@@ -204,20 +239,31 @@ def sample(labelled: DataFrame, bound: int = FINDINGS) -> DataFrame:
     return durable(of(0).union(of(1)))
 
 
-def train(found: DataFrame, labels: DataFrame | None = None, bound: int = FINDINGS) -> Forest:
-    """A random forest from labelled findings (doc_id, begin, label), or from weak labels."""
-    labelled = found.withColumn("label", F.col("weak")) if labels is None else found.join(labels.select("doc_id", "begin", "label"), ["doc_id", "begin"])
-    rows = sample(labelled.filter("label is not null").select(F.col("label").cast("double"), "x"), bound)
-    if rows.select("label").distinct().count() < 2:
-        return Forest(())
+def train(labelled: DataFrame, bound: int = FINDINGS) -> Forest:
+    """A random forest from labelled findings (label, x)."""
+    rows = sample(labelled.filter("label is not null and x is not null").select(F.col("label").cast("double"), "x"), bound)
+    classes = [r[0] for r in rows.select("label").distinct().collect()]
+    if len(classes) < 2:
+        return Forest(tuple(classes))
     frame = rows.select("label", "weight", array_to_vector("x").alias("features"))
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=2, weightCol="weight").fit(frame)
     return Forest(tuple(_tree([x for x in t.toDebugString.splitlines()[1:] if x.strip()]) for t in model.trees))
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, path: str | None = "source") -> tuple[Language, Forest]:
+    """The corpus's language, and a forest from a table of labelled findings or from planted ones."""
     language = learn_language(docs)
-    return language, train(findings(docs, language, path), labels)
+    if labels is not None:
+        return language, train(findings(docs, language, path).join(labels.select("doc_id", "begin", "label"), ["doc_id", "begin"]))
+    return language, train(planted_findings(docs, language, path).filter("not held_out"))
+
+
+def held_out_quality(docs: DataFrame, language: Language, forest: Forest, path: str | None = "source") -> tuple[float, float]:
+    """(recall, precision) on the planted findings that were held out; a secret that is no candidate is missed."""
+    rows = planted_findings(docs, language, path).filter("held_out").select("label", "x").collect()
+    kept = [(r["label"], r["x"] is not None and forest.vote(r["x"]) >= 0.5) for r in rows]
+    hits = sum(label and k for label, k in kept)
+    return hits / max(1, sum(label for label, _ in kept)), hits / max(1, sum(k for _, k in kept))
 
 
 def secrets_in(text: str | None, path: str | None, language: Language, forest: Forest) -> tuple[int, list[tuple[int, int]]]:
@@ -234,8 +280,7 @@ def secrets_in(text: str | None, path: str | None, language: Language, forest: F
 
 def scan(docs: DataFrame, language: Language, forest: Forest, path: str | None = "source") -> DataFrame:
     """doc_id, n_candidates, n_secrets, spans (``begin-end`` array) of every row."""
-    where = F.col(path) if path and path in docs.columns else F.lit(None)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", where.cast("string").alias("path"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _paths(docs, path).alias("path"))
 
     def run(batches):
         for batch in batches:
