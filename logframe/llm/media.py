@@ -1,9 +1,14 @@
 """Media columns: Netpbm and BMP decoded to arrays, area-resized, kept as NPY tiles with difference hashes.
 
-``decode_image`` reads P1 to P6 and uncompressed BMP of 8, 24 and 32 bits. Resizing
-averages exact areas through an integral image. A difference hash compares neighbouring
-columns of the 9 x 8 grey image. Broken, empty and null media give null results with the
-reason in ``error``; they never end a job. Repeated rows give repeated results.
+``decode_image`` reads P1 to P6 and uncompressed BMP of 8, 24 and 32 bits; sizes are held
+against the data before anything is decoded, so memory follows the bytes that are there.
+Resizing averages exact areas through an integral image. A difference hash compares
+neighbouring columns of the 9 x 8 grey image. Broken, truncated, empty and null media give
+null results with the reason in ``error``; they never end a job.
+
+``text_media`` takes a null text as an empty one, which is one row of blanks. Repeated rows
+give repeated results, an empty table an empty one; extra columns are ignored there and
+kept by ``decode_media``, but for those named as its results, which are replaced.
 """
 
 from __future__ import annotations
@@ -46,11 +51,18 @@ def _netpbm(data: bytes) -> np.ndarray:
     sizes = []
     for _ in range(2 if kind in (1, 4) else 3):
         m = _TOKEN.match(data, at)
+        if not m or not m[1].isdigit() or len(m[1]) > 9:
+            raise ValueError("broken header")
         sizes.append(int(m[1]))
         at = m.end()
     w, h, top = (*sizes, 1)[:3]
     channels = 3 if kind in (3, 6) else 1
     n = w * h * channels
+    if not n or not 1 <= top <= 65535:
+        raise ValueError("no pixels" if not n else f"maximum {top}")
+    # a plain sample takes a byte at least, packed bits an eighth of one, and large samples two
+    if ((w + 7) // 8 * h if kind == 4 else n * (2 if kind > 4 and top > 255 else 1)) > len(data) - at:
+        raise ValueError("too few samples")
     if kind <= 3:
         body = re.sub(rb"#[^\n]*", b"", data[at:])
         values = np.array([int(c) for c in re.findall(rb"[01]", body)] if kind == 1 else body.split(), dtype=np.int64)
@@ -62,6 +74,8 @@ def _netpbm(data: bytes) -> np.ndarray:
     if len(values) < n:
         raise ValueError("too few samples")
     values = values[:n]
+    if kind in (2, 3, 5, 6) and (int(values.max()) > top or int(values.min()) < 0):
+        raise ValueError("sample above the maximum")
     if kind in (1, 4):
         values = 1 - values
     if top != 255:
@@ -74,7 +88,11 @@ def _bmp(data: bytes) -> np.ndarray:
     offset, header, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     if packed or bits not in (8, 24, 32):
         raise ValueError(f"BMP of {bits} bits with compression {packed}")
+    if w < 1 or not h:
+        raise ValueError("no pixels")
     stride = (w * bits // 8 + 3) // 4 * 4
+    if stride * abs(h) > len(data) - offset:
+        raise ValueError("too few samples")
     rows = np.frombuffer(data, np.uint8, stride * abs(h), offset).reshape(abs(h), stride)[:, : w * bits // 8]
     if bits == 8:
         start = 14 + header
@@ -95,21 +113,28 @@ def decode_image(data: bytes) -> np.ndarray:
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Exact mean over each target cell's area, as float64, from one integral image per channel."""
-    planes = pixels.astype(np.float64).reshape(pixels.shape[0], pixels.shape[1], -1)
-    h, w, _ = planes.shape
-    integral = np.zeros((h + 1, w + 1, planes.shape[2]))
-    integral[1:, 1:] = planes.cumsum(axis=0).cumsum(axis=1)
-
-    def at(edges: np.ndarray, array: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), len(array) - 2)
-        part = (edges - low).reshape(-1, *[1] * (array.ndim - 1))
-        return array[low] * (1 - part) + array[low + 1] * part
+    """Exact mean over each target cell's area, as float64, from one integral image per channel.
 
+    Of the integral image only the rows next to the cells' edges are kept.
+    """
+    h, w = pixels.shape[:2]
+    planes = pixels.reshape(h, w, -1)
     ys, xs = np.arange(height + 1) * h / height, np.arange(width + 1) * w / width
-    corners = at(xs, at(ys, integral).swapaxes(0, 1)).swapaxes(0, 1)
-    sums = corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]
-    means = sums / ((h / height) * (w / width))
+    low = np.minimum(ys.astype(np.int64), h - 1)
+    rows = np.unique(np.concatenate(([0], low, low + 1)))  # the last is h
+    sums = np.add.reduceat(planes, rows[:-1], axis=0, dtype=np.float64).cumsum(axis=0)
+    integral = np.zeros((len(rows), w + 1, planes.shape[2]))
+    integral[1:, 1:] = sums.cumsum(axis=1)
+
+    def at(edges: np.ndarray, array: np.ndarray, known: np.ndarray) -> np.ndarray:
+        below = np.minimum(edges.astype(np.int64), known[-1] - 1)
+        part = (edges - below).reshape(-1, *[1] * (array.ndim - 1))
+        i = np.searchsorted(known, below)
+        return array[i] * (1 - part) + array[i + 1] * part
+
+    corners = at(xs, at(ys, integral, rows).swapaxes(0, 1), np.arange(w + 1)).swapaxes(0, 1)
+    cells = corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]
+    means = cells / ((h / height) * (w / width))
     return means if pixels.ndim == 3 else means[:, :, 0]
 
 
@@ -123,7 +148,7 @@ def difference_hash(pixels: np.ndarray) -> str:
 def npy_tile(pixels: np.ndarray, side: int = TILE) -> bytes:
     """The area-resized square tile in NPY format, 8 bits a sample."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(pixels, side, side)), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.rint(np.round(area_resize(pixels, side, side), 6)), 0, 255).astype(np.uint8))
     return out.getvalue()
 
 
@@ -140,7 +165,7 @@ def decode_media(media: DataFrame, column: str = "media", side: int = TILE) -> D
             if not pixels.size:
                 raise ValueError("no pixels")
             return pixels.shape[1], pixels.shape[0], 3 if pixels.ndim == 3 else 1, npy_tile(pixels, side), difference_hash(pixels), None
-        except (ValueError, AttributeError, struct.error, IndexError) as e:
+        except (ValueError, TypeError, IndexError, OverflowError, MemoryError, struct.error) as e:
             return None, None, None, None, None, str(e) or type(e).__name__
 
     def run(batches):

@@ -150,16 +150,59 @@ def test_images():
     assert tile.shape == (32, 32, 3) and (tile == 9).all()
 
 
-def test_media(spark, odd, empty):
-    got = {(r.doc_id, r.n_bytes): r for r in media.text_media(odd).collect()}
-    text = next(r.text for r in odd.collect() if r.doc_id == 8).encode()
-    payload = text.ljust(192)
-    assert (got[8, len(text)].payload_sha256, got[8, len(text)].tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-    assert got[2, 0].payload_bytes == 192 and got[3, 0].payload_sha256 == got[2, 0].payload_sha256
+def weights(n, cells):
+    """How much of each of ``cells`` equal stretches of 0..n every unit interval covers."""
+    edges = np.arange(cells + 1) * n / cells
+    i = np.arange(n)
+    return np.clip(np.minimum(edges[1:, None], i + 1) - np.maximum(edges[:-1, None], i), 0, None)
+
+
+def slow_resize(pixels, h, w):
+    return np.stack([weights(pixels.shape[0], h) @ p @ weights(pixels.shape[1], w).T for p in np.moveaxis(pixels.astype(float), 2, 0)], axis=2) / (pixels.shape[0] / h * pixels.shape[1] / w)
+
+
+def slow_media(text):
+    raw = (text or "").encode()
+    payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+    stored = f"P6\n64 {len(payload) // 192}\n255\n".encode() + payload
+    pixels = np.array(list(payload), dtype=np.uint8).reshape(-1, 64, 3)
+    grey = np.round(slow_resize((pixels @ np.array([0.299, 0.587, 0.114]))[:, :, None], 8, 9)[:, :, 0], 6)
+    bits = "".join("01"[int(a < b)] for row in grey for a, b in zip(row, row[1:]))
+    tile = __import__("io").BytesIO()
+    np.save(tile, np.rint(np.round(slow_resize(pixels, 32, 32), 6)).astype(np.uint8))
+    feature = f"{int(bits, 2):016x}" + hashlib.sha256(tile.getvalue()).hexdigest()[:16]
+    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+
+
+def test_media(spark, odd, empty, documents):
+    for df in (odd, documents):
+        want = sorted(((r.doc_id, *slow_media(r.text)) for r in df.collect()), key=repr)
+        assert sorted(rows(media.text_media(df)), key=repr) == want
     assert media.text_media(clashing(odd)).count() == odd.count() and rows(media.text_media(empty)) == []
     blobs = spark.createDataFrame([(1, media.encode_bmp(np.zeros((3, 3, 3), np.uint8))), (2, b"junk"), (3, None), (4, b"P6\n9 9\n255\nxx")], "id int, media binary")
     out = {r.id: r for r in media.decode_media(blobs.withColumn("width", F.lit("clash"))).collect()}
     assert (out[1].width, out[1].height, out[1].error) == (3, 3, None) and all(out[i].error and out[i].tile is None for i in (2, 3, 4))
+    assert (np.load(__import__("io").BytesIO(out[1].tile)) == 0).all()
+
+
+def test_broken_media_never_end_a_job(spark):
+    x = np.arange(60, dtype=np.uint8).reshape(4, 5, 3)
+    plain = b" ".join(b"%d" % v for v in x.ravel())
+    head = lambda size, w, h, bits, offset: b"BM" + __import__("struct").pack("<IIIIiiHHIIiiII", size, 0, offset, 40, w, h, 1, bits, 0, 0, 0, 0, 0, 0)
+    whole = [
+        b"P1\n3 2\n101010\n", b"P2\n5 4\n255\n" + plain, b"P3\n5 4\n255\n" + plain, b"P4\n9 2\n\xa0\x80\xff\x00", media.encode_ppm(x[:, :, 0]), media.encode_ppm(x), b"P5 2 2 9999\n" + bytes(range(8)),
+        media.encode_bmp(x), head(0, 4, -2, 8, 54 + 1024) + bytes(1024) + bytes(8), head(0, 2, 2, 32, 54) + bytes(16),
+    ]
+    odd_heads = [
+        b"P6\n", b"P5 3", b"P5\n0 0\n255\n", b"P6 2 2 0 " + bytes(12), b"P6 99999999999 9 255 x", b"P6 99999 99999 255 x", b"P2 2 1 3 9 1", b"P5 -1 1 255 x", head(0, 2**30, 2**30, 24, 54), head(0, -4, 2, 24, 54) + bytes(99),
+        head(0, 4, 2, 8, 2**31) + bytes(99), head(0, 4, 2, 8, 20) + bytes(99), head(0, 2, -(2**31), 24, 54), b"P7\n1 1", b"P", b"BM", b"", b"P3 1 1 255 1 2 x",
+    ]
+    blobs = [(len(w) == n, w[:n]) for w in whole for n in range(len(w) + 1)] + [(False, d) for d in odd_heads]
+    got = media.decode_media(spark.createDataFrame(blobs, "ok boolean, media binary")).collect()
+    assert len(got) == len(blobs) and all(r.error is None and r.tile for r in got if r.ok)
+    # a cut text format may end between two samples' digits; all else that is cut has too few samples
+    assert all(r.error and r.tile is None for r in got if not r.ok and not bytes(r.media).startswith((b"P1", b"P2", b"P3")))
+    assert all((r.error is None) == (r.tile is not None) for r in got)
 
 
 # --- byte pairs
