@@ -133,13 +133,16 @@ def json_map(c: Column, v: Column | None = None) -> Column:
     return let(top, lambda m: F.when(F.json_object_keys(c).isNotNull(), F.transform_values(m, lambda k, x: _text(x, F.lit(None).cast("string")))))
 
 
-def auto_fields(c: Column, flags: Column | None = None) -> Column:
-    """Fields of a JSON or logfmt line: by its flags, or by trying JSON objects, then logfmt with any pair."""
+def auto_fields(c: Column, flags: Column | None = None, v: Column | None = None) -> Column:
+    """Fields of a JSON or logfmt line: by its flags, or by trying JSON objects, then logfmt with any pair.
+
+    ``v`` is the line's :func:`json_variant` if it is at hand.
+    """
     from logframe.functions.metadata import FLAG_JSON, FLAG_LOGFMT
 
     if flags is not None:
-        return F.when(flags.bitwiseAND(FLAG_JSON) != 0, json_map(c)).when(flags.bitwiseAND(FLAG_LOGFMT) != 0, logfmt_map(c))
-    return F.coalesce(json_map(c), let(logfmt_map(c), lambda m: F.when(F.size(m) > 0, m)))
+        return F.when(flags.bitwiseAND(FLAG_JSON) != 0, json_map(c, v)).when(flags.bitwiseAND(FLAG_LOGFMT) != 0, logfmt_map(c))
+    return F.coalesce(json_map(c, v), let(logfmt_map(c), lambda m: F.when(F.size(m) > 0, m)))
 
 
 def rest_fields(fields: Column, consumed: list[str]) -> Column:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logframe.functions.fields import NUMBER, auto_fields, java_regex, json_field, json_map, json_type, let, logfmt_map, parse_ts, regex_map, rest_fields
+from logframe.functions.fields import NUMBER, auto_fields, java_regex, json_field, json_map, json_type, json_variant, let, logfmt_map, parse_ts, regex_map, rest_fields
 from logframe.functions.metadata import FLAG_JSON, FLAG_LOGFMT
 
 # fixed values: the built-in layouts, severity and status classes
@@ -139,15 +139,20 @@ _FORMATS = {
 
 def layout_text(c: Column, layout: list[dict], parser: str | None = None, flags: Column | None = None, pattern: str | None = None, now_ms: int | None = None) -> Column:
     """Literals and fields in order; missing fields are left out, a blank stands between fields without a literal; null if no field matched."""
-    source = regex_map(c, pattern) if pattern else {"json": json_map, "logfmt": logfmt_map, None: lambda x: auto_fields(x, flags)}[parser](c)
-    return let(source, lambda m: _laid_out(c, m, layout, parser == "json", now_ms))
+    if pattern:
+        return let(regex_map(c, pattern), lambda m: _laid_out(c, m, layout, None, now_ms))
+    if parser == "logfmt":
+        return let(logfmt_map(c), lambda m: _laid_out(c, m, layout, None, now_ms))
+    # a JSON line is parsed once: its variant is bound beside the map of its fields
+    fields = (lambda v: json_map(c, v)) if parser == "json" else (lambda v: auto_fields(c, flags, v))
+    return let(json_variant(c), lambda v: let(fields(v), lambda m: _laid_out(c, m, layout, v, now_ms, parser == "json")))
 
 
 def _shown(raw: Column, form, now_ms: int | None) -> Column:
     return let(raw, lambda x: F.coalesce(form(x, now_ms), x))
 
 
-def _laid_out(c: Column, fields: Column, layout: list[dict], is_json: bool, now_ms: int | None) -> Column:
+def _laid_out(c: Column, fields: Column, layout: list[dict], variant: Column | None, now_ms: int | None, dotted: bool = False) -> Column:
     consumed = [e["field"] for e in layout if "field" in e and e["field"] != "_rest"]
     pieces: list[tuple[str, Column]] = []
     for e in layout:
@@ -159,12 +164,12 @@ def _laid_out(c: Column, fields: Column, layout: list[dict], is_json: bool, now_
             pairs = F.array_join(F.transform(rest, lambda x: F.concat(x["key"], F.lit("="), x["value"])), " ")
             value = F.when(F.size(rest) > 0, F.to_json(F.map_from_entries(rest)) if e.get("format") == "json" else pairs)
         else:
-            raw = json_field(c, e["field"]) if is_json and "." in e["field"] else fields[e["field"]]
+            raw = json_field(c, e["field"], variant) if dotted and "." in e["field"] else fields[e["field"]]
             form = _FORMATS[e["format"]] if e.get("format") else None
             shown = _shown(raw, form, now_ms) if form else raw
             value = fit(shown, e.get("width"), e.get("max_width"))
         if e.get("value_type"):
-            value = F.when(json_type(c, e["field"]) == e["value_type"], value)
+            value = F.when(json_type(c, e["field"], variant) == e["value_type"], value)
         pieces.append(("field", value))
     # one pass over the pieces; what a missing field leaves out is null
     entries = F.array(*[F.struct(F.lit(kind == "field").alias("field"), value.alias("text")) for kind, value in pieces])

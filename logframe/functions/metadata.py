@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logframe.functions.fields import let
+
 # fixed values: severity codes, flag bits, level aliases
 SEVERITIES = ("unknown", "trace", "debug", "info", "warn", "error", "fatal")
 FLAG_JSON, FLAG_LOGFMT, FLAG_ANSI, FLAG_TIMESTAMP, FLAG_EMPTY = 1 << 3, 1 << 4, 1 << 5, 1 << 6, 1 << 8
@@ -43,8 +45,10 @@ def has_ansi(c: Column) -> Column:
 
 def severity(c: Column) -> Column:
     """The first severity keyword that stands alone; a colour sequence counts as a word border."""
-    word = F.lower(F.regexp_extract(F.when(has_ansi(c), F.regexp_replace(c, _CSI, " ")).otherwise(c), _KEYWORD, 1))
-    return F.when(c.isNull(), None).when(is_empty(c) | (word == ""), "unknown").when(word == "warning", "warn").otherwise(word)
+    plain = lambda x: F.when(has_ansi(x), F.regexp_replace(x, _CSI, " ")).otherwise(x)
+    named = lambda w: F.when(w == "", "unknown").when(w == "warning", "warn").otherwise(w)
+    # bound, as filters on the result would repeat the line's expression with every mention
+    return let(c, lambda x: let(F.lower(F.regexp_extract(plain(x), _KEYWORD, 1)), named))
 
 
 def is_logfmt(c: Column) -> Column:
@@ -66,8 +70,12 @@ def severity_label(flags: Column) -> Column:
 
 def flags(c: Column) -> Column:
     """The packed word; an empty line has its own bit only."""
-    bits = [F.when(on, F.lit(bit)).otherwise(F.lit(0)) for on, bit in ((is_json(c), FLAG_JSON), (is_logfmt(c), FLAG_LOGFMT), (has_ansi(c), FLAG_ANSI), (has_timestamp(c), FLAG_TIMESTAMP))]
-    return F.when(is_empty(c), F.lit(FLAG_EMPTY)).otherwise(reduce(Column.bitwiseOR, bits, severity_code(severity(c))))
+
+    def packed(x: Column) -> Column:
+        bits = [F.when(on, F.lit(bit)).otherwise(F.lit(0)) for on, bit in ((is_json(x), FLAG_JSON), (is_logfmt(x), FLAG_LOGFMT), (has_ansi(x), FLAG_ANSI), (has_timestamp(x), FLAG_TIMESTAMP))]
+        return F.when(is_empty(x), F.lit(FLAG_EMPTY)).otherwise(reduce(Column.bitwiseOR, bits, severity_code(severity(x))))
+
+    return let(c, packed)
 
 
 def template_id(f: Column) -> Column:

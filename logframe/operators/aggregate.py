@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logframe.functions.fields import json_field, json_variant, let, logfmt_map
 from logframe.functions.metadata import SEVERITIES
 from logframe.operators.blocks import sums_before
 
-BLOCK = 10_000
+#: Lines in a block, and blocks that are merged at once.
+BLOCK, FAN = 10_000, 1_000
 MISSING, PARSE_ERROR, RAW = "<missing>", "<parse error>", "<raw>"
 
 
@@ -34,6 +34,19 @@ def _named(f: str) -> Column:
     return F.col(f"`{f}`")
 
 
+def _first_lines(keyed: DataFrame, keys: list[Column], members: int) -> DataFrame:
+    """Groups with ``count`` and ``line_indices``, from one pass over the lines.
+
+    Each (group, block of lines) is counted with its first lines; then blocks are merged ``FAN`` at a time, then those.
+    """
+    first = F.slice(F.array_sort(F.collect_list("line_no")), 1, members)
+    rows = keyed.groupBy(*keys, F.floor(F.col("line_no") / BLOCK).alias("__block")).agg(F.count("*").alias("count"), first.alias("line_indices"))
+    merged = F.array_sort(F.collect_list(F.struct("__block", "line_indices")))
+    lines = F.slice(F.flatten(F.transform(merged, lambda x: x["line_indices"])), 1, members).alias("line_indices")
+    rows = rows.groupBy(*keys, F.floor(F.col("__block") / FAN).alias("__block")).agg(F.sum("count").alias("count"), lines)
+    return rows.groupBy(*keys).agg(F.sum("count").alias("count"), lines)
+
+
 def count_by(df: DataFrame, fields: list[str], parser: str = "json", top: int | None = None, members: int | None = None, content: str = "content") -> DataFrame:
     """Groups with ``count`` and ``total_matches``, ordered by count (largest first), then keys.
 
@@ -41,18 +54,10 @@ def count_by(df: DataFrame, fields: list[str], parser: str = "json", top: int |
     """
     keys = [_named(f) for f in fields]
     keyed = with_group_keys(df, fields, parser, content)
-    groups = keyed.groupBy(*keys).agg(F.count("*").alias("count"))
-    if members is not None:
-        # only the blocks of lines that hold a group's first members are gathered
-        block = F.floor(F.col("line_no") / BLOCK).alias("__block")
-        before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-        blocks = keyed.groupBy(*keys, block).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        first = blocks.filter(F.col("__before") < members).select(*[_named(f).alias(f"__k{i}") for i, f in enumerate(fields)], F.col("__block").alias("__b"))
-        same = [keyed[f"`{f}`"] == first[f"__k{i}"] for i, f in enumerate(fields)] + [F.floor(keyed["line_no"] / BLOCK) == first["__b"]]
-        few = keyed.join(first, same, "left_semi")
-        lists = few.groupBy(*[_named(f).alias(f"__k{i}") for i, f in enumerate(fields)]).agg(F.slice(F.array_sort(F.collect_list("line_no")), 1, members).alias("line_indices"))
-        groups = groups.join(lists, [_named(f) == F.col(f"__k{i}") for i, f in enumerate(fields)]).select(*keys, "count", "line_indices")
-    total = groups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_matches"))
+    groups = keyed.groupBy(*keys).agg(F.count("*").alias("count")) if members is None else _first_lines(keyed, keys, members)
+    # names all columns of the groups, so that both readers share one shuffle of the lines
+    counted = F.col("count") if members is None else F.when(F.size("line_indices") >= 0, F.col("count"))
+    total = groups.agg(F.coalesce(F.sum(counted), F.lit(0)).alias("total_matches"))
     ordered = groups.withColumn("total_matches", total.scalar()).orderBy(F.desc("count"), *keys)
     return ordered if top is None else ordered.limit(top)
 
@@ -87,14 +92,28 @@ def checkpoints(df: DataFrame, every: int = 100) -> DataFrame:
     return summed.withColumns({n: F.col(n) + F.col(f"{n}_before") for n in names}).drop(*[f"{n}_before" for n in names])
 
 
+#: Line numbers that one group of checkpoints spans.
+SPAN = 1_000_000
+
+
+def _newest(points: Column) -> Column:
+    """The last two of an array of points (line_no, arrival_ts), the last first."""
+    return F.slice(F.sort_array(points, asc=False), 1, 2)
+
+
+def _rate(two: Column) -> Column:
+    """Lines a second between two points; null with fewer, or without time between them."""
+    last, prev = F.get(two, F.lit(0)), F.get(two, F.lit(1))
+    dt = (F.unix_micros(last["arrival_ts"]) - F.unix_micros(prev["arrival_ts"])) / 1e6
+    return F.when(dt > 0, (last["line_no"] - prev["line_no"]) / dt)
+
+
 def ingest_rate(points: DataFrame) -> DataFrame:
     """Per source: lines a second between the last two checkpoints; null with fewer, or without time between them."""
-    point = F.struct("line_no", "arrival_ts")
-    last = points.groupBy("source").agg(F.max(point).alias("last"))
-    earlier = points.join(last, "source").filter(F.col("line_no") < F.col("last.line_no")).groupBy("source").agg(F.max(point).alias("prev"))
-    both = last.join(earlier, "source", "left")
-    dt = (F.unix_micros("last.arrival_ts") - F.unix_micros("prev.arrival_ts")) / 1e6
-    return both.select("source", F.when(dt > 0, (F.col("last.line_no") - F.col("prev.line_no")) / dt).alias("lines_per_second"))
+    point = F.collect_list(F.struct("line_no", "arrival_ts"))
+    groups = points.groupBy("source", F.floor(F.col("line_no") / SPAN).alias("__group")).agg(_newest(point).alias("two"))
+    ends = groups.groupBy("source").agg(_newest(F.flatten(F.collect_list("two"))).alias("two"))
+    return ends.select("source", _rate(F.col("two")).alias("lines_per_second"))
 
 
 def time_range(df: DataFrame) -> DataFrame:
@@ -115,11 +134,16 @@ def stats(df: DataFrame, every: int = 100) -> DataFrame:
         F.min_by("arrival_ts", "line_no").alias("first_ts"), F.max_by("arrival_ts", "line_no").alias("arrival_ts"),
         *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES],
     )
-    ends = [F.min_by("first_ts", "block").alias("start_ts"), F.max_by("arrival_ts", "block").alias("end_ts")]
-    base = blocks.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("lines", "bytes", *names)], *ends)
+    point = F.collect_list(F.struct("line_no", "arrival_ts"))
+    sums = [F.sum(c).alias(c) for c in ("lines", "bytes", *names)]
+    groups = blocks.groupBy("source", F.floor(F.col("line_no") / SPAN).alias("__group")).agg(
+        *sums, F.min_by("first_ts", "block").alias("first_ts"), F.max_by("arrival_ts", "block").alias("last_ts"), _newest(point).alias("two")
+    )
+    ends = [F.min_by("first_ts", "__group").alias("start_ts"), F.max_by("last_ts", "__group").alias("end_ts"), _newest(F.flatten(F.collect_list("two"))).alias("two")]
+    base = groups.groupBy("source").agg(*sums, *ends)
     both = F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull()
-    base = base.withColumns({c: F.when(both, F.col(c)) for c in ("start_ts", "end_ts")})
-    return base.join(ingest_rate(blocks), "source").withColumn("columns", F.lit(",".join(sorted(df.columns))))
+    base = base.withColumns({**{c: F.when(both, F.col(c)) for c in ("start_ts", "end_ts")}, "lines_per_second": _rate(F.col("two"))}).drop("two")
+    return base.withColumn("columns", F.lit(",".join(sorted(df.columns))))
 
 
 def severity_bars(counts: DataFrame, width: int = 10) -> DataFrame:

@@ -14,15 +14,19 @@ BLOCK, FAN = 100_000, 10_000
 
 
 def sums_before(blocks: DataFrame, names: list[str], by: str = "source", block: str = "block") -> DataFrame:
-    """``blocks`` with ``<name>_before``: the sum of ``name`` over the source's earlier blocks."""
-    group = F.floor(F.col(block) / FAN)
-    upper = blocks.groupBy(by, group.alias("__group")).agg(*[F.sum(n).alias(f"__{n}") for n in names])
+    """``blocks`` with ``<name>_before``: the sum of ``name`` over the source's earlier blocks.
+
+    ``blocks`` is read once: groups of up to ``FAN`` blocks travel as arrays with their sums, the sums run over the
+    groups, and inside a group over its blocks.
+    """
+    row = F.struct(F.col(block).alias("__at"), *[F.col(c) for c in blocks.columns])
+    groups = blocks.groupBy(by, F.floor(F.col(block) / FAN).alias("__group")).agg(F.collect_list(row).alias("__rows"), *[F.sum(n).alias(f"__{n}") for n in names])
     earlier = Window.partitionBy(by).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    upper = upper.select(by, "__group", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in names])
-    inside = Window.partitionBy(by, "__group").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    lower = blocks.withColumn("__group", group).withColumns({f"{n}_before": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names})
-    joined = lower.join(upper, [by, "__group"]).withColumns({f"{n}_before": F.col(f"{n}_before") + F.col(f"__{n}") for n in names})
-    return joined.drop("__group", *[f"__{n}" for n in names])
+    groups = groups.select(by, "__group", "__rows", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in names])
+    rows = groups.select("__group", *[f"__{n}" for n in names], F.explode("__rows").alias("__row")).select("__group", *[f"__{n}" for n in names], "__row.*")
+    inside = Window.partitionBy(by, "__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"{n}_before": F.col(f"__{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names}
+    return rows.withColumns(before).select(*blocks.columns, *before)
 
 
 def running(df: DataFrame, value: Column, name: str, by: str = "source", order: str = "line_no", inclusive: bool = False, size: int = BLOCK) -> DataFrame:
@@ -40,11 +44,11 @@ def last_known(df: DataFrame, value: str, name: str, by: str = "source", order:
     """``df`` with ``name``: the last value that is not null up to this row in its source."""
     cut = df.withColumn("__block", F.floor(F.col(order) / size))
     ends = cut.groupBy(by, "__block").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("end"))
-    grouped = ends.withColumn("__group", F.floor(F.col("__block") / FAN))
-    tops = grouped.groupBy(by, "__group").agg(F.max("end").alias("top"))
-    earlier = lambda key: Window.partitionBy(by, *key[:-1]).orderBy(key[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(by, "__group", F.max("top").over(earlier(["__group"])).alias("top"))
-    carried = grouped.withColumn("carry", F.max("end").over(earlier(["__group", "__block"]))).join(tops, [by, "__group"])
+    earlier = lambda *key: Window.partitionBy(by, *key[:-1]).orderBy(key[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = ends.groupBy(by, F.floor(F.col("__block") / FAN).alias("__group")).agg(F.collect_list(F.struct("__block", "end")).alias("__rows"), F.max("end").alias("top"))
+    groups = groups.select(by, "__group", "__rows", F.max("top").over(earlier("__group")).alias("top"))
+    rows = groups.select(by, "__group", "top", F.explode("__rows").alias("__row")).select(by, "__group", "top", "__row.*")
+    carried = rows.withColumn("carry", F.max("end").over(earlier("__group", "__block")))
     carried = carried.select(F.col(by).alias("__by"), F.col("__block").alias("__at"), F.coalesce("carry", "top")["v"].alias("__carry"))
     inside = Window.partitionBy(by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumn("__newest", F.last(value, ignorenulls=True).over(inside))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logframe.functions.metadata import arrival_text, severity_label
-from logframe.operators.blocks import running
+from logframe.operators.blocks import sums_before
 
 # fixed values: limits of the reads
 MAX_LINES, MAX_CONTEXT, MAX_PAGE = 1000, 50, 5000
+# end of fixed values
+#: Lines in a block of matches that is numbered at once.
+PAGE_BLOCK = 100_000
 
 
 def _total(df: DataFrame) -> DataFrame:
@@ -74,9 +78,18 @@ def first_matches(df: DataFrame, n: int = 100) -> DataFrame:
 
 
 def page(df: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Matches [offset, offset + limit) of each source in line order, with their 1-based ``display_no``."""
+    """Matches [offset, offset + limit) of each source in line order, with their 1-based ``display_no``.
+
+    Matches are counted by block first; only those of the blocks that the page touches are numbered.
+    """
     _checked("limit", limit, MAX_PAGE)
-    ranked = running(df, F.lit(1), "display_no", inclusive=True)
+    block = F.floor(F.col("line_no") / PAGE_BLOCK)
+    counts = sums_before(df.groupBy("source", block.alias("block")).agg(F.count("*").alias("n")), ["n"])
+    touched = counts.filter((F.col("n_before") < offset + limit) & (F.col("n_before") + F.col("n") > offset))
+    touched = touched.select(F.col("source").alias("__source"), F.col("block").alias("__block"), "n_before")
+    near = df.join(touched, (F.col("source") == F.col("__source")) & (block == F.col("__block")))
+    rank = F.row_number().over(Window.partitionBy("source", "__block").orderBy("line_no"))
+    ranked = near.withColumn("display_no", F.col("n_before") + rank).drop("__source", "__block", "n_before")
     return ranked.filter((F.col("display_no") > offset) & (F.col("display_no") <= offset + limit))
 
 

@@ -2,7 +2,8 @@
 
 A spec is a dict: ``{"parser": "raw|json|logfmt", "filters": [{"field", "op", "value"}],
 "exclude": [{"field", "pattern"}]}``. Filters are joined by AND; filters on ``@ts`` bound
-the arrival time. Any boolean Column is accepted where a spec is.
+the arrival time. Any boolean Column is accepted where a spec is. Its ``aggregate`` part is
+for ``operators.query.run_query``; the functions here filter only. Unknown keys are refused.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from logframe.functions.fields import NUMBER, java_regex, json_field, json_variant, let, logfmt_map, parse_ts, resolve_time
 from logframe.functions.metadata import FLAG_EMPTY, FLAG_JSON, FLAG_LOGFMT, LEVELS, SEVERITIES, SEVERITY_MASK
 
+#: What a spec and its parts may say; anything else is a misspelling and is refused.
+SPEC_KEYS = {"": {"parser", "filters", "ts_filters", "exclude", "aggregate"}, "ts_filters": {"field", "op", "value"}, "filters": {"field", "op", "value"}, "exclude": {"field", "pattern"}, "aggregate": {"type", "fields", "limit"}}
 OPS = ("eq", "ne", "contains", "regex", "not_regex", "gt", "lt", "gte", "lte")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,14 +68,35 @@ def predicate(c: Column, op: str, value: str, now_ms: int = 0) -> Column:
     return F.coalesce(holds, F.lit(False))
 
 
+def check_spec(spec: dict) -> dict:
+    """``spec`` itself; ValueError where it has an unknown key or lacks a needed one."""
+
+    def check(part: dict, where: str, needed: set[str]) -> None:
+        if not isinstance(part, dict):
+            raise ValueError(f"{where or 'the spec'} must be a dict, not {part!r}")
+        if bad := (set(part) - SPEC_KEYS[where]) or (needed - set(part)):
+            raise ValueError(f"{where or 'the spec'} has unknown or lacks needed keys: {', '.join(sorted(map(str, bad)))}")
+
+    check(spec, "", set())
+    for where, needed in (("filters", {"field", "op", "value"}), ("ts_filters", {"op", "value"}), ("exclude", {"field", "pattern"})):
+        for part in spec.get(where) or []:
+            check(part, where, needed)
+    if spec.get("aggregate") is not None:
+        check(spec["aggregate"], "aggregate", {"type", "fields"})
+        if spec["aggregate"]["type"] != "count_by" or not spec["aggregate"]["fields"]:
+            raise ValueError("aggregate takes the type count_by and at least one field")
+    return spec
+
+
 def _bound(value, f: dict, now_ms: int) -> Column:
     return let(value(f["field"]), lambda x: predicate(x, f["op"], f["value"], now_ms))
 
 
 def split_ts(spec: dict) -> tuple[dict, list[dict]]:
-    """The spec without its ``@ts`` filters, and those."""
+    """The spec without its ``@ts`` filters, and those, given among the filters or apart."""
     filters = spec.get("filters") or []
-    return {**spec, "filters": [f for f in filters if f["field"] != "@ts"]}, [f for f in filters if f["field"] == "@ts"]
+    bounds = [f for f in filters if f["field"] == "@ts"] + list(spec.get("ts_filters") or [])
+    return {**spec, "filters": [f for f in filters if f["field"] != "@ts"], "ts_filters": []}, bounds
 
 
 def ts_bounds(arrival: Column, bounds: list[dict], now_ms: int = 0) -> Column:
@@ -123,7 +147,7 @@ def where_spec(df: DataFrame, spec: dict | Column, now_ms: int = 0, content: str
     """Lines that match. A stored ``is_json`` column prunes JSON specs; the full mask over stored ``flags`` is opt-in."""
     if isinstance(spec, Column):
         return df.filter(spec)
-    spec, bounds = split_ts(spec)
+    spec, bounds = split_ts(check_spec(spec))
     parser, columns = spec.get("parser", "raw"), df.columns
     if bounds:
         df = df.filter(ts_bounds(F.col(arrival), bounds, now_ms))

@@ -15,6 +15,7 @@ from logframe.operators import checks as ch
 from logframe.operators import merge as mg
 from logframe.operators import position as po
 from logframe.operators import predicates as pr
+from logframe.operators import query as qy
 from logframe.operators.blocks import running
 from logframe.plans import stored
 from logframe.plans.lines import SQL_JSON, SQL_LOGFMT, SQL_MIXED, SQL_PARTS, document_lines, json_lines, logfmt_lines, mixed_lines, numbered, table
@@ -80,13 +81,13 @@ def _(spark, d):
 
 
 @query("search_context", """WITH l AS (SELECT doc_id::VARCHAR AS source, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS line_no FROM documents),
-        m AS (SELECT * FROM l WHERE contains(content, '.99.'))
+        m AS (SELECT * FROM l WHERE contains(content, 'ing the '))
         SELECT m.source, m.line_no, any_value(m.content) AS content, string_agg(l.content, '|' ORDER BY l.line_no) FILTER (l.line_no < m.line_no) AS before,
             string_agg(l.content, '|' ORDER BY l.line_no) FILTER (l.line_no > m.line_no) AS after
         FROM m JOIN l ON l.source = m.source AND l.line_no BETWEEN m.line_no - 2 AND m.line_no + 2 GROUP BY m.source, m.line_no""")
 def _(spark, d):
     lines = document_lines(spark, d)
-    found = po.with_context(lines.filter(pr.match_plain(F.col("content"), ".99.", case=True)), lines, 2)
+    found = po.with_context(lines.filter(pr.match_plain(F.col("content"), "ing the ", case=True)), lines, 2)
     side = lambda c: F.when(F.size(c) > 0, F.array_join(c, "|"))
     return found.select("source", F.col("line_no").cast("int").alias("line_no"), "content", side("before").alias("before"), side("after").alias("after"))
 
@@ -207,9 +208,11 @@ def _(spark, d):
     return running(rows, size + 1, "byte_offset", size=1000).select("line_no", size.alias("byte_length"), F.col("byte_offset").cast("long").alias("byte_offset"))
 
 
-@query("fingerprint_groups", _ev("SELECT count(DISTINCT content)::BIGINT AS prints FROM l WHERE length(content) < 250", _LINES))
+@query("fingerprint_groups", """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS content FROM documents), b AS (SELECT hex(encode(content))[1:512] AS head FROM l)
+        SELECT n AS lines, count(*) AS groups FROM (SELECT head, count(*) AS n FROM b GROUP BY head) GROUP BY n""")
 def _(spark, d):
-    return mixed_lines(spark, d).filter("length(content) < 250").agg(F.count_distinct(md.fingerprint(F.col("content"))).alias("prints"))
+    groups = document_lines(spark, d).groupBy(md.fingerprint(F.col("content")).alias("print")).agg(F.count("*").alias("lines"))
+    return groups.groupBy("lines").agg(F.count("*").alias("groups"))
 
 
 # --- fields
@@ -234,10 +237,10 @@ def _(spark, d):
     return m.select("line_no", get("level").alias("level"), get("event").alias("event"), get("user").alias("usr"), get("none").alias("none"))
 
 
-@query("regex_fields", _ev("SELECT line_no, upper(level) AS lvl, service AS svc FROM ev WHERE line_no % 4 = 2"))
+@query("regex_fields", _ev("SELECT line_no, CASE WHEN line_no % 4 = 2 THEN upper(level) END AS lvl, CASE WHEN line_no % 4 = 2 THEN service END AS svc FROM ev"))
 def _(spark, d):
     m = fl.regex_map(F.col("content"), r"^\S+ \S+ (?P<lvl>[A-Z]+) (?P<svc>svc\d)")
-    return mixed_lines(spark, d).filter("line_no % 4 = 2").withColumn("m", m).select("line_no", F.col("m")["lvl"].alias("lvl"), F.col("m")["svc"].alias("svc"))
+    return mixed_lines(spark, d).withColumn("m", m).select("line_no", F.col("m")["lvl"].alias("lvl"), F.col("m")["svc"].alias("svc"))
 
 
 @query("auto_fields", _ev("SELECT line_no, CASE WHEN line_no % 4 < 2 THEN level END AS level FROM ev"))
@@ -330,10 +333,51 @@ def _(spark, d):
     return ag.ingest_rate(points).withColumn("lines_per_second", F.round("lines_per_second", 9))
 
 
-@query("stats", _ev(f"""SELECT source, count(*) AS lines, sum(octet_length(encode(content)) + 1)::BIGINT AS bytes, {_COUNTS}, min(arrival_ts) AS start_ts, max(arrival_ts) AS end_ts,
+_RATE = """(SELECT round((n2 - n1) / ((epoch_us(t2) - epoch_us(t1)) / 1e6), 9) FROM (SELECT max(line_no) AS n2, max(arrival_ts) AS t2 FROM ev),
+        (SELECT max(line_no) AS n1, max(arrival_ts) AS t1 FROM ev WHERE line_no < (SELECT max(line_no) // 100 * 100 FROM ev))) AS lines_per_second"""
+
+
+@query("stats", _ev(f"""SELECT source, count(*) AS lines, sum(octet_length(encode(content)) + 1)::BIGINT AS bytes, {_COUNTS}, min(arrival_ts) AS start_ts, max(arrival_ts) AS end_ts, {_RATE},
         'arrival_ts,content,line_no,severity,source' AS columns FROM l GROUP BY source""", _APP))
 def _(spark, d):
-    return ag.stats(numbered(spark, d).withColumn("severity", md.severity(F.col("content")))).drop("lines_per_second")
+    return ag.stats(numbered(spark, d).withColumn("severity", md.severity(F.col("content")))).withColumn("lines_per_second", F.round("lines_per_second", 9))
+
+
+# --- whole queries
+_MIXED_QUERY = {"parser": "json", **_one("level", "eq", "error")}
+
+
+@query("query_lines", _ev("""SELECT source, line_no, content, total_matches, total_matches > 20 AS truncated, strftime(arrival_ts, '%Y-%m-%dT%H:%M:%SZ') AS arrival, CAST(NULL AS VARCHAR) AS severity_label
+        FROM (SELECT *, count(*) OVER () AS total_matches FROM l WHERE line_no % 4 = 0 AND level = 'error') ORDER BY source, line_no LIMIT 20""", _LINES))
+def _(spark, d):
+    return qy.run_query(mixed_lines(spark, d), _MIXED_QUERY, max_results=20, include_ts=True).select("source", "line_no", "content", "total_matches", "truncated", "arrival", "severity_label")
+
+
+@query("query_count_by", _ev("SELECT service, event_type AS event, count(*) AS count, (SELECT count(*) FROM ev WHERE level = 'error')::BIGINT AS total_matches FROM ev WHERE level = 'error' GROUP BY ALL ORDER BY count DESC, service, event LIMIT 2"))
+def _(spark, d):
+    return qy.run_query(json_lines(spark, d), {**_MIXED_QUERY, "aggregate": {"type": "count_by", "fields": ["service", "event"], "limit": 2}})
+
+
+@query("query_context", _ev("""SELECT line_no, shown AS content, total_matches, true AS truncated, coalesce(p2 || '|', '') || p1 AS before, n1 || coalesce('|' || n2, '') AS after FROM (
+        SELECT *, count(*) FILTER (hit) OVER () AS total_matches, lag(shown, 2) OVER w AS p2, lag(shown) OVER w AS p1, lead(shown) OVER w AS n1, lead(shown, 2) OVER w AS n2
+        FROM (SELECT *, contains(content, 'WARN') AS hit, replace(replace(content, chr(27) || '[31m', ''), chr(27) || '[0m', '') AS shown FROM l) WINDOW w AS (ORDER BY line_no)) WHERE hit ORDER BY line_no LIMIT 30""", _APP))
+def _(spark, d):
+    found = qy.run_query(numbered(spark, d), pattern="WARN", case=True, max_results=30, context=2)
+    joined = {side: F.when(F.size(side) > 0, F.array_join(side, "|")) for side in ("before", "after")}
+    return found.select("line_no", "content", "total_matches", "truncated", *[c.alias(side) for side, c in joined.items()])
+
+
+@query("query_raw_lines", """WITH l AS (SELECT doc_id::VARCHAR AS source, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS line_no FROM documents)
+        SELECT source, line_no, content, count(*) OVER () AS total_matches FROM l WHERE contains(content, 'ing the ') ORDER BY source, line_no LIMIT 100""")
+def _(spark, d):
+    return qy.run_query(document_lines(spark, d), pattern="ing the ", case=True, raw=True, full=True).select("source", "line_no", "content", "total_matches")
+
+
+@query("json_null", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
+def _(spark, d):
+    text = F.when(F.col("o_orderkey") % 3 == 0, '{"a":null}').when(F.col("o_orderkey") % 3 == 1, "{}").otherwise('{"a":"x"}')
+    rows = table(spark, d, "orders").select("o_orderkey", text.alias("content"))
+    return pr.where_spec(rows, {"parser": "json", **_one("a", "eq", "null")}).select("o_orderkey")
 
 
 # --- positions
@@ -443,6 +487,29 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", fm.fmt_datetime(text).alias("absolute"), fm.fmt_datetime(text, "relative", NOW_MS).alias("relative"))
 
 
+@query("fmt_rate", """SELECT o_orderkey, CASE WHEN r >= 1 THEN printf('%.1f lines/s', r) WHEN r * 60 >= 1 THEN printf('%.1f lines/min', r * 60) ELSE printf('%.1f lines/h', r * 3600) END AS shown
+        FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 1000 + 1) / 2.0 WHEN 1 THEN (o_orderkey % 8 + 1) / 16.0 ELSE (o_orderkey % 3 + 1) / 512.0 END AS r FROM orders)""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    rate = F.when(k % 3 == 0, (k % 1000 + 1) / 2.0).when(k % 3 == 1, (k % 8 + 1) / 16.0).otherwise((k % 3 + 1) / 512.0)
+    return table(spark, d, "orders").select("o_orderkey", fm.fmt_rate(rate).alias("shown"))
+
+
+@query("fmt_duration_ns", """SELECT o_orderkey, CASE WHEN ns < 1000000 THEN (ns // 1000) || 'us' WHEN ns < 1000000000 THEN (ns // 1000000) || 'ms' ELSE (ns // 1000000000) || 's' END AS took
+        FROM (SELECT o_orderkey, ((o_orderkey % 50 + 1) * CASE o_orderkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1000000000 END)::BIGINT AS ns FROM orders)""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    ns = (k % 50 + 1) * F.when(k % 3 == 0, 1000).when(k % 3 == 1, 1_000_000).otherwise(1_000_000_000)
+    return table(spark, d, "orders").select("o_orderkey", fm.fmt_duration(ns.cast("string"), "ns").alias("took"))
+
+
+@query("layout_types", _ev("SELECT line_no, level || ' ' || user_id || ' {\"event\":\"' || event_type || '\",\"service\":\"' || service || '\"}' AS shown FROM ev"))
+def _(spark, d):
+    # a field of another type than asked for is left out; what a layout names is consumed all the same
+    layout = [{"field": "level", "value_type": "string"}, {"field": "user", "value_type": "array"}, {"field": "k", "value_type": "string"}, {"field": "user.id", "value_type": "number"}, {"field": "_rest", "format": "json"}]
+    return json_lines(spark, d).select("line_no", fm.layout_text(F.col("content"), layout, "json").alias("shown"))
+
+
 @query("fit", "SELECT c_custkey, rpad(c_mktsegment, 6, ' ') AS fixed, left(c_mktsegment, 4) AS cut FROM customer")
 def _(spark, d):
     c = F.col("c_mktsegment")
@@ -457,10 +524,10 @@ def _(spark, d):
     return json_lines(spark, d).select("line_no", text.alias("shown"))
 
 
-@query("builtin_layouts", _ev("SELECT line_no, CASE WHEN line_no % 4 = 0 THEN ' ' || rpad(level, 5, ' ') || ' |  event=' || event_type || ' k=' || k || ' service=' || service || ' user={\"id\":' || user_id || '}' ELSE ' ' || rpad(level, 5, ' ') || '  event=' || event_type || ' k=' || k || ' service=' || service || ' user=' || user_id END AS shown FROM ev WHERE line_no % 4 < 2"))
+@query("builtin_layouts", _ev("SELECT line_no, CASE WHEN line_no % 4 = 0 THEN ' ' || rpad(level, 5, ' ') || ' |  event=' || event_type || ' k=' || k || ' service=' || service || ' user={\"id\":' || user_id || '}' ELSE ' ' || rpad(level, 5, ' ') || '  event=' || event_type || ' k=' || k || ' service=' || service || ' user=' || user_id END AS shown FROM ev").replace("WHEN line_no % 4 = 0 THEN ' ' ||", "WHEN line_no % 4 > 1 THEN NULL WHEN line_no % 4 = 0 THEN ' ' ||"))
 def _(spark, d):
     text = fm.layout_first(F.col("content"), [("json", fm.LAYOUT_JSON), ("logfmt", fm.LAYOUT_LOGFMT)])
-    return mixed_lines(spark, d).filter("line_no % 4 < 2").select("line_no", text.alias("shown"))
+    return mixed_lines(spark, d).select("line_no", text.alias("shown"))
 
 
 @query("detect_layout", _ev("SELECT line_no, CASE WHEN service = 'svc0' THEN 'api' WHEN line_no % 4 = 0 THEN 'json' WHEN line_no % 4 = 1 THEN 'logfmt' END AS layout FROM ev"))
@@ -501,10 +568,10 @@ def _(spark, d):
     return resolve_sources(_named_sources(spark, d))
 
 
-@query("missing_metadata", "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("missing_metadata", "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def _(spark, d):
     customers = table(spark, d, "customer")
-    stored = table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("source"))
+    stored = table(spark, d, "orders").filter("o_orderstatus = 'P'").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("source"))
     return missing_metadata(customers.select(F.col("c_name").alias("name")), stored)
 
 
@@ -540,11 +607,11 @@ def _(spark, d):
     return ch.repair(rows, now, trusted).select("line_no", F.col("content").startswith("x").alias("changed"))
 
 
-@query("shrunk_sources", "SELECT 'app' AS source")
+@query("shrunk_sources", _ev("SELECT 'app' AS source, (sum(octet_length(encode(content)) + 1) - 1)::BIGINT AS stored_bytes, (sum(octet_length(encode(content)) + 1) - arg_max(octet_length(encode(content)), line_no) - 1 - 10)::BIGINT AS size_bytes FROM l", _APP))
 def _(spark, d):
     rows = _offsets(spark, d)
     sizes = rows.groupBy(F.col("source").alias("name")).agg((F.max("byte_offset") - 10).alias("size_bytes"))
-    return ch.shrunk_sources(rows, sizes).select("source")
+    return ch.shrunk_sources(rows, sizes).select("source", F.col("stored_bytes").cast("long").alias("stored_bytes"), F.col("size_bytes").cast("long").alias("size_bytes"))
 
 
 @query("json_records", _ev("SELECT '{\"line_no\":' || line_no || ',\"level\":\"' || level || '\"}' AS json FROM ev"))

@@ -11,14 +11,39 @@ from pyspark.sql import functions as F
 from logframe.functions import metadata as md
 from logframe.plans import lines as ln
 from logframe.plans.lines import SQL_MIXED, SQL_PARTS
-from logframe.sources.lines import append_log_table, build_log_table, read_lines
+from logframe.sources import tail
+from logframe.sources.lines import append_log_table, build_log_table, list_sources, read_lines, read_log_dir, write_results
 from logframe.streaming import live
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{home.rstrip('/')}/logframe-{uuid.uuid4().hex}"
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; removed when the session's JVM ends.
+
+    Only a local master may leave that setting unset: then a temporary folder of this machine serves.
+    """
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{(home or tempfile.gettempdir()).rstrip('/')}/logframe-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def log_files(spark: SparkSession, rows: DataFrame) -> str:
+    """A new folder with one ``<source>.log`` for each source of ``rows``, its lines in order."""
+    home = shared_folder(spark)
+    ordered = rows.repartition("source").sortWithinPartitions("source", "line_no")
+    ordered.select(F.col("source").alias("of"), "content").write.partitionBy("of").text(f"{home}/parts")
+    paths, logs = spark._jvm.org.apache.hadoop.fs.Path, f"{home}/logs"
+    files = paths(home).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(paths(logs))
+    for folder in files.listStatus(paths(f"{home}/parts")):
+        name = folder.getPath().getName()
+        if name.startswith("of="):
+            parts = [f.getPath() for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            files.rename(parts[0], paths(f"{logs}/{name[3:]}.log"))
+    return logs
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
@@ -74,6 +99,58 @@ def text_lines(spark, sf_dir):
     return by_file.agg(F.sum("n").alias("lines"), F.sum("bytes").alias("bytes"), gaps.cast("long").alias("gaps"))
 
 
+def log_dir(spark, sf_dir):
+    lines = read_log_dir(spark, log_files(spark, ln.mixed_lines(spark, sf_dir)))
+    return lines.select("source", "line_no", "content", "byte_offset", "byte_length")
+
+
+def sources(spark, sf_dir):
+    logs = log_files(spark, ln.mixed_lines(spark, sf_dir))
+    return list_sources(spark, logs, logs).select("name", "size_bytes", "location")
+
+
+def json_results(spark, sf_dir):
+    """Rows written as JSON lines and read again."""
+    out = shared_folder(spark)
+    write_results(ln.mixed_lines(spark, sf_dir).select("source", "line_no", "content"), out)
+    return spark.read.schema("source string, line_no long, content string").json(out)
+
+
+def stream_values(spark, sf_dir):
+    logs = log_files(spark, ln.mixed_lines(spark, sf_dir))
+    return drained(live.stream_lines(spark.readStream.option("lineSep", "\n").text(logs), "pipe"), "append")
+
+
+def stream_dir(spark, sf_dir):
+    return drained(live.stream_log_dir(spark, log_files(spark, ln.mixed_lines(spark, sf_dir))), "append")
+
+
+def stream_tail(spark, sf_dir):
+    tail.register(spark)
+    logs = log_files(spark, ln.mixed_lines(spark, sf_dir)).removeprefix("file:")
+    stream = spark.readStream.format("log_tail").option("path", logs).option("rangeBytes", "100000").load()
+    return drained(stream, "append").select("source", "generation", "byte_offset", "byte_length", "content")
+
+
+def captured(spark, sf_dir):
+    """Lines of a stream kept with their arrival time, in two runs of one capture."""
+    home = shared_folder(spark)
+    for _ in range(2):
+        run = live.capture(event_stream(spark, sf_dir, ln._PLAIN).select("source", "content"), f"{home}/out", f"{home}/cp")
+        run.processAllAvailable()
+        run.stop()
+    kept = spark.read.parquet(f"{home}/out")
+    return kept.groupBy(F.col("source").cast("string").alias("source"), "severity").agg(F.count("*").alias("lines"), F.count("arrival_ts").alias("timed"))
+
+
+def newest_generation(spark, sf_dir):
+    """Of each source, only what was read after its file shrank: here once for svc0, twice for svc1, never for svc2."""
+    rows = ln.mixed_lines(spark, sf_dir)
+    shrank = F.when(F.col("source") == "svc0", F.col("line_no") >= 400).when(F.col("source") == "svc1", F.col("line_no") >= 300).otherwise(False).cast("int")
+    again = F.when(F.col("source") == "svc1", F.col("line_no") >= 700).otherwise(False).cast("int")
+    return live.latest_generation(rows.withColumn("generation", shrank + again)).select("source", "line_no", "generation")
+
+
 _LEVELS = ", ".join(f"count(*) FILTER (level = '{s}') AS n_{s}" for s in md.SEVERITIES)
 _WITH = f"WITH {SQL_PARTS}"
 QUERIES = {
@@ -85,4 +162,17 @@ QUERIES = {
         FROM (SELECT service AS source, arrival_ts, date_trunc('hour', arrival_ts) - INTERVAL (h) HOUR AS start FROM ev, (VALUES (0), (1)) v(h)) GROUP BY start, source"""),
     "log_table": (log_table, f"""{_WITH} SELECT service AS source, line_no, level AS severity, line_no % 4 = 0 AS is_json, line_no % 4 = 1 AS is_logfmt, line_no % 4 = 3 AS has_ansi FROM ev"""),
     "text_lines": (text_lines, f"""{_WITH}, l AS (SELECT {SQL_MIXED} AS content FROM ev) SELECT count(*) AS lines, sum(octet_length(encode(content)))::BIGINT AS bytes, 0::BIGINT AS gaps FROM l"""),
+    "log_dir": (log_dir, f"""{_WITH}, l AS (SELECT service AS source, line_no AS pos, {SQL_MIXED} AS content FROM ev), o AS (SELECT *, octet_length(encode(content)) AS n FROM l)
+        SELECT source, (row_number() OVER w - 1)::BIGINT AS line_no, content, coalesce(sum(n + 1) OVER (PARTITION BY source ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset, n::INTEGER AS byte_length
+        FROM o WINDOW w AS (PARTITION BY source ORDER BY pos)"""),
+    "list_sources": (sources, f"""{_WITH}, l AS (SELECT service AS name, {SQL_MIXED} AS content FROM ev), s AS (SELECT name, sum(octet_length(encode(content)) + 1)::BIGINT AS size_bytes FROM l GROUP BY name)
+        SELECT name, size_bytes, location FROM s, (VALUES ('project'), ('global')) v(location)"""),
+    "json_results": (json_results, f"{_WITH} SELECT service AS source, line_no, {SQL_MIXED} AS content FROM ev"),
+    "stream_lines": (stream_values, f"{_WITH} SELECT 'pipe' AS source, {SQL_MIXED} AS content FROM ev"),
+    "stream_log_dir": (stream_dir, f"{_WITH} SELECT service AS source, {SQL_MIXED} AS content FROM ev"),
+    "log_tail": (stream_tail, f"""{_WITH}, l AS (SELECT service AS source, line_no AS pos, {SQL_MIXED} AS content FROM ev), o AS (SELECT *, octet_length(encode(content)) AS n FROM l)
+        SELECT source, 0 AS generation, coalesce(sum(n + 1) OVER (PARTITION BY source ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset, n::INTEGER AS byte_length, content FROM o"""),
+    "capture": (captured, f"{_WITH} SELECT service AS source, level AS severity, count(*) AS lines, count(*) AS timed FROM ev GROUP BY ALL"),
+    "latest_generation": (newest_generation, f"""{_WITH} SELECT service AS source, line_no, CASE service WHEN 'svc0' THEN 1 WHEN 'svc1' THEN 2 ELSE 0 END AS generation
+        FROM ev WHERE service = 'svc0' AND line_no >= 400 OR service = 'svc1' AND line_no >= 700 OR service = 'svc2'"""),
 }

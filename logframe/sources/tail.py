@@ -4,10 +4,11 @@ The driver only finds where complete lines end; tasks read the byte ranges. A fi
 became smaller starts a new generation and is read from its beginning. Files must be on
 storage that the driver and all executors see.
 
-Options: ``path`` (a folder of ``*.log`` files, or a glob), ``maxBytesPerBatch``,
-``rangeBytes`` (of one task), and ``state``, a file in which the source keeps its last
-committed place. A restarted query goes on from its checkpoint without ``state``, too;
-with it, its first batch is limited like the others if the query is new, and it notices
+Options: ``path`` (a folder of ``*.log`` files, or a glob), ``rangeBytes`` (of one task),
+``state``, a file in which the source keeps its last committed place, and
+``maxBytesPerBatch``, which needs ``state``: without it the source cannot tell a new query
+from a restarted one, and takes all there is as the first batch, in ranges of bounded size.
+A restarted query goes on from its checkpoint without ``state``, too; with it, it notices
 files that shrank while it was down.
 """
 
@@ -48,6 +49,8 @@ class TailReader(DataSourceStreamReader):
         self.batch_bytes = int(options.get("maxbytesperbatch", options.get("maxBytesPerBatch", BATCH_BYTES)))
         self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
         self.state = options.get("state")
+        if not self.state and (options.get("maxbytesperbatch") or options.get("maxBytesPerBatch")):
+            raise ValueError("maxBytesPerBatch needs the option state")
         self.at: dict | None = None
 
     def files(self) -> list[str]:

@@ -11,6 +11,7 @@ from logframe.operators import checks as ch
 from logframe.operators import merge as mg
 from logframe.operators import position as po
 from logframe.operators import predicates as pr
+from logframe.operators import query as qy
 from logframe.operators.blocks import last_known, running
 
 TS = dt.datetime(2024, 1, 1)
@@ -190,3 +191,41 @@ def test_checks(spark):
     assert tuple(ch.trusted_prefix(points, edited.limit(0)).first()) == ("s", None, False)
     mended = ch.repair(good, edited, ch.trusted_prefix(points, edited))
     assert [r.content for r in mended.orderBy("line_no").collect()] == [r.content for r in edited.orderBy("line_no").collect()]
+
+
+def test_run_query(spark):
+    rows = lines(spark, ['{"l":"error","s":"a"}', "x" * 600, '{"l":"error","s":"b"}', '{"l":"info","s":"a"}', '{"l":"error","s":"a"}', "\x1b[31mred\x1b[0m"])
+    spec = {"parser": "json", "filters": [{"field": "l", "op": "eq", "value": "error"}]}
+    got = qy.run_query(rows, spec, max_results=2, context=1).collect()
+    assert [(r.line_no, r.total_matches, r.truncated, len(r.before), len(r.after)) for r in got] == [(0, 3, True, 0, 1), (2, 3, True, 1, 1)]
+    assert got[0].after[0].startswith("x" * 500 + "…[+100") and qy.run_query(rows, spec, context=1, full=True).first().after == ["x" * 600]
+    counted = qy.run_query(rows, {**spec, "aggregate": {"type": "count_by", "fields": ["s"], "limit": 1}}).collect()
+    assert [tuple(r) for r in counted] == [("a", 2, 3)]
+    assert [tuple(r) for r in qy.run_query(rows, {**spec, "aggregate": {"type": "count_by", "fields": ["s"]}}).collect()] == [("a", 2, 3), ("b", 1, 3)]
+    red = lambda **o: qy.run_query(rows, pattern="red", **o).first()
+    assert red().content == "red" and red(raw=True).content == "\x1b[31mred\x1b[0m" and red(include_ts=True).arrival is None
+    assert qy.run_query(md.with_metadata(rows).withColumn("arrival_ts", F.lit(TS)), spec, include_ts=True).first().arrival == "2024-01-01T00:00:00Z"
+    assert qy.run_query(rows, pattern="nothing").collect() == []
+    for bad in ({"parsr": "json"}, {"filters": [{"field": "a", "value": "1"}]}, {"filters": [{"field": "a", "op": "eq", "value": "1", "x": 1}]}, {"aggregate": {"type": "sum", "fields": ["a"]}}, {"aggregate": {"type": "count_by", "fields": []}}, {"exclude": ["a"]}):
+        with pytest.raises(ValueError):
+            qy.run_query(rows, bad)
+    apart = {"parser": "raw", "ts_filters": [{"op": "gte", "value": "2024-01-02T00:00:00Z"}]}
+    assert pr.where_spec(rows.withColumn("arrival_ts", F.lit(TS)), apart).count() == 0
+
+
+def test_members_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ag, "BLOCK", 7)
+    monkeypatch.setattr(ag, "FAN", 3)
+    rows = spark.range(500).select(F.lit("s").alias("source"), F.col("id").alias("line_no"), F.concat(F.lit('{"a":"'), (F.col("id") % 60 == 0).cast("string"), F.lit('"}')).alias("content"))
+    got = {r.a: (r["count"], r.line_indices) for r in ag.count_by(rows, ["a"], members=4).collect()}
+    assert got == {"true": (9, [0, 60, 120, 180]), "false": (491, [1, 2, 3, 4])}
+
+
+def test_plans_read_lines_once(spark, tmp_path):
+    timed(spark).withColumn("content", F.lit('{"a":"x"}')).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    scans = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet")
+    assert scans(ag.checkpoints(rows)) == 1 and scans(ag.stats(rows)) == 1 and scans(po.page(rows, 1, 2)) == 2
+    assert scans(ag.count_by(rows, ["a"], members=2)) == 1
+    flagged = pr.scan_flags(rows.withColumn("flags", md.flags(F.concat("content", F.lit(" marker")))), 1, 1)
+    assert flagged._jdf.queryExecution().optimizedPlan().toString().count(" marker") <= 3  # the line's expression is not repeated for every mention
