@@ -4,19 +4,24 @@ Each stage takes (spark, docs, sf_dir) and works on everything the stage before
 All but the last return the columns of ``documents``; their decisions take effect:
 toxic documents go, one document of each near-duplicate group stays, documents with
 benchmark passages go, secrets are replaced inside texts, and the rest is encoded.
-``run`` writes each stage as Parquet into the folder of ``spark.checkpoint.dir`` and reads it back.
+``run`` writes each stage as Parquet into the folder of ``spark.checkpoint.dir`` and reads it back; a stage's
+table is removed when the next one stands, the last when the session's JVM ends.
+
+A null or empty text is scored by the toxicity model's start weight, belongs to the group of texts without words
+(one of which stays), holds no passage and no secret, and has no tokens. Null ids are ids like any other, but never
+name a group that has another. Of rows repeated whole one stays; rows under one id with different texts stay apart.
+An empty table passes through every stage. The stages return the columns of ``documents`` that they are given.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from logframe.llm import bpe, decontaminate, secret_scan, simhash, toxicity
-from logframe.llm.common import table
+from logframe.llm.common import shared_home, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Jaccard similarity of five-word shingles from which documents are near duplicates, besides op7's 4 bits.
@@ -55,10 +60,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    home = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    home = f"{shared_home(spark)}/corpus-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(home).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path(home))
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
+        if last:
+            files.delete(path(f"{home}/{last}"), True)
+        last = name
     return docs
