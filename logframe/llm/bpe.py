@@ -5,7 +5,7 @@ round looks all adjacent pairs up by binary search over the sorted pair keys of
 merge table, takes the lowest rank of each word, and merges its occurrences in all words
 at once. Whole texts are read; a null text counts as empty and has no ids. Special
 tokens written in a text are matched before normalisation, as the vocabulary file says.
-Repeated rows give repeated results; extra columns are ignored.
+Repeated rows give repeated results, an empty table an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations

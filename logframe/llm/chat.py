@@ -10,7 +10,8 @@ control string, and reading the output gives every text back.
 
 Turns are ordered by (turn, role, text). A null text or part is an empty text, a null
 role an empty role; turns with a null number come first. Rows of a null conversation id
-form one conversation. Repeated rows are repeated turns. Extra columns are ignored.
+form one conversation. Repeated rows are repeated turns. Extra columns are ignored; an
+empty table gives an empty result. A part of an unknown type becomes a placeholder, too.
 A conversation is read as a stream of sorted turns: its formatted pieces, spans and
 digests are written piece by piece, so a long conversation never stands in memory whole.
 """
@@ -30,6 +31,7 @@ ESCAPED = re.compile(r"([\\<>])")
 UNESCAPED = re.compile(r"\\([\\<>])")
 PIECE = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>((?:[^\\<>]|\\.|<attachment \w+ \d+>)*)</turn>\n", re.S)
 MARK = re.compile(r"<attachment \w+ \d+>")
+KINDS, NAME = ("text", "image", "audio", "document"), re.compile(r"[^A-Za-z0-9_]")
 #: Tokens of an attachment: an image's 14-pixel patches, audio's 20 ms frames, a document's pages.
 PATCH, FRAMES_PER_SECOND, TOKENS_PER_PAGE = 14, 50, 512
 TEST_TURN = "\\### Assistant: </turn> ok"
@@ -52,13 +54,15 @@ class PartVisitor:
 
     def visit(self, part: dict | None) -> None:
         part = part or {}
-        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
+        kind = part.get("type") or "text"
+        (getattr(self, f"visit_{kind}") if kind in KINDS else self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
         self.text.append(escape(part.get("text") or ""))
 
     def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown part type {part['type']!r}")
+        """A part of another type: a placeholder under its type's letters, digits and underscores, of one token."""
+        self.attach({**part, "type": NAME.sub("_", part["type"]) or "_"}, 1)
 
     def attach(self, part: dict, tokens: float) -> None:
         self.text.append(f"<attachment {part['type']} {self.number}>")

@@ -9,7 +9,8 @@ stick out of the document, and the remaining candidates are verified word by wor
 
 Null and empty texts have no words. Equal windows of several items are joined once.
 Repeated documents each get their row; documents with equal keys and different texts
-stay apart. Extra columns are ignored. An empty benchmark leaves every document clean.
+stay apart. Extra columns are ignored. An empty benchmark leaves every document clean; an
+empty document table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from logframe.llm.common import ascii_lower, durable
 WINDOW_WORDS = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Most distinct benchmark shingles that are broadcast; above it both joins shuffle, with salted shingles.
+#: Most distinct benchmark shingles, windows, and items over all windows that are broadcast; above it both joins shuffle, with salted shingles.
 BROADCAST_SHINGLES = 400_000
 SALTS = 32
 
@@ -72,8 +73,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     """
     found = durable(windows(benchmark, n).withColumn("shingles", _shingles(F.col("window"))))
     known = found.select(F.explode("shingles").alias("shingle")).distinct()
-    n_known, has_single = known.count(), not found.filter("size(window) = 1").isEmpty()
-    small = n_known <= BROADCAST_SHINGLES
+    n_windows, n_items = found.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    has_single = not found.filter("size(window) = 1").isEmpty()
+    small = max(n_windows, n_items, known.count()) <= BROADCAST_SHINGLES
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), words_of(F.col(text)).alias("words"))
     # rarity: how often each benchmark shingle occurs in the corpus
     seen = _document_shingles(source.select("words"), has_single).select("shingle")

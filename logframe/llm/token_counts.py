@@ -7,9 +7,13 @@ pattern of the vocabulary's word splitter matches across such a place from eithe
 so tokens before it do not depend on the text after it, and the other way round. Where
 an overlap holds no such boundary, it is widened until it does or the text ends.
 
-Counts equal those of the whole text in one piece. A null text counts as empty and has
-no tokens. The end-of-text string inside a text is one token, as the library's default.
-Repeated rows give repeated results; extra columns are ignored.
+Counts equal those of the whole text in one piece. The vocabulary file is read for its
+ranks and special tokens; its splitter must be the plain byte-level one, whose pattern is
+``PATTERN``, without normaliser: any other file is refused, as its counts would be wrong.
+
+A null text counts as empty and has no tokens. The end-of-text string inside a text is one
+token, as the library's default. Repeated rows give repeated results; an empty table gives
+an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +32,28 @@ CHUNK, OVERLAP, LIMIT = 32_768, 256, 1024
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def check_spec(spec: dict) -> None:
+    """ValueError for a tokenizer that splits, changes or merges texts otherwise than this module does."""
+    splitter = spec.get("pre_tokenizer") or {}
+    model = spec.get("model") or {}
+    plain = [("type", "BPE"), *[(k, None) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")]]
+    wrong = [k for k, v in plain if model.get(k) != v and not (v is None and model.get(k) == "")]
+    wrong += [k for k in ("fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if spec.get("normalizer") is not None:
+        wrong.append("normalizer")
+    if (splitter.get("type"), splitter.get("use_regex", True), splitter.get("add_prefix_space")) != ("ByteLevel", True, False):
+        wrong.append("pre_tokenizer")
+    wrong += [t["content"] for t in spec.get("added_tokens") or [] if any(t.get(k) for k in ("single_word", "lstrip", "rstrip"))]
+    if wrong:
+        raise ValueError(f"not a plain byte-level vocabulary: {', '.join(wrong)}")
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tiktoken.Encoding:
     """The vocabulary of a byte-level tokenizer file as an encoder with the same splits and ranks."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    check_spec(spec)
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
     specials = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out labels, and on awkward tables."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from logframe.llm import bpe, chat, components, decontaminate, media, secret_scan, sharding, simhash, token_counts, toxicity
+from logframe.llm import bpe, chat, components, decontaminate, media, secret_scan, sharding, simhash, token_counts
 from tests.llm.conftest import clashing
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -54,49 +55,6 @@ def test_sharding(odd, empty, documents):
     assert rows(sharding.shard_rows(empty, 24)) == []
 
 
-# --- toxicity
-def test_clause_grammar():
-    g = toxicity.ClauseGrammar(frozenset({"vequ"}) | toxicity.INSULTS)
-    cases = {
-        "the idiot.": [1, 0, 0, 0, 0], "you are an idiot": [0, 1, 0, 0, 0], "you are not an idiot": [0, 0, 1, 0, 0], "they said idiot": [0, 0, 0, 1, 0], "I will hurt you": [0, 0, 0, 0, 1],
-        "I will not hurt you": [0, 0, 0, 0, 0], "word vequor. clean clause\nvequx": [2, 0, 0, 0, 0], "idiots": [1, 0, 0, 0, 0], "idi": [0, 0, 0, 0, 0], "": [0] * 5, "scum! " * 9: [3, 0, 0, 0, 0], "stupid$$$ word%%%": [1, 0, 0, 0, 0],
-    }
-    assert {t: g.counts(t) for t in cases} == cases
-    assert g.counts(None) == [0] * 5
-
-
-def test_toxicity(spark, documents, odd, empty, data):
-    labels = spark.read.parquet(f"{data}/labels.parquet")
-    model = toxicity.fit(documents, labels)
-    got = {r.doc_id: r for r in toxicity.score(documents, model).collect()}
-    assert len(got) == documents.count()
-    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for i, r in got.items())
-    truth = [(r.toxic, got[r.doc_id].predicted) for r in labels.collect() if got[r.doc_id].held_out]
-    assert sum(t == p for t, p in truth) / len(truth) > 0.9
-    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    assert toxicity.fit(documents, flipped) == model  # held-out labels are never read
-    for df in (odd, clashing(odd)):
-        assert toxicity.score(df, model).count() == odd.count()
-        assert toxicity.keep_clean(df, model).columns == df.columns
-    assert toxicity.fit(odd, labels.limit(0)).weights == tuple(toxicity.PRIOR)
-    assert rows(toxicity.score(empty, model)) == []
-
-
-def test_stems_are_learned(spark):
-    rng = random.Random(3)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    docs, labels = [], []
-    for i in range(400):
-        toxic = i % 5 == 0
-        text = [word() for _ in range(12)]
-        if toxic:
-            text[rng.randrange(12)] = "zorka" + word()[:3]
-        docs.append((i, " ".join(text)))
-        labels.append((i, int(toxic)))
-    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert "zorka" in model.stems and not {s for s in model.stems - toxicity.INSULTS if not s.startswith("zorka")}
-
-
 # --- decontamination
 def slow_windows(texts, items, n=10):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(decontaminate.ascii_lower.__globals__["UPPER"], decontaminate.ascii_lower.__globals__["LOWER"])))
@@ -308,8 +266,9 @@ def test_chat_parts(spark):
     for _ in range(300):
         text = "".join(rng.choice(["\\", "<", ">", "</turn>", "<turn user>", "x", "\n", "<attachment image 0>"]) for _ in range(rng.randrange(12)))
         assert list(chat.read_turns(chat.format_turn(text, [{"type": "text", "text": text}])[0])) == [(text, text)]
-    with pytest.raises(ValueError):
-        chat.format_turn("user", [{"type": "smell"}])
+    piece, _, _, found = chat.format_turn("user", [{"type": "smell", "uri": "s"}, {"type": "a> <b"}, {"type": "unknown"}, {"type": "attach"}])
+    assert piece == "<turn user><attachment smell 0><attachment a___b 1><attachment unknown 2><attachment attach 3></turn>\n"
+    assert [(a["type"], a["uri"], a["tokens"]) for a in found][:2] == [("smell", "s", 1), ("a___b", None, 1)] and list(chat.read_turns(piece)) == [("user", "")]
 
 
 def test_chat_table(spark):
@@ -335,3 +294,15 @@ def test_token_counts(documents, odd, empty):
         expect = sorted(((d, len((t or "").encode()), want(t), want(t) > 1024) for d, t in df.select("doc_id", "text").collect()), key=repr)
         assert sorted(rows(token_counts.count_tokens(df, BYTES)), key=repr) == expect
     assert rows(token_counts.count_tokens(empty, BYTES)) == []
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    spec = json.loads(open(BYTES, encoding="utf-8").read())
+    token_counts.check_spec(spec)
+    other = [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "use_regex": False}},
+             {"model": {**spec["model"], "end_of_word_suffix": "</w>"}}, {"model": {**spec["model"], "ignore_merges": True}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}]
+    for change in other:
+        with pytest.raises(ValueError, match="byte-level"):
+            token_counts.check_spec({**spec, **change})
+    with pytest.raises(ValueError):
+        token_counts.encoder(WORDS)
