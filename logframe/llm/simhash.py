@@ -23,8 +23,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.window import Window
 
 from logframe.llm.common import durable, map_arrow
@@ -41,32 +42,34 @@ DENSE = 32
 SEGMENTS_SMALL = ((0, 22, 0), (22, 21, 1), (43, 21, 1))
 SEGMENTS_LARGE = ((0, 32, 2), (32, 32, 1))
 LARGE = 1 << 28
-#: MinHash bands and the values in each; texts that one task compares of one bucket.
-BANDS, BAND_VALUES, TEXTS = 20, 4, 1024
+#: MinHash bands and the values in each; texts and shingles that one task compares.
+BANDS, BAND_VALUES, TEXTS, SHINGLES = 20, 4, 4096, 1 << 20
+#: Copies of a band's table of smallest texts, against bands that very many texts share; cut clusters that are broadcast.
+SALTS, BROADCAST_CLUSTERS = 16, 200_000
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> list[int]:
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
     """A hash of each word shingle of one text, in order; of the whole text where it is shorter."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return []
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(parts) - words + 1)
     last = ends[-1:] if len(parts) < words else ends[words - 1 :]
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)]
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
 
 
-def _majority(hashes: list[int]) -> int:
+def _majority(hashes: np.ndarray) -> int:
     n = len(hashes)
     if not n:
         return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, n, 8192):
-        block = np.array(hashes[i : i + 8192], dtype=">u8")
+        block = hashes[i : i + 8192].astype(">u8")
         ones += np.unpackbits(block.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
@@ -82,9 +85,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(hashes: list[int]) -> np.ndarray:
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
     """Distinct shingles of one word more: each is two adjacent ones. A text of one shingle keeps it."""
-    h = np.array(hashes, dtype=np.uint64)
+    h = hashes
     return np.unique(_mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h)
 
 
@@ -102,18 +105,23 @@ def bands(shingles: np.ndarray) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", banded: bool = False) -> DataFrame:
-    """(doc_id, text_key, fp) for every row; text_key is a hash of the text itself. ``banded`` adds the MinHash bands."""
+    """(doc_id, text_key, fp) for every row; text_key is a hash of the text itself. ``banded`` adds bands and n_shingles."""
     import pyarrow as pa
 
+    def one(text: str | None) -> tuple:
+        hashes = shingle_hashes(text)
+        if not banded:
+            return (_majority(hashes),)
+        shingles = shingle_set(hashes)
+        return _majority(hashes), bands(shingles), len(shingles)
+
     def run(batch):
-        hashes = [shingle_hashes(t) for t in batch.column(2).to_pylist()]
-        out = [batch.column(0), batch.column(1), pa.array(map(_majority, hashes), pa.int64())]
-        if banded:
-            out.append(pa.array([bands(shingle_set(h)) for h in hashes], pa.list_(pa.int64())))
-        return pa.RecordBatch.from_arrays(out, names=["doc_id", "text_key", "fp", "bands"][: len(out)])
+        made = zip(*(one(t.as_py()) for t in batch.column(2)), strict=True)
+        arrays = [pa.array(c, k) for c, k in zip(made, (pa.int64(), pa.list_(pa.int64()), pa.int64()), strict=False)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_key", "fp", "bands", "n_shingles"][: 2 + len(arrays)])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return map_arrow(rows, run, "doc_id long, text_key long, fp long" + (", bands array<long>" if banded else ""))
+    return map_arrow(rows, run, "doc_id long, text_key long, fp long" + (", bands array<long>, n_shingles long" if banded else ""))
 
 
 def _masks(bits: int, radius: int) -> list[int]:
@@ -236,74 +244,171 @@ def _whole_buckets(names: list[str], fn):
     return run
 
 
-def _similar_in_bucket(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs whose Jaccard similarity is at least ``similarity``."""
-    sizes = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    marked = np.zeros(int(ids.max()) + 1, dtype=np.int64)
-    left, out = np.arange(1, len(sets)), []
-    stack = [0]
-    while len(left):
-        if not stack:
-            stack, left = [left[0]], left[1:]
-            continue
-        at = stack.pop()
-        own = ids[begins[at] : begins[at] + sizes[at]]
-        marked[own] = 1
-        both = np.add.reduceat(marked[ids], begins)[left]
-        marked[own] = 0
-        near = both >= similarity * (sizes[left] + sizes[at] - both) - 1e-9
-        out += [(int(at), int(x)) for x in left[near]]
-        stack.extend(left[near])
-        left = left[~near]
+class _Sets:
+    """Shingle sets of one task, for counting what one of them shares with the others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        _, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.begins = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.marked = np.zeros(int(self.ids.max()) + 1, dtype=np.int32)
+
+    def near(self, at: int, similarity: float) -> np.ndarray:
+        """Whether each set has at least this Jaccard similarity with the set ``at``."""
+        own = self.ids[self.begins[at] : self.begins[at] + self.sizes[at]]
+        self.marked[own] = 1
+        both = np.add.reduceat(self.marked[self.ids], self.begins)
+        self.marked[own] = 0
+        return both >= similarity * (self.sizes + self.sizes[at] - both) - 1e-9
+
+
+def _spanning(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs whose similarity is at least ``similarity``."""
+    known, left, stack, out = _Sets(sets), np.ones(len(sets), dtype=bool), [], []
+    for first in range(len(sets)):
+        if left[first]:
+            left[first], stack = False, [first]
+        while stack and left.any():
+            at = stack.pop()
+            found = np.flatnonzero(known.near(at, similarity) & left)
+            left[found] = False
+            out += [(at, int(x)) for x in found]
+            stack.extend(found.tolist())
     return out
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, similarity: float, key: str = "doc_id", text: str = "text", chunk: int = TEXTS) -> DataFrame:
-    """Edges (a, b) between fingerprints of texts whose shingle sets have at least ``similarity``; ``rows`` are banded fingerprints.
+def _bridges(sets: list[np.ndarray], parts: list[int], sides: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Edges from sets of side 1 to sets of other parts."""
+    known, part, out = _Sets(sets), np.array(parts), []
+    for at in np.flatnonzero(np.array(sides) == 1):
+        for x in np.flatnonzero(known.near(at, similarity) & (part != part[at])):
+            out.append((int(at), int(x)))
+            part[part == part[x]] = part[at]  # now one part
+    return out
 
-    Only texts that share a band are compared, each distinct text once. Bands with equal
-    members are one bucket; a bucket above ``chunk`` texts is cut into pairs of chunks.
-    """
-    band = Window.partitionBy("value")
-    met = (
-        rows.select(F.explode("bands").alias("value"), "text_key").distinct()
-        .withColumns({"members": F.count("*").over(band), "sum": F.sum(F.shiftright(F.xxhash64("text_key"), 24)).over(band)})
-        .filter("members > 1")
-    )
-    met = durable(met.select(F.xxhash64("members", "sum").alias("bucket"), "members", "text_key").distinct())
-    wanted = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).join(met.select("text_key").distinct(), "text_key", "left_semi")
-    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+
+def _in_groups(rows: DataFrame, keys: list[str], edges) -> DataFrame:
+    """Edges (a, b) between fingerprints; ``edges`` gives index pairs for the columns fp, shingles, ... of one group of ``keys``."""
+    import pyarrow as pa
+
+    n = len(keys)
+    columns = [c for c in rows.columns if c not in keys]
+
+    def run(batches):
+        now, held = None, []
+
+        def done():
+            found = edges(*[list(c) for c in zip(*held, strict=True)][1:]) if len(held) > 1 else []
+            pairs = {(held[x][0], held[y][0]) for x, y in found if held[x][0] != held[y][0]}
+            a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                group = tuple(x.as_py() for x in row[:n])
+                if group != now:
+                    if held:
+                        yield done()
+                    now, held = group, []
+                fp, shingles, *more = (x.as_py() for x in row[n:])
+                held.append((fp, np.frombuffer(shingles, np.uint64), *more))
+        if held:
+            yield done()
+
+    ordered = rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, "fp")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """``wanted`` (doc_id, text_key, ...) with ``shingles``, from the texts, each once."""
+    import pyarrow as pa
+
+    more = [c for c in wanted.columns if c not in ("doc_id", "text_key")]
+    named = wanted.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), *more)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    source = source.join(wanted, source["doc_id"].eqNullSafe(F.col("__id")) & (source["text_key"] == F.col("__key"))).select("doc_id", "text_key", "text")
+    source = source.join(named, source["doc_id"].eqNullSafe(F.col("__id")) & (source["text_key"] == F.col("__key"))).select("text_key", *more, "text")
 
     def sets(batch):
-        import pyarrow as pa
+        made = pa.array((shingle_set(shingle_hashes(t.as_py())).tobytes() for t in batch.column(batch.num_columns - 1)), pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=["text_key", *more, "shingles"])
 
-        hashes = [shingle_hashes(t) for t in batch.column(2).to_pylist()]
-        made = pa.array([shingle_set(h).tobytes() for h in hashes], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(map(_majority, hashes), pa.int64()), made], names=["text_key", "fp", "shingles"])
+    schema = StructType([source.schema["text_key"], *[source.schema[c] for c in more], StructField("shingles", BinaryType())])
+    return map_arrow(source, sets, schema).dropDuplicates(["text_key"])
 
-    texts = map_arrow(source, sets, "text_key long, fp long, shingles binary").dropDuplicates(["text_key"])
-    k = F.ceil(F.col("members") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("text_key"), k).cast("int")
-    pairs = F.when(k == 1, F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.least(x, mine) * k + F.greatest(x, mine))
-    )
-    dealt = met.select("bucket", "text_key", F.explode(pairs.cast("array<long>")).alias("pair")).join(texts, "text_key")
-    ordered = dealt.select("bucket", "pair", "fp", "shingles").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "fp")
 
-    def similar(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, group in pdf.groupby(["bucket", "pair"], sort=False):
-            fp = group["fp"].to_numpy()
-            for x, y in _similar_in_bucket([np.frombuffer(s, np.uint64) for s in group["shingles"]], similarity):
-                a.append(fp[x])
-                b.append(fp[y])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+def _parts(count: Column, shingles: Column, texts: int, size: int) -> Column:
+    """Into how many parts so many texts with so many shingles are cut."""
+    return F.greatest(F.ceil(count / texts), F.ceil(shingles / size), F.lit(1)).cast("int")
+
+
+class Similar:
+    """Links between texts whose five-word shingle sets have at least a Jaccard similarity.
+
+    ``rows`` are banded fingerprints. Texts that share a MinHash band are candidates; each
+    distinct text counts once. Candidates that hang together form a cluster. A cluster of
+    up to ``texts`` texts (and ``size`` shingles) is one task, which gives a spanning forest
+    of its links. A larger one is cut twice, by two hashes, so that what is alike hangs
+    together after both; ``rest`` then compares what shares a band and still does not.
+    """
 
-    return ordered.mapInPandas(_whole_buckets(["bucket", "pair"], similar), "a long, b long").filter("a <> b").distinct()
+    def __init__(self, docs: DataFrame, rows: DataFrame, similarity: float, key: str = "doc_id", text: str = "text", texts: int = TEXTS, size: int = SHINGLES):
+        self.docs, self.similarity, self.key, self.text, self.texts, self.size = docs, similarity, key, text, texts, size
+        known = rows.filter("n_shingles > 0").groupBy("text_key").agg(*[F.min_by(c, F.coalesce("doc_id", F.lit(1 << 62))).alias(c) for c in ("doc_id", "fp", "n_shingles", "bands")])
+        known = durable(known)
+        met = known.select(F.explode("bands").alias("value"), "text_key").withColumn("salt", F.pmod("text_key", F.lit(SALTS)))
+        least = met.groupBy("value").agg(F.min("text_key").alias("least"), F.count("*").alias("n")).filter("n > 1").select("value", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        near = met.join(least.withColumn("salt", F.col("salt").cast("long")), ["value", "salt"]).filter("text_key <> least").select(F.col("text_key").alias("a"), F.col("least").alias("b"))
+        placed = durable(known.join(connected(near), F.col("text_key") == F.col("node")).drop("node"))
+        parts = placed.groupBy("root").agg(_parts(F.count("*"), F.sum("n_shingles"), texts, size).alias("k")).filter("k > 1")
+        self.large = durable(parts)
+        large = self.large.select(F.col("root").alias("__root"), "k")
+        if self.large.count() <= BROADCAST_CLUSTERS:
+            large = F.broadcast(large)
+        self.placed = placed.join(large, F.col("root") == F.col("__root"), "left").drop("__root")
+
+    def links(self) -> DataFrame:
+        part = lambda seed: F.pmod(F.xxhash64("text_key", F.lit(seed)), F.col("k")).cast("int")
+        parts = F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.array(part(1), -1 - part(2)))
+        held = _with_sets(self.docs, self.placed.select("doc_id", "text_key", "fp", "root", parts.alias("parts")), self.key, self.text)
+        dealt = held.select("root", F.explode("parts").alias("part"), "fp", "shingles")
+        similarity = self.similarity
+        return _in_groups(dealt, ["root", "part"], lambda sets: _spanning(sets, similarity))
+
+    def rest(self, found: DataFrame) -> DataFrame | None:
+        """The links that ``found`` (node, root) does not yet connect, of the clusters that were cut.
+
+        In a band, the largest component is compared with all others, and these with each
+        other, in tasks of one part of each; the largest is not compared with itself.
+        """
+        if self.large.isEmpty():
+            return None
+        roots = found.select(F.col("node").alias("__node"), F.col("root").alias("component"))
+        texts = self.placed.filter("k is not null").join(roots, F.col("fp") == F.col("__node"), "left").drop("__node").withColumn("component", F.coalesce("component", "fp"))
+        texts = durable(texts.select("doc_id", "text_key", "fp", "n_shingles", "bands", "component"))
+        met = texts.select(F.explode("bands").alias("value"), "text_key", "fp", "n_shingles", "component")
+        sizes = met.groupBy("value", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+        several = sizes.groupBy("value").agg(
+            F.max(F.struct("n", "component", "s")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("components")
+        ).filter("components > 1")
+        main = _parts(F.col("most.n"), F.col("most.s"), self.texts, self.size).alias("k_main")
+        others = _parts(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s"), self.texts, self.size).alias("k_others")
+        several = durable(several.select(F.col("value").alias("v"), F.col("most.component").alias("main"), main, others))
+        if several.isEmpty():
+            return None
+        dealt = met.join(several, F.col("value") == F.col("v"))
+        own = lambda k: F.pmod(F.xxhash64("text_key", F.lit(3)), F.col(k)).cast("int")
+        task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+        upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+        is_main = F.col("component") == F.col("main")
+        with_main = F.when(is_main, F.transform(upto("k_others"), lambda j: task("main", own("k_main"), j, F.lit(0)))).otherwise(F.transform(upto("k_main"), lambda i: task("main", i, own("k_others"), F.lit(1))))
+        among = F.when(is_main, F.filter(with_main, lambda x: F.lit(False))).otherwise(
+            F.transform(upto("k_others"), lambda j: task("others", F.least(j, own("k_others")), F.greatest(j, own("k_others")), F.lit(1)))
+        )
+        tasks = dealt.select("text_key", "value", "component", F.explode(F.concat(with_main, among)).alias("t"))
+        sets = _with_sets(self.docs, texts.select("doc_id", "text_key", "fp").join(tasks.select(F.col("text_key").alias("__k")).distinct(), F.col("text_key") == F.col("__k"), "left_semi"), self.key, self.text)
+        rows = tasks.join(sets, "text_key").select("value", "t.kind", "t.i", "t.j", "fp", "shingles", "component", "t.side")
+        similarity = self.similarity
+        return _in_groups(rows, ["value", "kind", "i", "j"], lambda sets, parts, sides: _bridges(sets, parts, sides, similarity))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
@@ -317,8 +422,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     edges = links(fps.select("fp"), distance)
     if similarity is not None:
-        edges = edges.union(similar_links(docs, rows, similarity, key, text))
+        similar = Similar(docs, rows, similarity, key, text)
+        edges = durable(edges.union(similar.links()))
     found = durable(connected(edges))
+    if similarity is not None and (rest := similar.rest(found)) is not None:
+        rest = durable(rest)
+        found = found if rest.isEmpty() else durable(connected(edges.union(rest)))
     named = found.join(fps, found.node == fps.fp).groupBy("root").agg(F.min("first").alias("least"))
     moved = found.join(named, "root").select(F.col("node").alias("fp"), "root", "least")
     final = fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"), "copies")

@@ -9,7 +9,7 @@ composed into one (``logframe.llm.transducers``):
   the right first, then from the left, so a target on either side counts;
 * negation and report: what follows one within ``REACH`` words is negated or reported;
 * insult: writes the pattern negated, reported, aimed or plain;
-* threat: writes the pattern threat for an aimed threat that is neither negated nor reported.
+* threat: writes the pattern menace for an aimed threat that is neither negated nor reported.
 
 So a word counts only through the clause that holds it. The weight of a text is the sum of
 the arcs of its matches, that is of the patterns' and the stems' weights, over its distinct
@@ -20,8 +20,7 @@ weights are fitted to labels by a ridge logistic regression.
 Learning uses labelled rows only where crc32(doc_id as text) mod 5 is not 0, and of these
 at most ``LABELLED`` documents, those with the smallest hash. Whole texts are scored. Null
 and empty texts have no clauses and get the start weight's score. Conflicting labels of one
-document count as their maximum; of several texts under one id the smallest is learned
-from. Without any label (or with one class only) the built-in weights stand. Repeated rows
+document count as their maximum; of several texts under one id each is learned from. Without any label (or with one class only) the built-in weights stand. Repeated rows
 get equal scores; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -48,6 +47,8 @@ SHORTEST, LONGEST = 3, 16
 #: fewer than CHANCE such stems among all.
 LEAST_DOCUMENTS, CHANCE = 4, 1e-2
 HOLD_OUT = 5
+#: Stems that a task holds before it hands them on.
+FLUSH = 50_000
 
 # fixed values: public lists of function words, threats with their endings, and plain insults
 TARGETS = frozenset("you your yours yourself he him his she her they them their we us everyone somebody du dich dir ihr euch tu te toi vous tú usted vosotros".split())
@@ -65,7 +66,7 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "other", "insult", "threat", "
 SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
 #: Marks that the transducers put behind a symbol.
 AIMED, NEGATED, REPORTED = ">", "-", "\""
-PATTERNS = ("plain", "aimed", "negated", "reported", "threat")
+PATTERNS = ("plain", "aimed", "negated", "reported", "menace")
 #: Weight of a public insult that labels say nothing of, and prior weights in log odds:
 #: start, each pattern, stems (a factor), logarithm of the number of words.
 PUBLIC = 4.0
@@ -103,7 +104,7 @@ def pattern_of(symbol: str) -> str | None:
     """The pattern of a marked symbol; None for what is no match."""
     if symbol.startswith(INSULT):
         return "negated" if NEGATED in symbol else "reported" if REPORTED in symbol else "aimed" if AIMED in symbol else "plain"
-    return "threat" if symbol == THREAT + AIMED else None
+    return "menace" if symbol == THREAT + AIMED else None
 
 
 def writer(kind: str, weights: dict[str, float]) -> Transducer:
@@ -203,8 +204,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) ->
         .limit(bound)
     )
     # at most ``bound`` rows of two numbers
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-    return found.groupBy("labelled", "label").agg(F.min("text").alias("text")).select("label", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("label", "text")
 
 
 def _evidence(t: Column, c: Column, rate: float) -> Column:
@@ -227,18 +227,26 @@ def learn_stems(rows: DataFrame) -> tuple[tuple[tuple[str, float], ...], int, in
         return public, toxic, clean
 
     def beginnings(batches):
+        labels, stems, places = [], [], []
+
+        def made():
+            arrays = [pa.array(labels, pa.int32()), pa.array(stems, pa.string()), pa.array(places, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=["label", "stem", "place"])
+
         for batch in batches:
-            labels, stems, places = [], [], []
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = ["", *WORD.findall((text or "").lower()), ""]
+            for label, text in zip(batch.column(0), batch.column(1), strict=True):
+                words = ["", *WORD.findall((text.as_py() or "").lower()), ""]
                 found: dict[str, int] = {}
                 for i in range(1, len(words) - 1):
                     for n in range(SHORTEST, min(len(words[i]), LONGEST) + 1):
                         found.setdefault(words[i][:n], i)
                 stems += found
-                labels += [label] * len(found)
+                labels += [label.as_py()] * len(found)
                 places += [xxhash.xxh64_intdigest(" ".join(words[i - 1 : i + 2])) >> 1 for i in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(stems, pa.string()), pa.array(places, pa.int64())], names=["label", "stem", "place"])
+                if len(stems) >= FLUSH:  # a few texts at a time stand in memory
+                    yield made()
+                    labels, stems, places = [], [], []
+        yield made()
 
     # copies of a document show a stem first in the same place, between the same words: they are one piece of evidence
     seen = rows.select("label", "text").mapInArrow(beginnings, "label int, stem string, place long").distinct()
@@ -261,13 +269,16 @@ def learn_stems(rows: DataFrame) -> tuple[tuple[tuple[str, float], ...], int, in
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
-    """Stems, then weights from the table of distinct feature vectors: at most ``bound`` rows reach the driver."""
+    """Stems, then weights from the table of distinct feature vectors with their numbers: at most ``bound`` reach the driver.
+
+    There are no more than labelled documents, unless ids repeat with many different texts.
+    """
     rows = durable(labelled_rows(docs, labels, bound))
     stems, toxic, clean = learn_stems(rows)
     prior = Model(stems, tuple(PRIOR.tolist()))
     if not toxic or not clean:
         return prior
-    cells = with_features(rows, prior, ["label"]).groupBy("label", "features").count().orderBy("label", "features").collect()
+    cells = with_features(rows, prior, ["label"]).groupBy("label", "features").count().orderBy("label", "features").limit(bound).collect()
     x = np.column_stack([np.ones(len(cells)), np.array([c["features"] for c in cells])])
     y, n = np.array([c["label"] for c in cells], dtype=np.float64), np.array([c["count"] for c in cells], dtype=np.float64)
     w = PRIOR.copy()

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as cp
-from logframe.llm import simhash
+from logframe.llm import components, simhash
 from tests.llm.conftest import SCHEMA
 
 
@@ -32,17 +32,60 @@ def test_no_pair_of_similar_texts_is_kept(spark):
     assert kept == {i for i in range(len(texts)) if i % 4 == 0} and not [p for p in pairs if kept >= set(p)]
 
 
-def test_similar_links_in_chunks(spark):
+def brute(texts, similarity=0.8):
+    """Classes of texts (lists of indices) by chains of similar pairs."""
+    sets, left, out = [shingles(t) for t in texts], set(range(len(texts))), []
+    while left:
+        todo, group = [left.pop()], set()
+        while todo:
+            a = todo.pop()
+            group.add(a)
+            near = {b for b in left if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+            left -= near
+            todo += near
+        out.append(frozenset(group))
+    return set(out)
+
+
+def classes(spark, given, **more):
+    """The same by the links, with cut clusters."""
+    df = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in enumerate(given)], SCHEMA)
+    rows = simhash.fingerprints(df, banded=True)
+    similar = simhash.Similar(df, rows, 0.8, **more)
+    first = similar.links()
+    found = components.connected(first)
+    rest = similar.rest(found)
+    n_first, n_rest = first.count(), rest.count() if rest is not None else 0
+    if n_rest:
+        found = components.connected(first.union(rest))
+    roots = {r.node: r.root for r in found.collect()}
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(roots.get(r.fp, r.fp), set()).add(r.doc_id)
+    return set(map(frozenset, groups.values())), n_first, n_rest
+
+
+def test_clusters_in_parts(spark):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 200, 5)]
-    df = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in enumerate(texts * 2)], SCHEMA)
-    found = simhash.similar_links(df, simhash.fingerprints(df, banded=True), 0.8, chunk=7)
-    from logframe.llm import components
+    assert classes(spark, texts * 2, texts=7)[0] == brute(texts * 2) == {frozenset(range(80))}
+    assert classes(spark, texts, size=1500)[0] == {frozenset(range(40))}
+
 
-    assert len({r.root for r in components.connected(found).collect()}) == 1
+def test_what_parts_leave_is_compared(spark):
+    # a chain: each text is like its neighbours only, so parts of three leave most of its links to the rest
+    words = [f"w{i}" for i in range(400)]
+    chain = [" ".join(words[10 * i : 10 * i + 120]) for i in range(24)]
+    other = [" ".join(f"o{i}" for i in range(60)), " ".join(words[:60])]
+    want = brute([*chain, *other])
+    got, first, rest = classes(spark, [*chain, *other], texts=3)
+    assert got == want and rest > 0 and max(map(len, want)) == 24
+    assert classes(spark, [*chain, *other])[0] == want
 
 
 def test_similarity_is_exact():
     sets = [np.arange(100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64), np.arange(12, 112, dtype=np.uint64)]
-    assert simhash._similar_in_bucket([sets[0], sets[1]], 0.8) == [(0, 1)]  # 90 of 110
-    assert simhash._similar_in_bucket([sets[0], sets[2]], 0.8) == []  # 88 of 112
+    assert simhash._spanning([sets[0], sets[1]], 0.8) == [(0, 1)]  # 90 of 110
+    assert simhash._spanning([sets[0], sets[2]], 0.8) == []  # 88 of 112
+    assert simhash._spanning([sets[0], sets[2], sets[1]], 0.8) == [(0, 2), (2, 1)]
+    assert simhash._bridges([sets[0], sets[1], sets[2]], [1, 2, 2], [1, 0, 0], 0.8) == [(0, 1)]
