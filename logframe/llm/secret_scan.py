@@ -175,9 +175,11 @@ def planted_findings(docs: DataFrame, language: Language, path: str | None = "so
     ``found`` tells whether the planted value is a candidate at all; where it is none, x is null.
     Only distinct texts are hosts, so a text with many copies is no more likely than another.
     """
-    texts = docs.select("text", _paths(docs, path).alias("path")).filter("text is not null")
-    chosen = texts.groupBy(F.xxhash64("text").alias("k")).agg(F.min(F.struct("text", "path")).alias("t")).orderBy(F.xxhash64("k"), "k").limit(hosts)
-    chosen = durable(chosen.select("k", "t.text", "t.path"))
+    texts = docs.select(F.xxhash64("text").alias("k"), "text", _paths(docs, path).alias("path")).filter("text is not null")
+    keys = texts.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(hosts).select(F.col("k").alias("chosen"))
+    # at most ``hosts`` numbers; copies are merged before the shuffle
+    held = texts.join(F.broadcast(keys), F.col("k") == F.col("chosen")).groupBy("k").agg(F.min(F.struct("text", "path")).alias("t"))
+    chosen = durable(held.select("k", "t.text", "t.path"))
     n = chosen.count()
     each = -(-least // n) if n else 0
 
