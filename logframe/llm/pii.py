@@ -66,7 +66,7 @@ _BEFORE = r"(?<![\p{L}\p{M}\p{N}'’\-])(?=\p{Lu})"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:[A-Z ]*[0-9]){10})(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![A-Za-z0-9])(?:[0-9]{4}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})|3[47][0-9]{2}([ \-]?)[0-9]{6}\1[0-9]{5})(?![A-Za-z0-9])",
+    "card": r"(?<![A-Za-z0-9])(?:[0-9]{4}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})|3[47][0-9]{2}(?:[0-9]{11}| [0-9]{6} [0-9]{5}|-[0-9]{6}-[0-9]{5}))(?![A-Za-z0-9])",
     "phone": r"(?:(?<![A-Za-z0-9])\+[0-9]{1,3}[ .\-]?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])|(?<![A-Za-z0-9])\+[0-9]{1,3}(?:[ .\-][0-9]{2,8}){2,4}(?![0-9])"
     r"|(?<![A-Za-z0-9])\+[0-9]{7,15}(?![0-9])|(?<![A-Za-z0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![A-Za-z0-9\-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-]))",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
@@ -74,7 +74,8 @@ PATTERNS = {
     "name": rf"{_BEFORE}(?:(?:(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? )+{_NEXT}(?: {_NEXT}){{0,3}}|(?:{MALE_NAMES}|{FEMALE_NAMES})(?: {_NEXT}){{1,3}})",
 }
 # end of fixed values
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every pattern begins at a letter, digit or sign behind none of letters and digits; told once, other places cost little.
+ENTITY = r"(?<![\p{L}\p{M}\p{N}])(?=[\p{L}\p{N}._%+\-(])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Private characters around entities; those of a text are spelled with the third while entities are marked.
 OPEN, CLOSE, SPELL = "\ue000", "\ue001", "\ue002"
 
@@ -256,9 +257,14 @@ def surrogate(entity: Column, syllables: int, key: str = KEY) -> Column:
                .when(kind != "iban", _like_number(entity, kind, key)).when(real_iban, _like_number(entity, kind, key)))
 
 
+def _by_pattern(text: Column, apply) -> Column:
+    """``apply`` of the whole pattern, or of that of names where a text has no digit and no at sign: then nothing else is found."""
+    return F.when(text.rlike("[0-9@]"), apply(ENTITY)).otherwise(apply(PATTERNS["name"]))
+
+
 def entities_of(text: Column) -> Column:
     """Detected entities in order."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENTITY), F.lit(0))
+    return _by_pattern(text, lambda p: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(0)))
 
 
 def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -306,7 +312,7 @@ def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", syllab
 
     done = lambda out, n: F.struct(out.alias("text"), n.cast("long").alias("n"))
     odd = c.rlike(f"[{OPEN}-{SPELL}]")
-    marked = F.regexp_replace(F.when(odd, spelled(c, codes)).otherwise(c), ENTITY, f"{OPEN}$0{CLOSE}")
+    marked = let(F.when(odd, spelled(c, codes)).otherwise(c), lambda t: _by_pattern(t, lambda p: F.regexp_replace(t, p, f"{OPEN}$0{CLOSE}")))
     made = let(marked, lambda m: F.when(m.contains(OPEN), woven(m)).otherwise(done(m, F.lit(0))))
     own = next(f"__done{i}" for i in count() if f"__done{i}" not in docs.columns)
     rows = docs.withColumn(own, F.when(c.isNull(), done(F.lit(None).cast("string"), F.lit(0))).otherwise(made))
