@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,17 +48,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``mapInPandas`` for a function of one batch; ``fn`` sees every row and returns any number of rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield fn(batch)
-
-    return df.mapInPandas(run, schema)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch; keeps nullable integers exact, unlike pandas."""
 
@@ -67,10 +55,16 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Hand freed Arrow memory back at the end of a task: its worker lives on and runs tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def with_fields(schema: StructType, ddl: str) -> StructType:
     """``schema`` followed by the fields of a DDL string."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -26,9 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
-from pyspark.sql.window import Window
 
-from logframe.llm.common import durable, map_arrow
+from logframe.llm.common import durable, map_arrow, release
 from logframe.llm.components import connected
 
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
@@ -44,7 +43,7 @@ SEGMENTS_LARGE = ((0, 32, 2), (32, 32, 1))
 LARGE = 1 << 28
 #: MinHash bands and the values in each; texts and shingles that one task compares.
 BANDS, BAND_VALUES, TEXTS, SHINGLES = 20, 4, 4096, 1 << 20
-#: Copies of a band's table of smallest texts, against bands that very many texts share; cut clusters that are broadcast.
+#: Copies of a band's table of smallest texts, against bands that very many texts share; cut clusters or buckets that are broadcast.
 SALTS, BROADCAST_CLUSTERS = 16, 200_000
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -202,18 +201,17 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments=None, chunk: int =
     segments = segments or (SEGMENTS_LARGE if fps.count() > LARGE else SEGMENTS_SMALL)
     if sum(r + 1 for _, _, r in segments) <= distance:
         raise ValueError("the segments' radii are too small for this distance")
-    bucket = Window.partitionBy("seg", "value")
-    counted = (
-        _probes(fps, segments)
-        .withColumns({"members": F.count("*").over(bucket), "owners": F.sum("own").over(bucket)})
-        .filter("members > 1 and owners > 0")
-    )
-    k = F.ceil(F.col("members") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), k).cast("int")
-    pairs = F.when(k == 1, F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.least(x, mine) * k + F.greatest(x, mine))
-    )
-    dealt = counted.select("seg", "value", "own", "fp", F.explode(pairs.cast("array<long>")).alias("pair"))
+    probes = _probes(fps, segments)
+    # only buckets above a chunk need their size; it is counted with partial sums, so no task ever holds a bucket
+    large = durable(probes.groupBy("seg", "value").count().filter(F.col("count") > chunk).select(F.col("seg").alias("__seg"), F.col("value").alias("__value"), F.ceil(F.col("count") / chunk).cast("int").alias("k")))
+    n_large, pairs = large.count(), F.array(F.lit(0).cast("long"))
+    if n_large:
+        near = F.broadcast(large) if n_large <= BROADCAST_CLUSTERS else large
+        probes = probes.join(near, (F.col("seg") == F.col("__seg")) & (F.col("value") == F.col("__value")), "left")
+        k = F.col("k")
+        mine = F.pmod(F.xxhash64("fp"), k).cast("int")
+        pairs = F.when(k.isNull(), pairs).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda x: (F.least(x, mine) * k + F.greatest(x, mine)).cast("long")))
+    dealt = probes.select("seg", "value", "own", "fp", F.explode(pairs).alias("pair"))
     ordered = dealt.repartition("seg", "value", "pair").sortWithinPartitions("seg", "value", "pair", F.desc("own"), "fp")
 
     return ordered.mapInPandas(_whole_buckets(["seg", "value", "pair"], lambda pdf: _bucket_links(pdf, distance)), "a long, b long").distinct()
@@ -314,6 +312,8 @@ def _in_groups(rows: DataFrame, keys: list[str], edges) -> DataFrame:
                 held.append((fp, np.frombuffer(shingles, np.uint64), *more))
         if held:
             yield done()
+        held = []
+        release()
 
     ordered = rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, "fp")
     return ordered.mapInArrow(run, "a long, b long").distinct()
