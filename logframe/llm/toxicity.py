@@ -20,8 +20,9 @@ weights are fitted to labels by a ridge logistic regression.
 Learning uses labelled rows only where crc32(doc_id as text) mod 5 is not 0, and of these
 at most ``LABELLED`` documents, those with the smallest hash. Whole texts are scored. Null
 and empty texts have no clauses and get the start weight's score. Conflicting labels of one
-document count as their maximum; of several texts under one id each is learned from. Without any label (or with one class only) the built-in weights stand. Repeated rows
-get equal scores; an empty table gives an empty result; extra columns are ignored.
+document count as their maximum; of several texts under one id each is learned from. Without
+any label (or with one class only) the built-in weights stand. Repeated rows get equal scores;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ SHORTEST, LONGEST = 3, 16
 #: fewer than CHANCE such stems among all.
 LEAST_DOCUMENTS, CHANCE = 4, 1e-2
 HOLD_OUT = 5
-#: Stems that a task holds before it hands them on.
-FLUSH = 50_000
+#: Stems that a task holds before it hands them on, and stems of toxic documents that are broadcast.
+FLUSH, BROADCAST_STEMS = 50_000, 500_000
 
 # fixed values: public lists of function words, threats with their endings, and plain insults
 TARGETS = frozenset("you your yours yourself he him his she her they them their we us everyone somebody du dich dir ihr euch tu te toi vous tú usted vosotros".split())
@@ -249,9 +250,18 @@ def learn_stems(rows: DataFrame) -> tuple[tuple[tuple[str, float], ...], int, in
         yield made()
 
     # copies of a document show a stem first in the same place, between the same words: they are one piece of evidence
-    seen = rows.select("label", "text").mapInArrow(beginnings, "label int, stem string, place long").distinct()
-    counts = seen.groupBy("stem").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    counts = durable(counts.filter((F.col("t") >= LEAST_DOCUMENTS) | F.col("stem").isin(*sorted(INSULTS))))
+    def places(label: int) -> DataFrame:
+        return rows.filter(F.col("label") == label).select("label", "text").mapInArrow(beginnings, "label int, stem string, place long")
+
+    spark, own = rows.sparkSession, sorted(INSULTS)
+    t = places(1).distinct().groupBy("stem").agg(F.count("*").alias("t"))
+    t = durable(t.filter((F.col("t") >= LEAST_DOCUMENTS) | F.col("stem").isin(*own)))
+    listed = spark.createDataFrame([(s,) for s in own], "stem string").join(t, "stem", "left").select("stem", F.coalesce("t", F.lit(0)).alias("t"))
+    known = t.filter(~F.col("stem").isin(*own)).union(listed)
+    # of the clean documents only the stems that toxic ones have are shuffled
+    stems = known.select("stem")
+    c = places(0).join(F.broadcast(stems) if known.count() <= BROADCAST_STEMS else stems, "stem", "left_semi").distinct().groupBy("stem").agg(F.count("*").alias("c"))
+    counts = durable(known.join(c, "stem", "left").select("stem", "t", F.coalesce("c", F.lit(0)).alias("c")).filter("t + c > 0"))
     rate, tests = toxic / (toxic + clean), max(1, counts.count())
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     told = counts.withColumns({"evidence": _evidence(F.col("t"), F.col("c"), rate), "odds": F.round(odds, 6)})
