@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +41,20 @@ def shared_home(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="logframe-")
 
 
+class Scratch:
+    """A new folder in the shared one for the tables of one run; removed when the session's JVM ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.home = spark, f"{shared_home(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.home)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` as a written table (in a folder for each value of ``by``), which is read instead of its plan from here on."""
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.home}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.home}/{name}")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logframe.llm import bpe, chat, decontaminate, media, pii, secret_scan, sharding, simhash, token_counts, toxicity
+from logframe.llm import bpe, chat, decontaminate, media, pii, prefix_trie, ranked_search, secret_scan, sharding, simhash, token_counts, token_index, toxicity
 from logframe.llm.common import table
 
 SHARDS = 24
@@ -56,6 +56,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_head_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -68,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_token_counts": op9_token_counts,
         "op10_pii": op10_pii,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_token_index": op12_token_index,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -76,4 +91,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_sharding": sharding.oracle(SHARDS),
         "op3_decontamination": decontaminate.oracle(),
         "op8_chat": chat.oracle(),
+        "op11_prefix_trie": prefix_trie.oracle(),
+        "op13_ranked_search": ranked_search.oracle(),
     }

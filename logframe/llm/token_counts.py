@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -72,44 +73,46 @@ class Counter:
     def ids(self, text: str) -> list[int]:
         return self.encoder.encode(text, allowed_special="all")
 
-    def ends(self, text: str) -> np.ndarray:
-        """Byte offset behind each token."""
-        return np.cumsum(self.lengths[np.array(self.ids(text), dtype=np.int64)])
+    def pieces(self, text: str | None) -> Iterator[list[int]]:
+        """The ids of a text, piece by piece: one piece unless it is longer than a chunk."""
+        text, begin = text or "", 0
+        while len(text) - begin > self.chunk:
+            stop, overlap, found = begin + self.chunk, self.overlap, None
+            while not found and stop + overlap < len(text):
+                found = self.splice(text, begin, stop, stop + overlap)
+                overlap *= 2
+            if not found:
+                break
+            yield found[0]
+            begin = found[1]
+        yield self.ids(text[begin:])
 
     def count(self, text: str | None) -> int:
-        text = text or ""
-        if len(text) <= self.chunk:
-            return len(self.ids(text))
-        total, begin = 0, 0
-        while True:
-            stop, overlap = begin + self.chunk, self.overlap
-            if stop + overlap >= len(text):
-                return total + len(self.ids(text[begin:]))
-            while True:
-                if stop + overlap >= len(text):
-                    return total + len(self.ids(text[begin:]))
-                splice = self.splice(text, begin, stop, stop + overlap)
-                if splice:
-                    break
-                overlap *= 2
-            tokens, begin = splice[0], splice[1]
-            total += tokens
+        return sum(map(len, self.pieces(text)))
 
-    def splice(self, text: str, begin: int, stop: int, end: int) -> tuple[int, int] | None:
-        """Of the chunks [begin, end) and [stop, ...): tokens of the first up to a stable common
+    def encode(self, text: str | None) -> list[int]:
+        return [i for piece in self.pieces(text) for i in piece]
+
+    def splice(self, text: str, begin: int, stop: int, end: int) -> tuple[list[int], int] | None:
+        """Of the chunks [begin, end) and [stop, ...): the first's ids up to a stable common
         boundary, and where that stands; None if the overlap [stop, end) has none."""
         places = [p for p in range(stop + 1, end) if text[p].isspace() and not text[p - 1].isspace() and not "\x1c" <= text[p] <= "\x1f"]
         if not places:
             return None
-        first, second = self.ends(text[begin:end]), self.ends(text[stop:end])
+        ids = self.ids(text[begin:end])
+        first, second = self.ends(ids), self.ends(self.ids(text[stop:end]))
         # the last place may touch a token that only the text beyond the chunk completes
         for p in places[:-1]:
             at, back = len(text[begin:p].encode()), len(text[stop:p].encode())
             i, j = np.searchsorted(first, at), np.searchsorted(second, back)
             if i < len(first) and j < len(second) and first[i] == at and second[j] == back:
-                return int(i) + 1, p
+                return ids[: int(i) + 1], p
         return None
 
+    def ends(self, ids: list[int]) -> np.ndarray:
+        """Byte offset behind each token."""
+        return np.cumsum(self.lengths[np.array(ids, dtype=np.int64)])
+
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
