@@ -10,7 +10,10 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ENTRY = r"""(?U)=[\s\S]*|[^\s=]+(?:="(?:[^"\\]|\\[\s\S]|\\$)*"?|=\S*)?"""
+#: A pair, a bare key, or all behind an empty key. Every repeated group is possessive: it gives nothing back, so values of
+#: any length are read in a loop; a group that may give back is walked by recursion and ends the JVM on long values.
+_ENTRY = r"""(?U)=[\s\S]*+|[^\s=]++(?:="(?:[^"\\]++|\\[\s\S]|\\$)*+"?+|=\S*+)?+"""
+_CLOSED = r'''^"(?:[^"\\]++|\\[\s\S])*+"$'''
 #: How a JSON document begins and ends.
 _DOCUMENT = r"""^[ \t\n\r]*(?:\{[\s\S]*\}|\[[\s\S]*\]|"[\s\S]*"|-?[0-9][0-9.eE+\-]*|true|false|null)[ \t\n\r]*$"""
 #: Text that a plain float reader takes: no suffix, no blanks.
@@ -81,22 +84,33 @@ def json_type(c: Column, field: str, v: Column | None = None) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
+    """A map of entries (at, key, value) in their order; of equal keys the last one stays. Sorted twice, so no key is searched for."""
+
+    def last(sorted_: Column) -> Column:
+        kept = F.filter(sorted_, lambda e, i: ~F.coalesce(F.get(sorted_, i + 1)["key"] == e["key"], F.lit(False)))
+        return F.array_sort(F.transform(kept, lambda e: F.struct(e["at"].alias("at"), e["key"].alias("key"), e["value"].alias("value"))))
+
+    by_key = F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["at"].alias("at"), e["value"].alias("value"))))
+    return let(let(by_key, last), lambda x: F.map_from_arrays(F.transform(x, lambda e: e["key"]), F.transform(x, lambda e: e["value"])))
 
 
 def logfmt_map(c: Column) -> Column:
-    """``key=value`` and ``key="quoted"`` pairs; bare keys are skipped, an empty key ends the line, the last duplicate wins."""
-    matches = F.filter(F.regexp_extract_all(c, F.lit(_ENTRY), F.lit(0)), lambda m: m.rlike(r"(?U)^[^\s=]+="))
-
-    def entry(m: Column) -> Column:
-        key = F.regexp_extract(m, r"(?U)^([^\s=]+)=", 1)
-        raw = F.substr(m, F.length(key) + 2)
-        closed = raw.rlike(r'^"(?:[^"\\]|\\[\s\S])*"$')
-        inner = F.substr(raw, F.lit(2), F.length(raw) - F.when(closed, 2).otherwise(1))
-        for escaped, plain in (('\\"', '"'), ("\\\\", "\\"), ("\\n", "\n"), ("\\t", "\t")):
-            inner = F.replace(inner, F.lit(escaped), F.lit(plain))
-        return F.struct(key.alias("key"), F.when(raw.startswith('"'), inner).otherwise(raw).alias("value"))
+    """``key=value`` and ``key="quoted"`` pairs; bare keys are skipped, an empty key ends the line, the last duplicate wins.
+
+    Linear in the line's length (but for the sort of its keys), whatever its values hold; an unclosed quote runs to the line's end.
+    """
+    matches = F.filter(F.regexp_extract_all(c, F.lit(_ENTRY), F.lit(0)), lambda m: m.rlike(r"(?U)^[^\s=]++="))
+
+    def entry(m: Column, at: Column) -> Column:
+        def cut(k: Column) -> Column:
+            raw = F.substr(m, k + 1)
+            closed = raw.rlike(_CLOSED)
+            inner = F.substr(raw, F.lit(2), F.length(raw) - F.when(closed, 2).otherwise(1))
+            for escaped, plain in (('\\"', '"'), ("\\\\", "\\"), ("\\n", "\n"), ("\\t", "\t")):
+                inner = F.replace(inner, F.lit(escaped), F.lit(plain))
+            return F.struct(at.alias("at"), F.substr(m, F.lit(1), k - 1).alias("key"), F.when(raw.startswith('"'), inner).otherwise(raw).alias("value"))
+
+        return let(F.instr(m, "="), cut)
 
     return let(F.transform(matches, entry), _last_wins)
 

@@ -33,6 +33,9 @@ def match_plain(c: Column, pattern: str, case: bool = False, ascii_only: bool =
 
 
 def match_regex(c: Column, pattern: str, case: bool = False) -> Column:
+    """Find a pattern in Java's dialect. Repeat alternatives possessively (``(?:a|bc)*+``): what may be given back is walked by
+    recursion, so ``(?:a|bc)*`` over a line of some thousand characters overflows the stack of Java's matcher.
+    """
     return c.rlike(("" if case else "(?i)") + java_regex(pattern))
 
 

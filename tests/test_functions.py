@@ -65,6 +65,22 @@ def test_json_valid_and_type(spark):
     check(spark, lambda c: fl.json_type(c, "a"), [('{"a":1}', "number"), ('{"a":1.5}', "number"), ('{"a":"1"}', "string"), ('{"a":[]}', "array"), ('{"a":{}}', "object"), ('{"a":false}', "bool"), ('{"a":null}', None), ("{}", None)])
 
 
+def test_logfmt_lines_of_any_length(spark):
+    """Long quoted values, many pairs and unclosed quotes neither end the JVM nor take quadratic time."""
+    trace = 'at f(\\"x\\")\\n'
+    long = {n: 'id=7 msg="' + trace * (n // len(trace)) + '" level=error' for n in (1_000, 100_000, 10_000_000)}
+    open_ = 'level=warn msg="' + "a b=c \\" * 20_000
+    pairs = " ".join(f"k{i % 7_000}=v{i}" for i in range(10_000))
+    odd = "x=" + '"' * 100_000, "\\" * 100_000, 'a="' + "\\" * 100_001, " ".join('q="z"' for _ in range(10_000)), "=" * 100_000, "word " * 20_000
+    df = spark.createDataFrame([(x,) for x in (*long.values(), open_, pairs, *odd)], "c string").withColumn("m", fl.logfmt_map(F.col("c")))
+    got = df.selectExpr("m['level'] AS level", "length(m['msg']) AS msg", "size(m) AS n", "m['k2999'] AS twice", "m['k6999'] AS once").collect()
+    assert [(r["level"], r["n"]) for r in got[:3]] == [("error", 3)] * 3
+    assert [r["msg"] for r in got[:3]] == [n // len(trace) * (len(trace) - 3) for n in long]
+    assert (got[3]["level"], got[3]["n"]) == ("warn", 2)
+    assert (got[4]["n"], got[4]["twice"], got[4]["once"]) == (7_000, "v9999", "v6999")
+    assert [r["n"] for r in got[5:]] == [1, 0, 1, 1, 0, 0]
+
+
 def test_logfmt(spark):
     check(spark, fl.logfmt_map, [
         ('level=error msg="a \\"q\\" b" x=', {"level": "error", "msg": 'a "q" b', "x": ""}), ("bare a=1 bare2 b=2", {"a": "1", "b": "2"}), ("dup=1 dup=2", {"dup": "2"}),
