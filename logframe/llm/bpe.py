@@ -3,7 +3,9 @@
 The symbols of all words that a batch has not met before lie in one flat array. Every
 round looks all adjacent pairs up by binary search over the sorted pair keys of the
 merge table, takes the lowest rank of each word, and merges its occurrences in all words
-at once. Whole texts are read; a null text counts as empty and has no ids. Special
+at once. Whole texts are read; a null text counts as empty and has no ids. A text of any
+length is cut at white space, so its words, not the text, are merged; a worker remembers
+the ids of at most ``REMEMBERED`` stretches (by number, not by bytes). Special
 tokens written in a text are matched before normalisation, as the vocabulary file says.
 Repeated rows give repeated results, an empty table an empty one; extra columns are ignored.
 """
@@ -64,7 +66,7 @@ class WordBpe:
         made = np.array([self.vocab[a + b] for a, b in merges], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str | tuple[str], tuple[int, str, str]] = {}
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
         """Ids of every word (none empty), by rounds of merges over all of them together."""
@@ -111,36 +113,35 @@ class WordBpe:
         cuts = np.cumsum(np.bincount(word, minlength=len(words)))[:-1]
         return [part.tolist() for part in np.split(symbol[order], cuts)]
 
-    def chunks(self, text: str | None) -> list[str]:
-        """White-space separated, normalised stretches of a text, with special tokens on their own.
+    def chunks(self, text: str | None) -> list[str | tuple[str]]:
+        """White-space separated, normalised stretches of a text, with special tokens on their own, each in a tuple.
 
         No piece crosses white space, so a stretch always has the same ids.
         """
         text = text or ""
         parts = self.special_split.split(text) if any(s in text for s in self.specials) else [text]
-        out: list[str] = []
+        out: list[str | tuple[str]] = []
         for part in parts:
             if part in self.specials:
-                out.append(part)
+                out.append((part,))
                 continue
             if not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
             part = part.replace("Σ", "σ").lower()  # one character at a time: no final sigma
-            found = self.spaced(part) if ODD_SEPARATORS.search(part) else part.split()
-            # lower-casing cannot give a special token, but a text may spell one so that only lower-casing shows it
-            out += ["\0" + x if x in self.specials else x for x in found] if len(parts) > 1 or "<|" in part else found
+            # a text may spell a special token so that only lower-casing shows it: that is a stretch like any other
+            out += self.spaced(part) if ODD_SEPARATORS.search(part) else part.split()
         return out
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str | tuple[str]]) -> None:
         """Encode the chunks that are not known yet."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [c for c in chunks if c not in self.known]
-        spelled = [[c] if c in self.specials else self.pieces(c.removeprefix("\0") if c[0] == "\0" and c[1:] in self.specials else c) for c in new]
-        words = list(dict.fromkeys(w for c, s in zip(new, spelled, strict=True) if c not in self.specials for w in s))
+        spelled = [() if isinstance(c, tuple) else self.pieces(c) for c in new]
+        words = list(dict.fromkeys(w for s in spelled for w in s))
         ids = dict(zip(words, self.merge_words(words), strict=True)) if words else {}
         for c, s in zip(new, spelled, strict=True):
-            own = [self.specials[c]] if c in self.specials else [i for w in s for i in ids[w]]
+            own = [self.specials[c[0]]] if isinstance(c, tuple) else [i for w in s for i in ids[w]]
             self.known[c] = (len(own), " ".join(map(str, own)), self.decode(own))
 
     def decode(self, ids) -> str:

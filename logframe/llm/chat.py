@@ -8,7 +8,7 @@ Template of a turn: ``<turn ROLE>`` TEXT ``</turn>`` and a line break. Inside ro
 texts a backslash, ``<`` and ``>`` get a backslash before them, so no text can spell a
 control string, and reading the output gives every text back.
 
-Turns are ordered by (turn, role, text). A null text or part is an empty text, a null
+Turns are ordered by (turn, role, parts), that is by text where a part is a text. A null text or part is an empty text, a null
 role an empty role; turns with a null number come first. Rows of a null conversation id
 form one conversation. Repeated rows are repeated turns. Extra columns are ignored; an
 empty table gives an empty result. A part of an unknown type becomes a placeholder, too.
@@ -108,7 +108,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     in the order of ``seq`` gives its text.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", F.col("parts").cast(PARTS).alias("parts"))
-    ordered = rows.withColumn("order", F.to_json("parts")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "order")
+    # parts order by type, then text, as they stand: no key is made of them before the shuffle
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), "parts")
     schema = "conv_id long, seq long, piece string, span_begin long, span_end long, attachments array<struct<number:int,type:string,uri:string,tokens:int>>"
     kind = pa.list_(pa.struct([("number", pa.int32()), ("type", pa.string()), ("uri", pa.string()), ("tokens", pa.int32())]))
 

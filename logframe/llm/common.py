@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Keys that are broadcast after they were counted; more are joined by a shuffle with ``SALTS`` copies of each.
+BROADCAST_KEYS, SALTS = 400_000, 16
+
+
+def free_name(taken: list[str], stem: str) -> str:
+    """A column name that is not taken."""
+    return next(n for i in count() if (n := f"__{stem}{i}") not in taken)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, xxhash64 of text) is in the stored table ``gone`` (doc_id, text_key), each once."""
+    a, b, salt = (free_name(docs.columns, n) for n in ("id", "key", "salt"))
+    keys = gone.select(F.col("doc_id").alias(a), F.col("text_key").alias(b))
+    same = docs["doc_id"].eqNullSafe(F.col(a)) & (F.xxhash64(docs["text"]) == F.col(b))
+    if keys.count() <= BROADCAST_KEYS:
+        return docs.join(F.broadcast(keys), same, "left_anti")
+    # copies under one id (or none) would meet in one task: rows are spread by chance, keys stand in every part
+    spread = docs.withColumn(salt, F.floor(F.rand(7) * SALTS).cast("int"))
+    keys = keys.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = spread["doc_id"].eqNullSafe(keys[a]) & (F.xxhash64(spread["text"]) == keys[b]) & (spread[salt] == keys["part"])
+    return spread.join(keys, same, "left_anti").select(*[spread[f"`{c}`"] for c in docs.columns])
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch; keeps nullable integers exact, unlike pandas."""
 

@@ -17,9 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from logframe.llm.common import ascii_lower, durable
+from logframe.llm.common import ascii_lower, durable, without
 
 WINDOW_WORDS = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,6 +26,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Most distinct benchmark shingles, windows, and items over all windows that are broadcast; above it both joins shuffle, with salted shingles.
 BROADCAST_SHINGLES = 400_000
 SALTS = 32
+#: Rows of one document (equal id and text) that one task writes.
+COPIES = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -116,28 +117,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = contamination(docs, benchmark, n, key, text)
-    by_doc = Window.partitionBy("doc_id", "text_key").orderBy("start", "length")
-    reach = F.max(F.col("start") + F.col("length")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    covered = F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest("start", F.coalesce(reach, F.lit(0))))
-    # repeated rows of a document give each occurrence several times; the later ones cover nothing new
-    per_doc = found.withColumn("covered", covered).groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"),
-        F.sum("covered").cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.count_if("marker").cast("int").alias("rows"),
-    )
-    return per_doc.select("*", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-    )
+    # a set: copies of a document merge in their tasks, and what is left of a text is bounded by its words
+    hits = F.collect_set(F.when(~F.col("marker"), F.struct("start", "length", "items"))).alias("hits")
+    per_doc = found.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), hits, F.count_if("marker").alias("rows"))
+    none = F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("n"))
+
+    def cover(state: Column, x: Column) -> Column:
+        end = x["start"] + x["length"]
+        new = F.greatest(F.lit(0), end - F.greatest(x["start"], state["reach"]))
+        return F.struct(F.greatest(state["reach"], end).alias("reach"), (state["n"] + new).alias("n"))
+
+    told = per_doc.select(
+        "doc_id", "n_words", F.aggregate(F.array_sort("hits"), none, cover, lambda s: s["n"]).alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))).alias("items"), "rows",
+    ).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "rows")
+    # rows of many copies are dealt out before they are written one by one
+    few, many = told.filter(F.col("rows") <= COPIES), told.filter(F.col("rows") > COPIES)
+    parts = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / COPIES)))).repartition("doc_id", "items_sha256", "part")
+    dealt = parts.withColumn("rows", F.least(F.lit(COPIES), F.col("rows") - F.col("part") * COPIES)).drop("part")
+    return few.unionByName(dealt).select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows", "col")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     """``docs`` without the documents that hold a whole window."""
     hits = contamination(docs, benchmark, n).filter("not marker")
-    gone = durable(hits.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__gone_key"))
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    return without(docs, durable(hits.select("doc_id", "text_key").distinct()))
 
 
 def oracle(n: int = WINDOW_WORDS, documents: str = "documents", benchmark: str = "benchmark") -> str:

@@ -23,7 +23,9 @@ the corpus. So no text is joined with anything, and no single word is ever keyed
 Words that differ in case only are one word. A permuted number may be another's number.
 
 Not found: names without title whose given name is not listed, scripts without capitals,
-more than four words of a name, numbers in other formats than those of ``PATTERNS``.
+more than four words of a name, numbers in other formats than those of ``PATTERNS`` (of
+phones: without a leading + or brackets only the form 555-123-4567), domains of more than
+127 labels as a whole. Texts and tokens may have any length.
 
 A null text stays null. Empty texts, and texts without entities, stay as they are.
 Repeated rows give repeated results; an empty table gives an empty result; other columns
@@ -60,18 +62,20 @@ PARTICLES = "van|von|der|den|de|del|della|di|da|la|le|du|dos|bin|ibn|al|el|ter|t
 LETTERS = {"cyrillic": "бвгджзклмнпрстфхаеиоу", "greek": "βγδζθκλμνξπρστφχαειου", "latin": "bdfghjklmnprstvzaeiou"}
 ENDINGS = {"cyrillic": {"male": "н", "female": "на", "other": "ль"}, "greek": {"male": "ς", "female": "να", "other": "ν"}, "latin": {"male": "n", "female": "na", "other": "l"}}
 COUNTRY_CODE = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+# A group that is repeated is possessive or bounded (a domain has 127 labels at most): one that may give back is walked
+# by recursion, and a long text would overflow the stack.
 _CAPITAL = r"\p{Lu}[\p{L}\p{M}]*+(?:['’\-]\p{L}[\p{L}\p{M}]*+)*+"
 _NEXT = rf"(?:\p{{Lu}}\. ?){{0,2}}(?:(?:{PARTICLES}) ){{0,3}}{_CAPITAL}"
 _BEFORE = r"(?<![\p{L}\p{M}\p{N}'’\-])(?=\p{Lu})"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++){0,126}\.\p{L}{2,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:[A-Z ]*[0-9]){10})(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{4}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})|3[47][0-9]{2}(?:[0-9]{11}| [0-9]{6} [0-9]{5}|-[0-9]{6}-[0-9]{5}))(?![A-Za-z0-9])",
     "phone": r"(?:(?<![A-Za-z0-9])\+[0-9]{1,3}[ .\-]?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])|(?<![A-Za-z0-9])\+[0-9]{1,3}(?:[ .\-][0-9]{2,8}){2,4}(?![0-9])"
     r"|(?<![A-Za-z0-9])\+[0-9]{7,15}(?![0-9])|(?<![A-Za-z0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![A-Za-z0-9\-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-]))",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "name": rf"{_BEFORE}(?:(?:(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? )+{_NEXT}(?: {_NEXT}){{0,3}}|(?:{MALE_NAMES}|{FEMALE_NAMES})(?: {_NEXT}){{1,3}})",
+    "name": rf"{_BEFORE}(?:(?:(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? ){{1,9}}{_NEXT}(?: {_NEXT}){{0,3}}|(?:{MALE_NAMES}|{FEMALE_NAMES})(?: {_NEXT}){{1,3}})",
 }
 # end of fixed values
 #: Every pattern begins at a letter, digit or sign behind none of letters and digits; told once, other places cost little.
@@ -208,7 +212,7 @@ def _stem(p: Column) -> Column:
 
 def pieces(entity: Column, kind: Column) -> Column:
     """array<struct<text, role>> that make up a name or e-mail address: role given, surname, address, digits or none."""
-    runs = lambda c: F.regexp_extract_all(c, F.lit(r"\p{L}[\p{L}\p{M}]*|[0-9]+|[^\p{L}0-9]+"), F.lit(0))
+    runs = lambda c: F.regexp_extract_all(c, F.lit(r"\p{L}[\p{L}\p{M}]*+|[0-9]++|[^\p{L}0-9]++"), F.lit(0))
     piece = lambda text, role: F.struct(text.alias("text"), role.alias("role"))
     none = F.lit("none")
 
@@ -217,7 +221,7 @@ def pieces(entity: Column, kind: Column) -> Column:
         return lambda t: piece(t, F.when(t.rlike(r"^\p{Lu}\p{L}"), F.lit(role)).otherwise(none))
 
     addressed = lambda t: piece(t, F.when(t.rlike(r"^\p{L}"), F.lit("address")).when(t.rlike("^[0-9]"), F.lit("digits")).otherwise(none))
-    title = F.regexp_extract(entity, rf"^(?:(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? )*", 0)
+    title = F.regexp_extract(entity, rf"^(?:(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? ){{0,9}}", 0)
     top = F.regexp_extract(entity, r"\.\p{L}+$", 0)
     name = let(title, lambda t: let(F.regexp_extract(F.substr(entity, F.length(t) + 1), "^(?:.* )?", 0), lambda given: F.concat(
         F.array(piece(t, none)), F.transform(runs(given), named("given")),
@@ -228,7 +232,7 @@ def pieces(entity: Column, kind: Column) -> Column:
 
 def _gender(entity: Column) -> Column:
     title = lambda titles: rf"^(?:(?:{OTHER_TITLES})\.? )?(?:{titles})\b"
-    given = lambda names: rf"^(?:(?:{OTHER_TITLES})\.? )*(?:{names}) "
+    given = lambda names: rf"^(?:(?:{OTHER_TITLES})\.? ){{0,9}}(?:{names}) "
     return F.when(entity.rlike(title(MALE_TITLES)) | entity.rlike(given(MALE_NAMES)), "male").when(entity.rlike(title(FEMALE_TITLES)) | entity.rlike(given(FEMALE_NAMES)), "female").otherwise("other")
 
 

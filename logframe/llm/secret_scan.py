@@ -1,7 +1,8 @@
 """Secret scans: candidates in texts, sifted by a random forest.
 
 Candidates are assigned values (``name = "value"``, ``name: value``) of any length and any
-characters, to the closing quote or up to white space; passwords in addresses; what follows
+characters, to the closing quote or up to white space or a delimiter before the next
+assignment; passwords in addresses; what follows
 ``Bearer``; private key blocks; tokens of parts joined by dots; and runs of at least
 ``SHORTEST`` token characters with a digit. Assignments inside values are candidates, too.
 
@@ -14,7 +15,9 @@ the planted findings is never trained on; ``held_out_quality`` measures the fore
 
 The dictionary and the transitions come from word counts over the whole corpus: the words
 that a ``SHARE`` of all documents hold, and the letter pairs of every word. Findings are
-planted into at most ``HOSTS`` documents, those with the smallest hash; of a given table at
+planted into at most ``HOSTS`` documents, those with the smallest hash. Words are of Latin
+letters: for other scripts the dictionary is empty. Texts may have any length and any runs:
+the candidates of a text are a few times as long as it, and each is read once. Of a given table at
 most ``FINDINGS`` distinct findings are trained on, half of each class. Whole texts are
 scanned. Null and empty texts have no candidates. Offsets count code points. Repeated rows
 give repeated results. A table without findings is left as it is, an empty one stays empty.
@@ -27,7 +30,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +56,19 @@ PLACEHOLDER = "[SECRET]"
 CANDIDATE = re.compile(r"[A-Za-z0-9_\-+/]{%d,}={0,2}" % SHORTEST)
 SEPARATOR = re.compile(r"[:=][=>]?\s{0,8}")
 NAME = re.compile(r"""([A-Za-z][\w\-]*)["'`]?\s*$""")
-VALUE = re.compile(r""""(?P<a>(?:\\.|[^"\\\n])+)"|'(?P<b>(?:\\.|[^'\\\n])+)'|`(?P<c>[^`\n]+)`|["'`]?(?P<d>[^\s"'`]\S*)""")
+VALUE = re.compile(r""""(?P<a>(?:\\.|[^"\\\n])++)"|'(?P<b>(?:\\.|[^'\\\n])++)'|`(?P<c>[^`\n]++)`|["'`]?(?P<d>[^\s"'`])""")
+#: Where an assignment inside an unspaced run begins: its name, and whether a delimiter stands before it.
+WITHIN = re.compile(r"""(?P<cut>[,;&|)}\]]["'`]?)?(?<![\w\-])[A-Za-z][\w\-]*+["'`]?[:=]""")
+SPACE = re.compile(r"\s")
 ASSIGNED = re.compile(r"""([A-Za-z][\w\-]*)["'`]?\s*[:=][=>]?\s*["'`]?$""")
 USER = re.compile(r"://[^\s/]*$")
-#: Passwords in addresses, bearer tokens, private key blocks and dotted tokens.
+#: Passwords in addresses, bearer tokens and dotted tokens.
 FORMS = re.compile(
-    r"(?P<a>-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[^\-]{0,8000}(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?)|://[^\s/:@]{1,64}:(?P<b>[^\s/@]{1,256})@"
-    r"|(?i:\bbearer)[ \t]{1,4}(?P<c>[^\s\"',;]{8,})|(?<![\w\-])(?P<d>[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,})*)(?![\w\-])"
+    r"://[^\s/:@]++:(?P<b>[^\s/@]++)@|(?i:\bbearer)[ \t]{1,4}(?P<c>[^\s\"',;]{8,})|(?<![\w\-])(?P<d>[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,})*)(?![\w\-])"
 )
+#: The first and last lines of private key blocks; lines that may follow a first line whose last one is missing.
+KEY_LINE = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]{0,64}PRIVATE KEY(?: BLOCK)?-----")
+KEY_BODY = re.compile(r"(?:[ \t]*+(?:[A-Za-z0-9+/=]++|[A-Za-z][A-Za-z\-]*+:[^\n]*+)?[ \t\r]*+(?:\n|\Z))*+")
 # fixed values: words of secret and of harmless names, known key beginnings, path words
 SECRET_NAMES = re.compile(r"(?i)token|secret|passw|pwd|api_?key|access_?key|private_?key|credential|bearer|auth(?!or(?:s|ed|it\w*)?\b)")
 HARMLESS_NAMES = re.compile(r"(?i)^(sha\d*|md5|hash|checksum|digest|commit|rev|revision|uuid|guid|id|etag|integrity|version|example)$")
@@ -114,19 +124,80 @@ def learn_language(docs: DataFrame, share: float = SHARE) -> Language:
     return Language(frozenset(r["word"] for r in top), tuple(map(tuple, logs.tolist())))
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of each private key block, of any length and with any headers.
+
+    A block runs from its first to its last line. Where the next key line is a first line again, or there is none, the
+    last line is missing: then the block ends with the lines that may be a key's body or its headers.
+    """
+    lines, out = list(KEY_LINE.finditer(text)), []
+    for m, after in zip_longest(lines, lines[1:]):
+        if m[1] == "BEGIN":
+            whole = after is not None and after[1] == "END"
+            stop = after.end() if whole else m.end() if m.end() < len(text) and text[m.end()] not in " \t\r\n" else KEY_BODY.match(text, m.end(), after.start() if after else len(text)).end()
+            out.append((m.start(), stop if whole else m.start() + len(text[m.start() : stop].rstrip())))
+    return out
+
+
+class Runs:
+    """Where the values of unquoted assignments end.
+
+    An unspaced run may hold many assignments. The first one's value is the whole rest of the run. The run is cut before
+    the delimiters that stand before a name and a separator: of each piece the first assignment's value runs to the
+    piece's end, any further one's to where the next begins. So the values of a run are three times its length at most.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.end = text, -1
+
+    def _read(self, begin: int) -> None:
+        m = SPACE.search(self.text, begin)
+        self.end = m.start() if m else len(self.text)
+        self.whole, self.seen, self.names = True, -1, []
+        for m in WITHIN.finditer(self.text, begin, self.end):
+            self.names.append((m.start(), m["cut"] is not None))
+        self.at = 0
+
+    def ends(self, begin: int) -> list[int]:
+        """The ends of the value that begins here; values are asked for in ascending order."""
+        if begin >= self.end:
+            self._read(begin)
+        while self.at < len(self.names) and self.names[self.at][0] < begin:
+            self.at += 1
+        # the next delimiter is looked for once for each piece
+        if self.seen < self.at:
+            self.seen = next((i for i in range(self.at, len(self.names)) if self.names[i][1]), len(self.names))
+            first = True
+        else:
+            first = False
+        piece = self.names[self.seen][0] if self.seen < len(self.names) else self.end
+        near = self.names[self.at][0] if self.at < len(self.names) else self.end
+        out = [piece if first else min(near, piece)]
+        if self.whole:
+            self.whole = False
+            out.append(self.end)
+        return [e for e in dict.fromkeys(out) if e > begin]
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """(begin, end) of each candidate, in order; one may lie inside another."""
     text = text or ""
     found = {m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0])}
+    found.update(key_blocks(text))
     for m in FORMS.finditer(text):
         if m.lastgroup != "d" or any(c.isdigit() for c in m["d"]):
             found.add(m.span(m.lastgroup))
+    runs = Runs(text)
     for m in SEPARATOR.finditer(text):
         before = text[max(0, m.start() - WINDOW) : m.start()]
         # the colons of an address, behind its scheme and before its password, assign nothing
         address = text.startswith("://", m.start()) or USER.search(before)
         if not address and NAME.search(before) and (value := VALUE.match(text, m.end())):
-            found.add(value.span(value.lastgroup))
+            if value.lastgroup == "d":
+                begin = value.start("d")
+                found.update((begin, end) for end in runs.ends(begin))
+            else:
+                found.add(value.span(value.lastgroup))
     return sorted(found)
 
 
@@ -134,7 +205,7 @@ def features(text: str, begin: int, end: int, path: str | None, language: Langua
     value, before, after = text[begin:end], text[max(0, begin - WINDOW) : begin], text[end : end + WINDOW]
     n = len(value)
     share = lambda f: sum(map(f, value)) / n
-    counts = [value.count(c) for c in set(value)]
+    counts = Counter(value).values()
     name = ASSIGNED.search(before)
     near = before + " " + after
     return [

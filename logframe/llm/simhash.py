@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from logframe.llm.common import durable, map_arrow, release
+from logframe.llm.common import BROADCAST_KEYS, durable, free_name, map_arrow, release, without
 from logframe.llm.components import connected
 
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
@@ -449,14 +449,16 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", dis
 def keep_one(docs: DataFrame, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest doc_id; rows repeated whole are kept once."""
     groups = durable(near_duplicates(docs, distance=distance, similarity=similarity))
-    key = F.xxhash64("text").alias("__text_key")
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")
-    )
-    kept = docs.select("*", key)
-    kept = kept.join(gone.distinct(), kept["doc_id"].eqNullSafe(F.col("__gone")) & (kept["__text_key"] == F.col("__gone_key")), "left_anti")
-    twice = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").count().filter("count > 1")
-    if not twice.isEmpty():  # repeated ids: rare, so only then are the kept rows dealt again
-        ids = groups.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("root").alias("__root")).distinct()
-        kept = kept.join(ids, kept["doc_id"].eqNullSafe(ids["__id"]) & (kept["__text_key"] == ids["__key"])).dropDuplicates(["__root"])
-    return kept.select(*docs.columns)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = without(docs, durable(groups.filter(~first).select("doc_id", "text_key").distinct()))
+    several = durable(groups.filter(first).groupBy("root").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key")).filter("n > 1"))
+    if several.isEmpty():
+        return kept
+    # repeated ids: of a group's first rows one stays, of the smallest text key; copies merge in their tasks before any shuffle
+    ids = groups.filter(first).select("root", "doc_id", "text_key").distinct().join(several.select("root"), "root", "left_semi")
+    fewer = without(kept, durable(ids.select("doc_id", "text_key")))
+    key, a, b = (free_name(docs.columns, n) for n in ("key", "id", "kept"))
+    one = several.select(F.col("doc_id").alias(a), F.col("text_key").alias(b))
+    again = kept.withColumn(key, F.xxhash64("text"))
+    again = again.join(F.broadcast(one) if one.count() <= BROADCAST_KEYS else one, again["doc_id"].eqNullSafe(F.col(a)) & (F.col(key) == F.col(b))).dropDuplicates([a, b])
+    return fewer.unionByName(again.select(*docs.columns))

@@ -20,7 +20,8 @@ weights are fitted to labels by a ridge logistic regression.
 Learning uses labelled rows only where crc32(doc_id as text) mod 5 is not 0, and of these
 at most ``LABELLED`` documents, those with the smallest hash. Whole texts are scored. Null
 and empty texts have no clauses and get the start weight's score. Conflicting labels of one
-document count as their maximum; of several texts under one id each is learned from. Without
+document count as their maximum; of several texts under one id each is learned from (at most
+``LABELLED`` texts in all, those with the smallest hash). Without
 any label (or with one class only) the built-in weights stand. Repeated rows get equal scores;
 an empty table gives an empty result; extra columns are ignored.
 """
@@ -63,6 +64,7 @@ INSULTS = frozenset(
 )
 # end of fixed values
 
+LONGEST_THREAT = max(map(len, THREATS)) + max(map(len, ENDINGS))
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "other", "insult", "threat", "target", "negation", "report"
 SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
 #: Marks that the transducers put behind a symbol.
@@ -142,7 +144,7 @@ class ClauseGrammar:
 
     def symbol(self, word: str) -> tuple[str, float]:
         """The word's symbol and weight."""
-        if any(word[:n] in THREATS and word[n:] in ENDINGS for n in range(SHORTEST, len(word) + 1)):
+        if len(word) <= LONGEST_THREAT and any(word[:n] in THREATS and word[n:] in ENDINGS for n in range(SHORTEST, len(word) + 1)):
             return THREAT, 0.0
         for known, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             if word in known:
@@ -196,7 +198,10 @@ def held_out(key: Column) -> Column:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """(label, text) of the training rows: at most ``bound`` labelled documents outside the hold-out."""
+    """(label, text) of the training rows: at most ``bound`` labelled documents outside the hold-out, and as many texts.
+
+    Rows that repeat an id with its text are one; of an id's several texts each is a row. Both bounds take the smallest hashes.
+    """
     chosen = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("labelled"))
@@ -204,8 +209,13 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) ->
         .orderBy(F.xxhash64("labelled"), "labelled")
         .limit(bound)
     )
-    # at most ``bound`` rows of two numbers
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("label", "text")
+    # at most ``bound`` rows of two numbers; copies under one id are merged before the shuffle
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    texts = durable(found.groupBy("doc_id", F.xxhash64("text").alias("k")).agg(F.first("label").alias("label"), F.first("text").alias("text")))
+    if texts.count() <= bound:  # as a rule: no id has several texts
+        return texts.select("label", "text")
+    keys = texts.select("doc_id", "k").orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k").limit(bound)
+    return texts.join(F.broadcast(keys), ["doc_id", "k"]).select("label", "text")
 
 
 def _evidence(t: Column, c: Column, rate: float) -> Column:
@@ -281,14 +291,14 @@ def learn_stems(rows: DataFrame) -> tuple[tuple[tuple[str, float], ...], int, in
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     """Stems, then weights from the table of distinct feature vectors with their numbers: at most ``bound`` reach the driver.
 
-    There are no more than labelled documents, unless ids repeat with many different texts.
+    There are no more than training rows, which ``bound`` bounds.
     """
-    rows = durable(labelled_rows(docs, labels, bound))
+    rows = labelled_rows(docs, labels, bound)
     stems, toxic, clean = learn_stems(rows)
     prior = Model(stems, tuple(PRIOR.tolist()))
     if not toxic or not clean:
         return prior
-    cells = with_features(rows, prior, ["label"]).groupBy("label", "features").count().orderBy("label", "features").limit(bound).collect()
+    cells = with_features(rows, prior, ["label"]).groupBy("label", "features").count().orderBy("label", "features").collect()
     x = np.column_stack([np.ones(len(cells)), np.array([c["features"] for c in cells])])
     y, n = np.array([c["label"] for c in cells], dtype=np.float64), np.array([c["count"] for c in cells], dtype=np.float64)
     w = PRIOR.copy()
