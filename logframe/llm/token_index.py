@@ -14,7 +14,7 @@ A data set is a folder:
 A lookup reads one cell of bounded size, one place and one range of bytes, whatever the size of the data set. A key
 that the data set does not hold is taken for another with a chance of 2**-32. Documents under one key follow one
 another and may run on into the next shard. Shards are cut by ranges of (key, text hash, row), so copies of a document
-do not meet in one task. Files are written under another name and renamed when whole, so a task that is run again
+need not meet in one task. Files are written under another name and renamed when whole, so a task that is run again
 replaces its own file. All files go through Arrow's file systems (local, hdfs, s3, gs) into the shared folder.
 
 A null text counts as empty: its document is the end id alone. An empty table gives a data set without shards.
@@ -40,8 +40,8 @@ from logframe.llm.common import Scratch, release
 from logframe.llm.token_counts import counter
 
 END = 2
-#: Ids of a shard, keys of a slice of the index and of a cell, on average.
-SHARD_IDS, SLICE_KEYS, CELL_KEYS = 64 << 20, 1 << 20, 4096
+#: Bytes of the texts of a shard, keys of a slice of the index and of a cell, on average.
+SHARD_BYTES, SLICE_KEYS, CELL_KEYS = 256 << 20, 1 << 20, 4096
 #: Documents that are read at once, and ids of one read.
 RUN, READ_IDS = 2048, 8 << 20
 #: Bits of a level's array for each key, and levels before the rest is listed.
@@ -212,39 +212,26 @@ def with_cells(keys: DataFrame, slices: int, cells: int) -> DataFrame:
 # --- writing
 
 
-def encoded(docs: DataFrame, path: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, tie, n, ids) of every row: its ids with the end id as little-endian integers of the data set's width."""
-
-    def run(batches):
-        c, width = counter(path), _width(path, end)
-        for batch in batches:
-            found = [np.array([*c.encode(t.as_py()), end], dtype=width) for t in batch.column(2)]
-            arrays = [batch.column(0), batch.column(1), pa.array([len(i) for i in found], pa.int64()), pa.array([i.tobytes() for i in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "tie", "n", "ids"])
-        release()
-
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(body).alias("tie"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, tie long, n long, ids binary")
-
-
 def _width(path: str, end: int) -> str:
     return "<u2" if max(len(counter(path).lengths) - 1, end) < 1 << 16 else "<u4"
 
 
-def write(docs: DataFrame, out: str, path: str, end: int = END, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> dict:
-    """Encode ``docs`` with a vocabulary file and write them as a data set into the folder ``out``; its manifest."""
-    spark, width = docs.sparkSession, _width(path, end)
+def write(docs: DataFrame, out: str, path: str, end: int = END, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> dict:
+    """Encode ``docs`` with a vocabulary file and write them as a data set into the folder ``out``; its manifest.
+
+    Texts are dealt by ranges once and encoded where their shard is written, so no ids are stored or shuffled besides it.
+    """
+    spark, width, end_id = docs.sparkSession, _width(path, end), end
     fs, place = opened(out)
     fs.create_dir(place, recursive=True)
     scratch = Scratch(spark, "encoded")
-    rows = scratch.keep(encoded(docs, path, end, key, text), "ids")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_ids)) if total else 1
-    order = [F.asc_nulls_first("key"), F.col("tie"), F.col("__file"), F.col("__row")]
-    placed = rows.withColumns({"__file": F.xxhash64(F.col("_metadata.file_name")), "__row": F.col("_metadata.row_index")})
-    # of equal keys and texts the row's place in the written table decides, so that copies can be cut apart
-    dealt = placed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "n", "ids")
+    body = F.coalesce(F.col(text), F.lit(""))
+    # of equal keys and texts the row's number in the input decides, so that copies can be cut apart
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(body).alias("tie"), F.monotonically_increasing_id().alias("row"), body.alias("text"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+    order = [F.asc_nulls_first("key"), F.col("tie"), F.col("row")]
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "text")
 
     def shard(batches):
         """Write one shard as its rows come; a row (key, first document, offset, copies, shard and its size so far) of each run of a key."""
@@ -253,6 +240,7 @@ def write(docs: DataFrame, out: str, path: str, end: int = END, key: str = "doc_
             return
         number, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, place = opened(f"{out}/shard-{number}")
+        c = counter(path)
         own = [f"{place}.ids.{attempt}", f"{place}.ends.{attempt}"]
         records = ids = 0
         with fs.open_output_stream(own[0]) as payload, fs.open_output_stream(own[1]) as ends:
@@ -260,8 +248,12 @@ def write(docs: DataFrame, out: str, path: str, end: int = END, key: str = "doc_
                 if not batch.num_rows:
                     continue
                 key, null = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
-                end = ids + np.cumsum(batch.column(1).to_numpy())
-                payload.write(b"".join(batch.column(2).to_pylist()))
+                sizes = np.zeros(batch.num_rows, dtype=np.int64)
+                for i, t in enumerate(batch.column(1)):
+                    found = np.array([*c.encode(t.as_py()), end_id], dtype=width)
+                    payload.write(found.tobytes())
+                    sizes[i] = len(found)
+                end = ids + np.cumsum(sizes)
                 ends.write(end.astype("<u8").tobytes())
                 begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (null[1:] != null[:-1]))))
                 offset = np.concatenate(([ids], end[:-1]))[begins]
@@ -275,7 +267,7 @@ def write(docs: DataFrame, out: str, path: str, end: int = END, key: str = "doc_
         release()
 
     keys = scratch.keep(dealt.mapInArrow(shard, "key long, record long, offset long, copies long, shard long, records long, ids long"), "keys")
-    # one row a shard: their number grows with the data by one for each 64 M ids
+    # one row a shard: their number grows with the data by one for each ``shard_bytes``
     sizes = {r["shard"]: [r["records"], r["ids"]] for r in keys.groupBy("shard").agg(F.max("records").alias("records"), F.max("ids").alias("ids")).collect()}
     manifest = {"width": width, "end": end, "shards": [[s, *sizes[s]] for s in sorted(sizes)], "null": None}
     manifest |= _write_index(keys, out, scratch)
