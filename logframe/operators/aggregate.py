@@ -35,22 +35,27 @@ def _named(f: str) -> Column:
 
 
 def _first_lines(keyed: DataFrame, keys: list[Column], members: int) -> DataFrame:
-    """Groups with ``count`` and ``line_indices``, from one pass over the lines.
+    """Groups with ``count``, ``line_indices`` and ``members``, from one pass over the lines.
 
-    Each (group, block of lines) is counted with its first lines; then blocks are merged ``FAN`` at a time, then those.
+    Each (group, source, block of lines) is counted with its first lines; then the first of ``FAN`` blocks, of a source, of
+    a ``FAN``-th of the sources and of all are merged: no array grows with the lines of a group or its sources together.
     """
-    first = F.slice(F.array_sort(F.collect_list("line_no")), 1, members)
-    rows = keyed.groupBy(*keys, F.floor(F.col("line_no") / BLOCK).alias("__block")).agg(F.count("*").alias("count"), first.alias("line_indices"))
-    merged = F.array_sort(F.collect_list(F.struct("__block", "line_indices")))
-    lines = F.slice(F.flatten(F.transform(merged, lambda x: x["line_indices"])), 1, members).alias("line_indices")
-    rows = rows.groupBy(*keys, F.floor(F.col("__block") / FAN).alias("__block")).agg(F.sum("count").alias("count"), lines)
-    return rows.groupBy(*keys).agg(F.sum("count").alias("count"), lines)
-
-
-def count_by(df: DataFrame, fields: list[str], parser: str = "json", top: int | None = None, members: int | None = None, content: str = "content") -> DataFrame:
+    source = F.col("source") if "source" in keyed.columns else F.lit(None).cast("string")
+    line = F.struct(F.col("line_no").cast("long").alias("line_no"), source.alias("source"))
+    first = lambda lists: F.slice(F.array_sort(lists), 1, members).alias("__first")
+    rows = keyed.select(*keys, source.alias("__source"), F.floor(F.col("line_no") / BLOCK).alias("__block"), line.alias("__line"))
+    rows = rows.groupBy(*keys, "__source", "__block").agg(F.count("*").alias("count"), first(F.collect_list("__line")))
+    for level in (["__source", F.floor(F.col("__block") / FAN).alias("__block")], ["__source"], [F.pmod(F.xxhash64("__source"), F.lit(FAN)).alias("__part")], []):
+        rows = rows.groupBy(*keys, *level).agg(F.sum("count").alias("count"), first(F.flatten(F.collect_list("__first"))))
+    places = F.transform("__first", lambda x: F.struct(x["source"].alias("source"), x["line_no"].alias("line_no")))
+    return rows.select(*keys, "count", F.transform("__first", lambda x: x["line_no"]).alias("line_indices"), places.alias("members"))
+
+
+def count_by(df: DataFrame, fields: list[str], parser: str = "json", top: int | None = None, members: int | None = None, content: str = "content", named: bool = False) -> DataFrame:
     """Groups with ``count`` and ``total_matches``, ordered by count (largest first), then keys.
 
-    ``members`` adds ``line_indices``, the group's line numbers, ascending, at most so many.
+    ``members`` adds ``line_indices``, the group's line numbers, ascending, at most so many; with ``named`` also
+    ``members``, the same lines as (source, line_no), in the order of (line_no, source).
     """
     keys = [_named(f) for f in fields]
     keyed = with_group_keys(df, fields, parser, content)
@@ -58,6 +63,7 @@ def count_by(df: DataFrame, fields: list[str], parser: str = "json", top: int |
     # names all columns of the groups, so that both readers share one shuffle of the lines
     counted = F.col("count") if members is None else F.when(F.size("line_indices") >= 0, F.col("count"))
     total = groups.agg(F.coalesce(F.sum(counted), F.lit(0)).alias("total_matches"))
+    groups = groups if named or members is None else groups.drop("members")
     ordered = groups.withColumn("total_matches", total.scalar()).orderBy(F.desc("count"), *keys)
     return ordered if top is None else ordered.limit(top)
 
@@ -128,12 +134,21 @@ def stats(df: DataFrame, every: int = 100) -> DataFrame:
 
     The lines are read once, into a table of blocks from which all figures come.
     """
-    names = [f"n_{s}" for s in SEVERITIES]
-    blocks = df.groupBy("source", F.floor(F.col("line_no") / every).alias("block")).agg(
-        F.count("*").alias("lines"), F.sum(F.octet_length("content") + 1).alias("bytes"), F.max("line_no").alias("line_no"),
+    return stats_of_blocks(line_blocks(df, every)).withColumn("columns", F.lit(",".join(sorted(df.columns))))
+
+
+def line_blocks(df: DataFrame, every: int = 100) -> DataFrame:
+    """One row for each ``every`` line numbers of a source: lines, bytes, line_no and arrival_ts of the last line, first_line, first_ts, severity counts."""
+    return df.groupBy("source", F.floor(F.col("line_no") / every).alias("block")).agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("content") + 1).alias("bytes"), F.max("line_no").alias("line_no"), F.min("line_no").alias("first_line"),
         F.min_by("arrival_ts", "line_no").alias("first_ts"), F.max_by("arrival_ts", "line_no").alias("arrival_ts"),
         *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES],
     )
+
+
+def stats_of_blocks(blocks: DataFrame) -> DataFrame:
+    """Per source, from the rows of :func:`line_blocks`: lines, bytes, severity counts, time range and rate."""
+    names = [f"n_{s}" for s in SEVERITIES]
     point = F.collect_list(F.struct("line_no", "arrival_ts"))
     sums = [F.sum(c).alias(c) for c in ("lines", "bytes", *names)]
     groups = blocks.groupBy("source", F.floor(F.col("line_no") / SPAN).alias("__group")).agg(
@@ -142,8 +157,7 @@ def stats(df: DataFrame, every: int = 100) -> DataFrame:
     ends = [F.min_by("first_ts", "__group").alias("start_ts"), F.max_by("last_ts", "__group").alias("end_ts"), _newest(F.flatten(F.collect_list("two"))).alias("two")]
     base = groups.groupBy("source").agg(*sums, *ends)
     both = F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull()
-    base = base.withColumns({**{c: F.when(both, F.col(c)) for c in ("start_ts", "end_ts")}, "lines_per_second": _rate(F.col("two"))}).drop("two")
-    return base.withColumn("columns", F.lit(",".join(sorted(df.columns))))
+    return base.withColumns({**{c: F.when(both, F.col(c)) for c in ("start_ts", "end_ts")}, "lines_per_second": _rate(F.col("two"))}).drop("two")
 
 
 def severity_bars(counts: DataFrame, width: int = 10) -> DataFrame:

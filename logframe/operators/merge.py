@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logframe.operators.blocks import last_known
+from logframe.operators.small import attach
 
 
 def carry_forward_ts(df: DataFrame, ts: str = "arrival_ts") -> DataFrame:
@@ -26,10 +27,16 @@ def merge_sources(dfs: list[DataFrame] | DataFrame, ts: str = "arrival_ts") -> D
     return carry_forward_ts(rows, ts).orderBy("merge_ts", "source_ord", "line_no")
 
 
-def append_merge(merged: DataFrame, new: DataFrame, ts: str = "arrival_ts") -> DataFrame:
-    """``merged`` with the lines of ``new`` that come after its last line of their source, carrying on its last known time."""
-    known = merged.groupBy("source").agg(F.max("line_no").alias("__line"), F.max_by("merge_ts", "line_no").alias("__ts"))
-    fresh = new.join(known, "source", "left").filter(F.col("__line").isNull() | (F.col("line_no") > F.col("__line")))
+def append_merge(merged: DataFrame, new: DataFrame, ts: str = "arrival_ts", known: DataFrame | None = None) -> DataFrame:
+    """``merged`` with the lines of ``new`` that come after its last line of their source, carrying on its last known time.
+
+    ``known`` (source, line_no, merge_ts) tells each source's last line, so that ``merged`` is not read for it. A stored
+    merged view that leaves old lines where they are is ``logframe.sources.merged``.
+    """
+    if known is None:
+        known = merged.groupBy("source").agg(F.max_by(F.struct("line_no", "merge_ts"), "line_no").alias("e")).select("source", "e.*")
+    known = known.select("source", F.col("line_no").alias("__line"), F.col("merge_ts").alias("__ts"))
+    fresh = attach(new, known, "left").filter(F.col("__line").isNull() | (F.col("line_no") > F.col("__line")))
     start = F.coalesce("__ts", F.timestamp_seconds(F.lit(0)))
     carried = last_known(fresh, ts, "__last").withColumn("merge_ts", F.coalesce("__last", start)).drop("__last", "__line", "__ts")
     return merged.unionByName(carried).orderBy("merge_ts", "source_ord", "line_no")

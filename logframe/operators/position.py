@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from logframe.functions.metadata import arrival_text, severity_label
 from logframe.operators.blocks import sums_before
+from logframe.operators.small import attach
 
 # fixed values: limits of the reads
 MAX_LINES, MAX_CONTEXT, MAX_PAGE = 1000, 50, 5000
@@ -31,7 +32,7 @@ def get_lines(df: DataFrame, start: int = 0, count: int = 100) -> DataFrame:
     """Lines [start, start + count) of each source, with has_more."""
     _checked("count", count, MAX_LINES)
     rows = df.filter((F.col("line_no") >= start) & (F.col("line_no") < start + count))
-    return rows.join(_total(df), "source").withColumn("has_more", F.col("__total") > start + count).drop("__total")
+    return attach(rows, _total(df)).withColumn("has_more", F.col("__total") > start + count).drop("__total")
 
 
 def get_tail(df: DataFrame, count: int = 100, since_line: int | None = None) -> DataFrame:
@@ -39,8 +40,8 @@ def get_tail(df: DataFrame, count: int = 100, since_line: int | None = None) ->
     _checked("count", count, MAX_LINES)
     if since_line is not None:
         rows = df.filter((F.col("line_no") > since_line) & (F.col("line_no") <= since_line + count))
-        return rows.join(_total(df), "source").withColumn("has_more", F.col("__total") > since_line + 1 + count).drop("__total")
-    placed = df.join(_total(df), "source").filter(F.col("line_no") >= F.col("__total") - count)
+        return attach(rows, _total(df)).withColumn("has_more", F.col("__total") > since_line + 1 + count).drop("__total")
+    placed = attach(df, _total(df)).filter(F.col("line_no") >= F.col("__total") - count)
     return placed.withColumn("has_more", F.col("__total") > count).drop("__total")
 
 
@@ -51,7 +52,7 @@ def get_context(df: DataFrame, line: int, before: int = 5, after: int = 5) -> Da
     has = df.filter(F.col("line_no") == line).select("source")
     if has.isEmpty():
         raise ValueError(f"no line {line}")
-    rows = df.filter(F.col("line_no").between(line - before, line + after)).join(has.distinct(), "source", "left_semi")
+    rows = attach(df.filter(F.col("line_no").between(line - before, line + after)), has.distinct(), "left_semi")
     return rows.withColumn("role", F.when(F.col("line_no") < line, "before").when(F.col("line_no") > line, "after").otherwise("target"))
 
 

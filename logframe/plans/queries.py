@@ -283,6 +283,15 @@ def _(spark, d):
     return ag.count_by(mixed_lines(spark, d), ["level"], "raw")
 
 
+@query("count_by_sources", _ev("""SELECT level, count(*) AS count, array_to_string(list_slice(list(source || ':' || line_no ORDER BY line_no, source), 1, 7), ',') AS members FROM (
+        SELECT level, 's' || (line_no % 50) AS source, line_no // 50 AS line_no FROM ev) GROUP BY level"""))
+def _(spark, d):
+    """Fifty sources whose lines have the same numbers: members name their source."""
+    rows = json_lines(spark, d).withColumns({"source": F.concat(F.lit("s"), F.col("line_no") % 50), "line_no": F.floor(F.col("line_no") / 50)})
+    named = F.transform("members", lambda x: F.concat(x["source"], F.lit(":"), x["line_no"]))
+    return ag.count_by(rows, ["level"], members=7, named=True).select("level", "count", F.array_join(named, ",").alias("members"))
+
+
 @query("count_by_members", _ev("""SELECT level, count(*) AS count, (SELECT count(*) FROM ev)::BIGINT AS total_matches, array_to_string(list_slice(list(line_no ORDER BY line_no), 1, 5), ',') AS members FROM ev GROUP BY level"""))
 def _(spark, d):
     found = ag.count_by(json_lines(spark, d), ["level"], members=5)
@@ -367,6 +376,16 @@ def _(spark, d):
     return found.select("line_no", "content", "total_matches", "truncated", *[c.alias(side) for side, c in joined.items()])
 
 
+_RENDERED = """CASE line_no % 4 WHEN 0 THEN level || ' ' || service || ' | ' || event_type WHEN 1 THEN service || ': ' || event_type END"""
+
+
+@query("query_rendered", _ev(f"""SELECT source, line_no, {_RENDERED} AS rendered, total_matches, (SELECT count(*) FROM ev)::BIGINT AS lines_searched FROM (
+        SELECT service AS source, line_no, level, service, event_type, count(*) OVER () AS total_matches FROM ev WHERE contains({SQL_MIXED}, 'error')) ORDER BY source, line_no LIMIT 200"""))
+def _(spark, d):
+    layouts = [("json", [{"field": "level"}, {"field": "service"}, {"literal": " | "}, {"field": "event"}]), ("logfmt", [{"field": "service"}, {"literal": ": "}, {"field": "event"}])]
+    return qy.run_query(mixed_lines(spark, d), pattern="error", case=True, max_results=200, layouts=layouts).select("source", "line_no", "rendered", "total_matches", "lines_searched")
+
+
 @query("query_raw_lines", """WITH l AS (SELECT doc_id::VARCHAR AS source, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS line_no FROM documents)
         SELECT source, line_no, content, count(*) OVER () AS total_matches FROM l WHERE contains(content, 'ing the ') ORDER BY source, line_no LIMIT 100""")
 def _(spark, d):
@@ -427,24 +446,38 @@ _CARRY = """, s AS (SELECT (user_id % 3)::INTEGER AS source_ord, service AS sour
     m AS (SELECT *, coalesce(last_value(ts IGNORE NULLS) OVER (PARTITION BY source ORDER BY line_no), TIMESTAMP '1970-01-01') AS merge_ts FROM s)"""
 
 
+def _some_times(spark, d) -> DataFrame:
+    return mixed_lines(spark, d).withColumn("arrival_ts", F.when(F.col("line_no") % 5 != 0, F.col("arrival_ts")))
+
+
 def _three(spark, d) -> list[DataFrame]:
-    rows = mixed_lines(spark, d).withColumn("arrival_ts", F.when(F.col("line_no") % 5 != 0, F.col("arrival_ts")))
+    rows = _some_times(spark, d)
     return [rows.filter(F.col("source") == f"svc{i}") for i in range(3)]
 
 
+def _tagged(spark, d) -> DataFrame:
+    """The lines of the three sources as one table with their order."""
+    return _some_times(spark, d).withColumn("source_ord", F.substring("source", 4, 1).cast("int"))
+
+
 @query("carry_forward", _ev("SELECT source, line_no, merge_ts FROM m", _CARRY))
 def _(spark, d):
-    return mg.carry_forward_ts(mg.tag_sources(_three(spark, d))).select("source", "line_no", "merge_ts")
+    return mg.carry_forward_ts(_tagged(spark, d)).select("source", "line_no", "merge_ts")
 
 
-@query("merge_sources", _ev("SELECT source, line_no, source_ord, merge_ts FROM m ORDER BY merge_ts, source_ord, line_no", _CARRY))
+@query("merge_tables", _ev("SELECT source, line_no, source_ord, merge_ts FROM m ORDER BY merge_ts, source_ord, line_no", _CARRY))
 def _(spark, d):
     return mg.merge_sources(_three(spark, d)).select("source", "line_no", "source_ord", "merge_ts")
 
 
+@query("merge_sources", _ev("SELECT source, line_no, source_ord, merge_ts FROM m ORDER BY merge_ts, source_ord, line_no", _CARRY))
+def _(spark, d):
+    return mg.merge_sources(_tagged(spark, d)).select("source", "line_no", "source_ord", "merge_ts")
+
+
 @query("append_merge", _ev("SELECT source, line_no, merge_ts FROM m", _CARRY))
 def _(spark, d):
-    rows = mg.tag_sources(_three(spark, d))
+    rows = _tagged(spark, d)
     half = mg.merge_sources(rows.filter("line_no < 400"))
     return mg.append_merge(half, rows).select("source", "line_no", "merge_ts")
 

@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logframe.functions import metadata as md
 from logframe.plans import lines as ln
 from logframe.plans.lines import SQL_MIXED, SQL_PARTS
-from logframe.sources import tail
+from logframe.sources import indexed, merged, tail
 from logframe.sources.lines import append_log_table, build_log_table, list_sources, read_lines, read_log_dir, write_results
-from logframe.streaming import live
+from logframe.streaming import generations, live
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +43,8 @@ def log_files(spark: SparkSession, rows: DataFrame) -> str:
         name = folder.getPath().getName()
         if name.startswith("of="):
             parts = [f.getPath() for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise ValueError(f"{len(parts)} files for {name[3:]}: unset spark.sql.files.maxRecordsPerFile")
             files.rename(parts[0], paths(f"{logs}/{name[3:]}.log"))
     return logs
 
@@ -49,7 +52,7 @@ def log_files(spark: SparkSession, rows: DataFrame) -> str:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream has given when its present input is used up, as a written table."""
     spark, home = stream.sparkSession, shared_folder(stream.sparkSession)
-    out, write = f"{home}/out", "append" if mode == "append" else "overwrite"
+    out, write = f"{home}/out", "overwrite" if mode == "complete" else "append"
     kept = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/cp").trigger(availableNow=True)
     query = kept.foreachBatch(lambda batch, _: batch.write.mode(write).parquet(out)).start()
     query.awaitTermination()
@@ -151,8 +154,78 @@ def newest_generation(spark, sf_dir):
     return live.latest_generation(rows.withColumn("generation", shrank + again)).select("source", "line_no", "generation")
 
 
+def _numbered_within(spark, sf_dir):
+    """Mixed lines numbered from 0 in each source."""
+    ranked = Window.partitionBy("source").orderBy("line_no")
+    return ln.mixed_lines(spark, sf_dir).withColumn("line_no", (F.row_number().over(ranked) - 1).cast("long"))
+
+
+def _stored_log(spark, sf_dir):
+    """A log stored by three appends, each of which offers all lines up to some number."""
+    out, rows = shared_folder(spark), _numbered_within(spark, sf_dir)
+    for n in (150, 333, None):
+        indexed.append_log(rows if n is None else rows.filter(F.col("line_no") < n), out)
+    return out
+
+
+def stored_stats(spark, sf_dir):
+    return indexed.stored_stats(spark, _stored_log(spark, sf_dir)).drop("columns").withColumn("lines_per_second", F.round("lines_per_second", 9))
+
+
+def stored_checkpoints(spark, sf_dir):
+    return indexed.stored_checkpoints(spark, _stored_log(spark, sf_dir)).select("source", "line_no", *indexed.COUNTS)
+
+
+def captured_log(spark, sf_dir):
+    """Lines of a stream stored in two runs of one capture: numbers without gaps, offsets that follow one another."""
+    home = shared_folder(spark)
+    for _ in range(2):
+        run = indexed.capture_log(event_stream(spark, sf_dir, ln._PLAIN).select("source", "content"), f"{home}/log", f"{home}/cp")
+        run.processAllAvailable()
+        run.stop()
+    kept = indexed.read_log(spark, f"{home}/log")
+    ends = F.max(F.col("byte_offset") + F.col("byte_length") + 1)
+    return kept.groupBy("source").agg(F.count("*").alias("lines"), F.count_distinct("line_no").alias("numbers"), F.max("line_no").alias("last"), F.sum(F.col("byte_length") + 1).alias("bytes"), ends.alias("end"))
+
+
+def merged_table(spark, sf_dir):
+    """A stored merged view that three appends made, each of which offers all lines up to some number."""
+    out = shared_folder(spark)
+    rows = ln.mixed_lines(spark, sf_dir).withColumns({"arrival_ts": F.when(F.col("line_no") % 5 != 0, F.col("arrival_ts")), "source_ord": F.substring("source", 4, 1).cast("int")})
+    for n in (400, 900, None):
+        merged.append_merged(rows if n is None else rows.filter(F.col("line_no") < n), out, seconds=86_400 * 4)
+    return merged.read_merged(spark, out).select("source", "line_no", "merge_ts")
+
+
+def _generations(spark, sf_dir):
+    """Lines with the generation of :func:`newest_generation`, in four batches of a stream."""
+    rows = ln.mixed_lines(spark, sf_dir)
+    shrank = F.when(F.col("source") == "svc0", F.col("line_no") >= 400).when(F.col("source") == "svc1", F.col("line_no") >= 300).otherwise(False).cast("int")
+    again = F.when(F.col("source") == "svc1", F.col("line_no") >= 700).otherwise(False).cast("int")
+    home = shared_folder(spark)
+    rows = rows.withColumn("generation", shrank + again)
+    rows.repartitionByRange(4, "line_no").write.parquet(home)
+    generations.use_rocksdb(spark)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(home)
+
+
+def stream_generations(spark, sf_dir):
+    """Running severity counts that start anew when a file shrank."""
+    updates = drained(generations.generation_severity(_generations(spark, sf_dir)), "update")
+    return generations.severity_table(updates)
+
+
+def stream_generation_count_by(spark, sf_dir):
+    """Running groups over all sources, each in its newest generation."""
+    keyed = _generations(spark, sf_dir).withColumn("number", (F.col("line_no") % 4).cast("string"))
+    return generations.newest_counts(drained(generations.running_counts(keyed, ["number"]), "update"), ["number"])
+
+
 _LEVELS = ", ".join(f"count(*) FILTER (level = '{s}') AS n_{s}" for s in md.SEVERITIES)
 _WITH = f"WITH {SQL_PARTS}"
+_RANKED = f"{_WITH}, r AS (SELECT service AS source, row_number() OVER (PARTITION BY service ORDER BY line_no) - 1 AS line_no, arrival_ts, level, {SQL_MIXED} AS content FROM ev)"
+_MERGED = "(SELECT service AS source, line_no, coalesce(last_value(CASE WHEN line_no % 5 <> 0 THEN arrival_ts END IGNORE NULLS) OVER (PARTITION BY service ORDER BY line_no), TIMESTAMP '1970-01-01') AS merge_ts FROM ev)"
+_NEWEST = "(SELECT * FROM ev WHERE service = 'svc0' AND line_no >= 400 OR service = 'svc1' AND line_no >= 700 OR service = 'svc2')"
 QUERIES = {
     "stream_filter": (stream_filter, f"{_WITH} SELECT service AS source, line_no FROM ev WHERE level = 'error'"),
     "stream_count_by": (stream_count_by, f"{_WITH} SELECT level, count(*) AS count FROM ev GROUP BY level"),
@@ -173,6 +246,18 @@ QUERIES = {
     "log_tail": (stream_tail, f"""{_WITH}, l AS (SELECT service AS source, line_no AS pos, {SQL_MIXED} AS content FROM ev), o AS (SELECT *, octet_length(encode(content)) AS n FROM l)
         SELECT source, 0 AS generation, coalesce(sum(n + 1) OVER (PARTITION BY source ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset, n::INTEGER AS byte_length, content FROM o"""),
     "capture": (captured, f"{_WITH} SELECT service AS source, level AS severity, count(*) AS lines, count(*) AS timed FROM ev GROUP BY ALL"),
+    "stored_stats": (stored_stats, f"""{_RANKED}, p AS (SELECT source, line_no, arrival_ts, max(line_no) OVER (PARTITION BY source) AS last FROM r)
+        SELECT source, count(*) AS lines, sum(octet_length(encode(content)) + 1)::BIGINT AS bytes, {_LEVELS}, arg_min(arrival_ts, line_no) AS start_ts, arg_max(arrival_ts, line_no) AS end_ts,
+        (SELECT round(max(line_no - prev) / nullif(max(epoch_us(arrival_ts) - epoch_us(prev_ts)), 0) * 1e6, 9) FROM (SELECT a.line_no, a.arrival_ts, b.line_no AS prev, b.arrival_ts AS prev_ts FROM p a JOIN p b ON a.source = b.source
+            WHERE a.source = r.source AND a.line_no = a.last AND b.line_no = a.last // 100 * 100 - 1)) AS lines_per_second FROM r GROUP BY source"""),
+    "stored_checkpoints": (stored_checkpoints, f"""{_RANKED}, c AS (SELECT source, line_no, max(line_no) OVER (PARTITION BY source) AS last, {", ".join(f"count(*) FILTER (level = '{s}') OVER w AS n_{s}" for s in md.SEVERITIES)}
+        FROM r WINDOW w AS (PARTITION BY source ORDER BY line_no ROWS UNBOUNDED PRECEDING))
+        SELECT source, line_no, {", ".join(f"n_{s}" for s in md.SEVERITIES)} FROM c WHERE line_no % 100 = 99 OR line_no = last"""),
+    "capture_log": (captured_log, f"""{_WITH}, l AS (SELECT service AS source, octet_length(encode(strftime(arrival_ts, '%Y-%m-%d %H:%M:%S') || ' ' || upper(level) || ' ' || service || ' ' || event_type || ' user ' || user_id)) + 1 AS n FROM ev)
+        SELECT source, count(*) AS lines, count(*) AS numbers, count(*) - 1 AS last, sum(n)::BIGINT AS bytes, sum(n)::BIGINT AS end FROM l GROUP BY source"""),
+    "merged_table": (merged_table, f"{_WITH} SELECT * FROM {_MERGED}"),
+    "stream_generations": (stream_generations, f"{_WITH} SELECT service AS source, {_LEVELS} FROM {_NEWEST} GROUP BY service"),
+    "stream_generation_count_by": (stream_generation_count_by, f"{_WITH} SELECT (line_no % 4)::VARCHAR AS number, count(*) AS count FROM {_NEWEST} GROUP BY ALL"),
     "latest_generation": (newest_generation, f"""{_WITH} SELECT service AS source, line_no, CASE service WHEN 'svc0' THEN 1 WHEN 'svc1' THEN 2 ELSE 0 END AS generation
         FROM ev WHERE service = 'svc0' AND line_no >= 400 OR service = 'svc1' AND line_no >= 700 OR service = 'svc2'"""),
 }

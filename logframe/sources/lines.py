@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logframe.functions.metadata import sanitize, with_metadata
 from logframe.operators.blocks import sums_before
+from logframe.operators.small import attach
 
 #: Splits (of files) whose starts are broadcast; more are joined by a shuffle.
 BROADCAST_SPLITS = 200_000
@@ -101,7 +102,7 @@ def append_log_table(lines: DataFrame, out: str) -> None:
     """Only the lines after each source's last stored line."""
     spark = lines.sparkSession
     stored = spark.read.parquet(out).groupBy(F.col("source").cast("string").alias("source")).agg(F.max("line_no").alias("__last"))
-    fresh = lines.join(stored, "source", "left").filter(F.col("__last").isNull() | (F.col("line_no") > F.col("__last"))).drop("__last")
+    fresh = attach(lines, stored, "left").filter(F.col("__last").isNull() | (F.col("line_no") > F.col("__last"))).drop("__last")
     with_metadata(fresh).sortWithinPartitions("source", "line_no").write.mode("append").partitionBy("source").parquet(out)
 
 

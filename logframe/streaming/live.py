@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from logframe.functions.metadata import SEVERITIES, sanitize, severity, with_metadata
 from logframe.operators.aggregate import with_group_keys
 from logframe.operators.predicates import where_spec
+from logframe.operators.small import attach
+from logframe.streaming.generations import newest_lines
 
 
 def stream_lines(stream: DataFrame, source: str = "stream") -> DataFrame:
@@ -56,6 +58,11 @@ def live_rate(stream: DataFrame, window: str = "5 seconds", slide: str = "1 seco
 
 
 def latest_generation(df: DataFrame) -> DataFrame:
-    """Lines of each source's newest generation: what was read before a file shrank is dropped."""
-    newest = df.groupBy("source").agg(F.max("generation").alias("__newest")).select(F.col("source").alias("__source"), "__newest")
-    return df.join(newest, (F.col("source") == F.col("__source")) & (F.col("generation") == F.col("__newest"))).drop("__source", "__newest")
+    """Lines of each source's newest generation: what was read before a file shrank is dropped.
+
+    Of a stream, the lines of each source's newest generation so far; what was handed on before stays handed on.
+    """
+    if df.isStreaming:
+        return newest_lines(df)
+    newest = df.groupBy("source").agg(F.max("generation").alias("__newest"))
+    return attach(df, newest).filter(F.col("generation") == F.col("__newest")).drop("__newest")
