@@ -55,11 +55,15 @@ def field_variant(v: Column, field: str) -> Column:
 
 
 def _text(x: Column, raw: Column) -> Column:
-    """A variant as text; ``raw`` is the same number as it was written, where the path is plain."""
-    kind = F.schema_of_variant(x)
-    written = kind.rlike("^(DECIMAL|DOUBLE|FLOAT|BIGINT)") & raw.rlike(r"^-?[0-9]+\.[0-9]+$")
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    return F.when(x.isNull(), None).when(F.is_variant_null(x), "null").when(nested, F.to_json(x)).when(written, raw).otherwise(F.try_variant_get(x, "$", "string"))
+    """A variant as text; ``raw`` is the same number as it was written, where the path is plain: it is taken for numbers only, and once."""
+
+    def told(kind: Column) -> Column:
+        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        plain = F.try_variant_get(x, "$", "string")
+        number = let(raw, lambda r: F.when(r.rlike(r"^-?[0-9]+\.[0-9]+$"), r).otherwise(plain))
+        return F.when(nested, F.to_json(x)).when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT|BIGINT)"), number).otherwise(plain)
+
+    return F.when(x.isNull(), None).when(F.is_variant_null(x), "null").otherwise(let(F.schema_of_variant(x), told))
 
 
 def json_field(c: Column, field: str, v: Column | None = None) -> Column:
@@ -67,7 +71,8 @@ def json_field(c: Column, field: str, v: Column | None = None) -> Column:
 
     Pass ``v``, a column holding :func:`json_variant`, to parse a line once for many fields.
     """
-    raw = F.get_json_object(c, "$" + "".join(f"['{p}']" for p in field.split(".")))
+    # only a number with a point can be written otherwise than the variant tells it
+    raw = F.when(c.contains("."), F.get_json_object(c, "$" + "".join(f"['{p}']" for p in field.split("."))))
     return let(field_variant(json_variant(c) if v is None else v, field), lambda x: _text(x, raw))
 
 

@@ -1,6 +1,7 @@
 """Predicates, aggregates, positions, merging and checks on small tables."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,3 +230,45 @@ def test_plans_read_lines_once(spark, tmp_path):
     assert scans(ag.count_by(rows, ["a"], members=2)) == 1
     flagged = pr.scan_flags(rows.withColumn("flags", md.flags(F.concat("content", F.lit(" marker")))), 1, 1)
     assert flagged._jdf.queryExecution().optimizedPlan().toString().count(" marker") <= 3  # the line's expression is not repeated for every mention
+
+
+def scans(df):
+    """File scans of a plan, without those that read no column."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(r"Relation \[", plan))
+
+
+def test_plans_have_few_scans(spark, tmp_path):
+    rows = lines(spark, [f"{'WARN' if i % 7 == 0 else 'INFO'} {i}" for i in range(500)])
+    rows.withColumns({"arrival_ts": F.lit(TS), "source_ord": F.lit(0), "byte_offset": F.col("line_no") * 10, "byte_length": F.lit(9), "flags": F.lit(0), "merge_ts": F.lit(TS)}).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert scans(ch.structural_violations(t)) == 1
+    assert scans(ag.count_by(t, ["x"], members=3).drop("total_matches")) == 1
+    old, new = t.filter("line_no < 100").select("source", "source_ord", "line_no", "content", "arrival_ts", "merge_ts"), t.select("source", "source_ord", "line_no", "content", "arrival_ts")
+    known = spark.createDataFrame([("s", 99, TS)], "source string, line_no long, merge_ts timestamp")
+    assert scans(mg.append_merge(old, new, known=known)) == 3  # the old lines once, the new ones for their times and as they are
+    found = qy.run_query(t, pattern="WARN", case=True, context=2, max_results=10)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in final and final.count("(content#") + final.count("Contains(content") <= 4
+    got = found.orderBy("line_no").collect()
+    assert [r["line_no"] for r in got] == [7 * i for i in range(10)] and got[1]["before"] == ["INFO 5", "INFO 6"] and got[0]["before"] == [] and got[0]["lines_searched"] == 500
+
+
+def test_rendered_lines(spark):
+    rows = lines(spark, ['{"level":"error","msg":"something failed"}', "level=warn msg=hm", "plain text line", '{"other":1}'])
+    layouts = [("json", [{"field": "level"}, {"literal": " - "}, {"field": "msg"}]), ("logfmt", [{"field": "msg"}])]
+    got = {r["line_no"]: r["rendered"] for r in qy.readable(rows, layouts=layouts).collect()}
+    assert got == {0: "error - something failed", 1: "hm", 2: None, 3: None}
+    assert "rendered" not in qy.readable(rows).columns
+    found = qy.run_query(rows, pattern="failed", layouts=layouts).first()
+    assert found["rendered"] == "error - something failed" and found["lines_searched"] == 4 and found["content"].startswith("{")
+
+
+def test_members_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(ag, "BLOCK", 10)
+    monkeypatch.setattr(ag, "FAN", 3)
+    rows = spark.range(20_000).select(F.concat(F.lit("s"), F.col("id") % 997).alias("source"), F.floor(F.col("id") / 997).alias("line_no"), F.lit('{"a":"x"}').alias("content"))
+    got = ag.count_by(rows, ["a"], members=5, named=True).first()
+    want = sorted((i // 997, f"s{i % 997}") for i in range(20_000))[:5]
+    assert got["count"] == 20_000 and [(m["line_no"], m["source"]) for m in got["members"]] == want and got["line_indices"] == [n for n, _ in want]

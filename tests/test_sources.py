@@ -161,3 +161,45 @@ def test_stream_lines(spark, tmp_path):
     stream = spark.readStream.option("lineSep", "\n").text(str(tmp_path / "v"))
     drain(live.stream_lines(stream, "pipe").writeStream.format("memory").queryName("t_pipe").start())
     assert sorted(map(tuple, spark.table("t_pipe").collect())) == [("pipe", "a"), ("pipe", "b")]
+
+
+def test_tail_notices_replaced_files(spark, tmp_path):
+    logs, state = tmp_path / "logs", str(tmp_path / "state")
+    logs.mkdir()
+    f = logs / "x.log"
+
+    def step(reader, start):
+        end = reader.latestOffset()
+        rows = [(g, at, text) for p in reader.partitions(start, end) for _, g, at, _, text in reader.read(p)]
+        reader.commit(end)
+        return rows, end
+
+    reader = tail.TailReader({"path": str(logs), "state": state})
+    f.write_text("one\ntwo\n")
+    rows, at = step(reader, reader.initialOffset())
+    assert rows == [(0, 0, "one"), (0, 4, "two")]
+    f.write_text("new1\nnew2\nnew3\n")  # cut off and grown past the old place between two looks
+    rows, at = step(reader, at)
+    assert rows == [(1, 0, "new1"), (1, 5, "new2"), (1, 10, "new3")]
+    with f.open("a") as h:
+        h.write("new4\n")
+    rows, at = step(reader, at)
+    assert rows == [(1, 15, "new4")]
+    f.write_text("NEW1\nNEW2\nNEW3\nNEW4\n")  # the same size, other bytes
+    again = tail.TailReader({"path": str(logs), "state": state})  # also by a reader that starts anew
+    rows, at = step(again, at)
+    assert [r[:2] for r in rows] == [(2, 0), (2, 5), (2, 10), (2, 15)]
+    f.unlink()
+    rows, at = step(again, at)
+    assert rows == [] and "x.log" not in at["files"] and at["born"] == 3
+    f.write_text("back\n")
+    (logs / "y.log").write_text("other\n")
+    rows, at = step(again, at)
+    assert rows == [(3, 0, "back"), (3, 0, "other")]
+    # offsets and states of two numbers a file are read, too
+    old = {"files": '{"%s": [5, 3]}' % f}
+    with f.open("a") as h:
+        h.write("more\n")
+    reader = tail.TailReader({"path": str(f)})
+    reader.at = old
+    assert step(reader, old)[0] == [(3, 5, "more")]
