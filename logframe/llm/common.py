@@ -61,6 +61,9 @@ def durable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_home(df.sparkSession))
+        # its own folder in there, removed when the session's JVM ends
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.checkpoint()
 
 

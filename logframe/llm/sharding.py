@@ -3,7 +3,8 @@
 The law is ``key``: the key and the number of shards alone decide the shard, there is
 no ring table, and going from n to n + 1 shards moves rows only into shard n.
 
-Null keys share one fixed hash; a null text has no bytes. Rows with equal keys share a
+Null keys share one fixed hash; a null text has no bytes. Texts of any length are only
+measured and hashed where they are read. Rows with equal keys share a
 shard and get different slots. An empty table gives an empty result. Extra columns of
 the input are ignored.
 """
@@ -16,8 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logframe.llm.common import Scratch
+
 NULL_KEY = 0x6E756C6C
 BUCKET_BITS = 8
+#: Rows from which on a bucket may be dealt by ranges.
+HOT = 1_000_000
 
 
 def mix64(key: np.ndarray) -> np.ndarray:
@@ -47,7 +52,7 @@ def jump_hash(hashed: np.ndarray, shards: int) -> np.ndarray:
     return landed
 
 
-def shard_of(key: Column, shards: int) -> Column:
+def shard_of(key: Column, shards: int, bits: int = BUCKET_BITS) -> Column:
     """Struct (shard, grown_shard, bucket): with ``shards``, with one more, and the top hash bits."""
 
     @F.pandas_udf("struct<shard int, grown_shard int, bucket int>")
@@ -56,35 +61,51 @@ def shard_of(key: Column, shards: int) -> Column:
         return pd.DataFrame({
             "shard": jump_hash(hashed, shards).astype(np.int32),
             "grown_shard": jump_hash(hashed, shards + 1).astype(np.int32),
-            "bucket": (hashed >> np.uint64(64 - BUCKET_BITS)).astype(np.int32),
+            "bucket": (hashed >> np.uint64(64 - bits)).astype(np.int32),
         })
 
     return place(F.coalesce(key.cast("long"), F.lit(NULL_KEY)))
 
 
-def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", bits: int = BUCKET_BITS, hot: int = HOT) -> DataFrame:
     """One row per input row: key, size, text_crc32, law, shard, slot, grown_shard.
 
     Slots run from 0 without a gap in every shard, ordered by (bucket, key, size, crc).
-    A shard is numbered in 2**BUCKET_BITS independent buckets: rows are ranked inside
-    (shard, bucket), and a table of shards x buckets counts gives each bucket its start.
+    A shard is numbered in 2**bits independent buckets: rows are ranked inside (shard,
+    bucket), and a table of shards x buckets counts gives each bucket its start. A bucket
+    of more than ``hot`` rows and four times the mean holds a key with very many rows (or
+    none): it is dealt by ranges of the order, and ranked inside these.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     placed = docs.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        shard_of(F.col(key), shards).alias("at"),
+        shard_of(F.col(key), shards, bits).alias("at"),
     ).select("doc_id", "size", "text_crc32", "at.shard", "at.grown_shard", "at.bucket")
 
-    counts = docs.select(shard_of(F.col(key), shards).alias("at")).groupBy("at.shard", "at.bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
-    ranked = placed.withColumn("rank", F.row_number().over(within))
-    # at most shards * 2**BUCKET_BITS rows, whatever the size of the input
-    return ranked.join(F.broadcast(starts), ["shard", "bucket"]).select(
+    # at most shards * 2**bits rows, whatever the size of the input
+    counts = docs.select(shard_of(F.col(key), shards, bits).alias("at")).groupBy("at.shard", "at.bucket").agg(F.count("*").alias("n")).collect()
+    starts, total, large = [], {}, max(hot, 4 * sum(r["n"] for r in counts) / max(1, len(counts)))
+    for r in sorted(counts, key=lambda r: (r["shard"], r["bucket"])):
+        starts.append((r["shard"], r["bucket"], total.get(r["shard"], 0), r["n"] > large))
+        total[r["shard"]] = starts[-1][2] + r["n"]
+    begun = F.broadcast(docs.sparkSession.createDataFrame(starts, "shard int, bucket int, start long, large boolean"))
+
+    rows = placed.join(begun, ["shard", "bucket"])
+    order = [F.asc_nulls_first("doc_id"), F.col("size"), F.col("text_crc32")]
+    rank = lambda *by: F.row_number().over(Window.partitionBy("shard", "bucket", *by).orderBy(*order))
+    ranked = rows.filter("NOT large").withColumn("rank", rank())
+    if any(x[3] for x in starts):
+        scratch = Scratch(docs.sparkSession, "large")
+        dealt = rows.filter("large").withColumn("row", F.monotonically_increasing_id()).repartitionByRange("shard", "bucket", *order, "row")
+        dealt = scratch.keep(dealt.withColumn("part", F.spark_partition_id()), "rows")
+        earlier = Window.partitionBy("shard", "bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = dealt.groupBy("shard", "bucket", "part").agg(F.count("*").alias("n"))  # a few rows for each task
+        parts = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+        inside = dealt.join(parts, ["shard", "bucket", "part"]).withColumn("rank", rank("part") + F.col("before"))
+        ranked = ranked.unionByName(inside.select(*ranked.columns))
+    return ranked.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard",
     )

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from logframe.llm import bpe, chat, components, decontaminate, media, pii, secret_scan, simhash, toxicity
+from logframe.llm import bpe, chat, components, decontaminate, media, pii, secret_scan, sharding, simhash, toxicity
 from logframe.llm.common import BROADCAST_KEYS, without
 from logframe.llm.queries import table
 
@@ -205,3 +205,14 @@ def test_bmp_with_pixels_inside_its_header():
 def test_media_query_has_the_tile(spark, documents):
     row = media.text_media(documents.limit(3)).first()
     assert row["tile"][:6] == b"\x93NUMPY"
+
+
+def test_one_key_with_most_rows_is_ranked_in_parts(spark):
+    rows = [(None, f"t{i % 40}") for i in range(3000)] + [(7, f"t{i % 3}") for i in range(500)] + [(i, "x") for i in range(100, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    plain, cut = sharding.shard_rows(docs, 24), sharding.shard_rows(docs, 24, hot=200)
+    assert "Exchange rangepartitioning" not in plain._jdf.queryExecution().executedPlan().toString()
+    a, b = (sorted(map(repr, df.collect())) for df in (plain, cut))
+    assert a == b and len(a) == len(rows)
+    finer = sharding.shard_rows(docs, 24, bits=4, hot=200)
+    assert [r["n"] for r in finer.groupBy("shard").agg((F.max("slot") + 1 - F.count_distinct("slot")).alias("n")).collect()] == [0] * finer.select("shard").distinct().count()
