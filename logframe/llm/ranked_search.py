@@ -3,9 +3,9 @@
 A document is a vector of term impacts, an item a vector of term weights; the score is their inner product, in
 whole numbers. As in LEMP, vectors are ordered by length and cut into buckets. An item skips a bucket when the product
 of lengths (Cauchy-Schwarz), or the item's product with the bucket's largest coordinates, stays below the item's
-threshold, the score of its best rows so far. Inside a bucket the item's heaviest coordinates are multiplied out, and
-the rest is bounded by the lengths that are left and by the largest coordinates; what may still reach the threshold
-is scored exactly. Both vectors carry the square root of the weight (impact * sqrt(w), sqrt(w)), which leaves the
+threshold, the score of its best rows so far. Inside a bucket the item's coordinates are multiplied out a few at a
+time, the heaviest first, and the rest is bounded by the lengths that are left and by the largest coordinates; the few
+rows that may still reach the threshold are scored exactly, in integers. Both vectors carry the square root of the weight (impact * sqrt(w), sqrt(w)), which leaves the
 product as it is and makes the lengths of common terms small. Bounds are widened by more than the error of doubles.
 
 The thresholds start from the longest vectors of the whole corpus: a histogram of lengths finds at least ``SEED`` of
@@ -42,8 +42,8 @@ SEED = 4096
 BUCKET, COORDINATES, BLOCK = 1024, 1 << 20, 2 << 20
 #: Distinct (item, term) pairs that are searched at once, and sent to tasks.
 PAIRS = 200_000
-#: Heaviest coordinates of an item that are multiplied out before the bound.
-FOCUS = 8
+#: Coordinates of an item that are multiplied out between two bounds, and the part of a bucket that is few enough to be scored.
+FOCUS, ENOUGH = 8, 16
 #: Buckets of the histogram of lengths in each doubling.
 STEPS = 8
 SLACK = 1 + 1e-9
@@ -135,7 +135,7 @@ class Bucket:
     """Vectors of like length, by coordinate."""
 
     def __init__(self, vectors: Vectors, rows: np.ndarray, weights: np.ndarray):
-        self.rows, self.length = rows, vectors.length[rows]
+        self.vectors, self.rows, self.length = vectors, rows, vectors.length[rows]
         self.longest = float(self.length.max())
         own, place = vectors.take(rows)
         at = vectors.at[place]
@@ -162,26 +162,33 @@ class Bucket:
         most = root * self.top[there]
         if not len(mine) or most.sum() * SLACK < threshold:
             return none
-        heavy = np.argsort(-most, kind="stable")[:FOCUS]
+        # heaviest coordinates first; after each few the rest is bounded by what is left of both lengths and by the largest coordinates
+        order = np.argsort(-most, kind="stable")
+        most_left = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)
+        root_left = np.sqrt(np.append(np.cumsum((root[order] ** 2)[::-1])[::-1], 0.0))
         product, square = np.zeros(len(self.rows)), np.zeros(len(self.rows))
-        for k in heavy:
-            column = slice(self.edge[there[k]], self.edge[there[k] + 1])
-            d = self.impact[column] * root[k]
-            product[self.own[column]] += d * root[k]
-            square[self.own[column]] += d * d
-        rest = np.ones(len(mine), dtype=bool)
-        rest[heavy] = False
-        left = np.sqrt(float((root[rest] ** 2).sum())) * np.sqrt(np.maximum(self.length**2 * SLACK - square, 0.0))
-        bound = product + np.minimum(left, most[rest].sum())
-        return np.flatnonzero(bound * SLACK >= threshold)
+        for begin in range(0, len(order), FOCUS):
+            for k in order[begin : begin + FOCUS]:
+                column = slice(self.edge[there[k]], self.edge[there[k] + 1])
+                d = self.impact[column] * root[k]
+                product[self.own[column]] += d * root[k]
+                square[self.own[column]] += d * d
+            done = min(begin + FOCUS, len(order))
+            left = root_left[done] * np.sqrt(np.maximum(self.length**2 * SLACK - square, 0.0))
+            alive = np.flatnonzero((product + np.minimum(left, most_left[done])) * SLACK >= threshold)
+            if len(alive) <= len(self.rows) // ENOUGH:
+                break
+        return alive
 
     def scores(self, query: Query, survivors: np.ndarray) -> np.ndarray:
-        mine, there = self.columns(query.at)
-        total = np.zeros(len(self.rows), dtype=np.int64)
-        for k, c in zip(mine, there, strict=True):
-            column = slice(self.edge[c], self.edge[c + 1])
-            total[self.own[column]] += self.impact[column] * query.weight[k]
-        return total[survivors]
+        """Exact scores of some rows, read by row."""
+        own, place = self.vectors.take(self.rows[survivors])
+        at = self.vectors.at[place]
+        k = np.minimum(np.searchsorted(query.at, at), len(query.at) - 1)
+        mine = query.at[k] == at
+        total = np.zeros(len(survivors), dtype=np.int64)
+        np.add.at(total, own[mine], self.vectors.impact[place[mine]] * query.weight[k[mine]])
+        return total
 
 
 class Query:
