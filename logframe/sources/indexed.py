@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from logframe.functions.metadata import SEVERITIES, with_metadata
@@ -42,9 +43,10 @@ def _table(spark: SparkSession, out: str, name: str) -> DataFrame:
     last = _committed(spark, out)
     if last is None:
         raise ValueError(f"{out} is no stored log")
-    # no partition types are guessed: a source named 007 stays that
-    rows = spark.read.option("recursiveFileLookup", "false").parquet(f"{out}/{name}").filter(F.col("batch") <= last["batch"])
-    return rows.withColumn("source", F.col("source").cast("string")) if "source" in rows.columns else rows
+    found = spark.read.parquet(f"{out}/{name}").schema
+    # the type of a folder's name is guessed: a source named 007 must stay that
+    kinds = StructType([StructField(f.name, StringType()) if f.name == "source" else f for f in found.fields])
+    return spark.read.schema(kinds).parquet(f"{out}/{name}").filter(F.col("batch") <= last["batch"])
 
 
 def read_log(spark: SparkSession, out: str) -> DataFrame:
@@ -122,6 +124,9 @@ def capture_log(stream: DataFrame, out: str, checkpoint: str, every: int = EVERY
 
     def store(batch: DataFrame, epoch: int) -> None:
         last = _committed(spark, out)
+        if last and last["capture"] != checkpoint and epoch:  # something else was stored since: look for this capture's own last batch
+            own = spark.read.schema(_COMMIT).json(f"{out}/commits/*").filter(F.col("capture") == checkpoint).agg(F.max("epoch")).first()[0]
+            last = {"capture": checkpoint, "epoch": -1 if own is None else own}
         if last and last["capture"] == checkpoint and last["epoch"] >= epoch:
             return
         size = (F.octet_length("content") + 1).cast("long")

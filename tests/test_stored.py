@@ -127,6 +127,34 @@ def test_capture_numbers_lines_once(spark, tmp_path, monkeypatch):
     assert commit["capture"] == cp and commit["epoch"] == 2
 
 
+def test_names_of_digits_stay_and_captures_take_turns(spark, tmp_path):
+    out, data = str(tmp_path / "out"), tmp_path / "in"
+    data.mkdir()
+    indexed.append_log(log_lines(spark, {"007": 5, "08": 3}), out)
+    assert {r["source"] for r in indexed.read_log(spark, out).select("source").distinct().collect()} == {"007", "08"}
+
+    def run(cp):
+        raw = spark.readStream.text(str(data)).select(F.lit("007").alias("source"), F.col("value").alias("content"))
+        q = indexed.capture_log(raw, out, str(tmp_path / cp))
+        q.processAllAvailable()
+        q.stop()
+
+    for i, cp in enumerate(("one", "two", "one")):
+        (data / f"{i}.txt").write_text(f"line {i}\n")
+        run(cp)
+    # the last batch of the first capture was committed, but its stream does not know
+    commits = sorted((tmp_path / "one" / "commits").iterdir())
+    run("two")
+    for f in (tmp_path / "one" / "commits").iterdir():
+        if f.name.strip(".").startswith("1"):
+            f.unlink()
+    before = indexed.read_log(spark, out).count()
+    run("one")
+    assert commits and indexed.read_log(spark, out).count() == before
+    rows = indexed.read_log(spark, out).filter("source = '007'").orderBy("line_no").collect()
+    assert [r["line_no"] for r in rows] == list(range(11)) and sorted(r["content"] for r in rows[5:]) == ["line 0"] * 2 + ["line 1"] * 2 + ["line 2"] * 2
+
+
 def test_merged_buckets_are_left_alone(spark, tmp_path):
     out, hour = str(tmp_path / "merged"), 3600
     rows = [(s, o, i, TS + dt.timedelta(seconds=i * 60 + o) if i % 5 else None) for o, s in enumerate(("a", "b", "c")) for i in range(600)]
