@@ -186,31 +186,31 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(1, -(-len(raw) // ROW_BYTES)) * ROW_BYTES)
 
 
-def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: bool = False) -> DataFrame:
     """Every text stored as a P6 image of 64-pixel rows, read back, hashed and described.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature (difference hash of the decoded image, and the digest of its NPY tile), tile (that tile).
+    feature (difference hash of the decoded image, and the digest of its NPY tile); with ``tile`` that tile, too.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["tile"] * tile]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * tile]
 
     def one(text: str | None) -> tuple:
         n, payload = payload_of(text)
         stored = encode_ppm(np.frombuffer(payload, np.uint8).reshape(-1, ROW_PIXELS, 3))
         pixels = decode_image(stored)
         back = pixels.tobytes()
-        tile = npy_tile(pixels)
-        feature = difference_hash(pixels) + hashlib.sha256(tile).hexdigest()[:16]
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, tile
+        made = npy_tile(pixels)
+        feature = difference_hash(pixels) + hashlib.sha256(made).hexdigest()[:16]
+        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, *[made] * tile
 
     def run(batches):
         for batch in batches:
-            rows = list(zip(*[one(v.as_py()) for v in batch.column(1)], strict=True)) or [()] * 8
+            rows = list(zip(*[one(v.as_py()) for v in batch.column(1)], strict=True)) or [()] * (len(names) - 1)
             arrays = [pa.array(x, k) for x, k in zip(rows, kinds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", tile binary" * tile
     )

@@ -27,7 +27,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(table(spark, sf_dir, "documents"))
+    return media.text_media(table(spark, sf_dir, "documents"), tile=True)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

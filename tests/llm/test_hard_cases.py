@@ -203,7 +203,7 @@ def test_bmp_with_pixels_inside_its_header():
 
 
 def test_media_query_has_the_tile(spark, documents):
-    row = media.text_media(documents.limit(3)).first()
+    row = media.text_media(documents.limit(3), tile=True).first()
     assert row["tile"][:6] == b"\x93NUMPY"
 
 
