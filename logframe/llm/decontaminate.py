@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logframe.llm.common import ascii_lower, durable, without
+from logframe.llm.common import Scratch, ascii_lower, durable, without
 
 WINDOW_WORDS = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -131,7 +131,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
         "doc_id", "n_words", F.aggregate(F.array_sort("hits"), none, cover, lambda s: s["n"]).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))).alias("items"), "rows",
     ).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "rows")
-    # rows of many copies are dealt out before they are written one by one
+    # rows of many copies are dealt out before they are written one by one; stored, so that the corpus is not read for both parts
+    told = Scratch(docs.sparkSession, "contamination").keep(told, "told")
     few, many = told.filter(F.col("rows") <= COPIES), told.filter(F.col("rows") > COPIES)
     parts = many.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / COPIES)))).repartition("doc_id", "items_sha256", "part")
     dealt = parts.withColumn("rows", F.least(F.lit(COPIES), F.col("rows") - F.col("part") * COPIES)).drop("part")
