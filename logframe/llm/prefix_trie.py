@@ -313,10 +313,13 @@ def trie(turns: DataFrame, convs: DataFrame, scratch: Scratch, block: int = BLOC
     of_root = origin.agg(F.min("conv_id"))
 
     def with_parent(rows: DataFrame) -> DataFrame:
-        """Rows with the id of their parent node; the root is no partner of the join, as it may have most nodes under it."""
+        """Rows with the id of their parent node; the root is no partner of the join, as it may have most nodes under it.
+
+        A parent that is not among the grouped nodes lies in a lone tail: the sketch passed its child for a shared one, and both have the same one member.
+        """
         deep = owner.filter("depth > 0").withColumn("depth", F.col("depth") + 1).withColumnsRenamed({"x": "px", "y": "py"})
         found = rows.join(deep, ["depth", "px", "py"], "left")
-        return found.withColumn("parent_conv_id", F.when(F.col("depth") == 1, of_root.scalar()).otherwise(F.col("parent_conv_id")))
+        return found.withColumn("parent_conv_id", F.when(F.col("depth") == 1, of_root.scalar()).when(F.col("depth") > 1, F.coalesce("parent_conv_id", "conv_id")))
 
     names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     totals = with_parent(booked).join(saved, NODE).join(ends, NODE, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(EMPTY)))

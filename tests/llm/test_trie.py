@@ -107,3 +107,12 @@ def test_the_screen_never_hides_a_shared_prefix(spark, data):
         n = rows.groupBy("depth", "x", "y").agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
         assert n.filter(f"n > 1 AND kind <> {prefix_trie.SHARED}").count() == 0
         assert n.filter(f"n = 1 AND kind <> {prefix_trie.SHARED}").count() > (0.9 if width > 1 << 10 else 0) * n.filter("n = 1").count()
+
+
+@pytest.mark.parametrize("first", [0, -60])
+def test_lone_prefixes_that_the_sketch_passes_for_shared_have_their_parents(spark, first):
+    # two or three turns are shared, the others are not; 64 cells are few enough for chance hits below a lone prefix
+    draw = np.random.default_rng(1)
+    rows = [(c, t, "user", f"w {draw.integers(3 if t < 2 else 10**6)} x") for c in range(first, first + 120) for t in range(draw.integers(7))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found(prefix_trie.shared_head_trie(df, width=64)) == slow_trie(rows)
