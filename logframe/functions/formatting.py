@@ -82,8 +82,16 @@ def _compact(x: Column) -> Column:
     return F.when(x >= 10, F.floor(x).cast("long").cast("string")).otherwise(_one(x))
 
 
-def fmt_count(c: Column) -> Column:
-    return _scaled(c.cast("double"), [(1e9, "Bn"), (1e6, "M"), (1e3, "K")], c.cast("long").cast("string"), _compact)
+def _upto(steps: list[tuple[float, str]], largest: str) -> list[tuple[float, str]]:
+    units = [u for _, u in steps]
+    if largest not in units:
+        raise ValueError(f"no unit {largest!r} in {units}")
+    return steps[units.index(largest) :]
+
+
+def fmt_count(c: Column, largest: str = "Bn") -> Column:
+    """A count in K, M or Bn; with ``largest`` in no larger unit than that one."""
+    return _scaled(c.cast("double"), _upto([(1e9, "Bn"), (1e6, "M"), (1e3, "K")], largest), c.cast("long").cast("string"), _compact)
 
 
 def fmt_size(c: Column) -> Column:
