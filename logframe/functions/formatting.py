@@ -94,8 +94,9 @@ def fmt_count(c: Column, largest: str = "Bn") -> Column:
     return _scaled(c.cast("double"), _upto([(1e9, "Bn"), (1e6, "M"), (1e3, "K")], largest), c.cast("long").cast("string"), _compact)
 
 
-def fmt_size(c: Column) -> Column:
-    return _scaled(c.cast("double"), _BINARY[1:], F.concat(c.cast("long").cast("string"), F.lit("B")), _compact)
+def fmt_size(c: Column, largest: str = "GB") -> Column:
+    """A number of bytes in B, KB, MB or GB; with ``largest`` in no larger unit than that one."""
+    return _scaled(c.cast("double"), _upto(_BINARY[1:], largest), F.concat(c.cast("long").cast("string"), F.lit("B")), _compact)
 
 
 def fmt_rate(c: Column) -> Column:
