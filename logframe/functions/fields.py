@@ -178,20 +178,30 @@ def parse_ts(text: Column) -> Column:
     return let(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), _parse_trimmed)
 
 
+#: The groups of ``_TIME`` that are digits or empty.
+_DIGITS = (1, 2, 3, 4, 5, 6, 10, 11, 12, 13, 14)
+
+
 def _parse_trimmed(t: Column) -> Column:
-    digits = t.rlike("^[+-]?[0-9]+$")
-    part = lambda i: F.regexp_extract(t, _TIME, i)
-    number = lambda i: F.coalesce(F.try_to_number(F.nullif(part(i), F.lit("")), F.lit("99")).cast("int"), F.lit(0))
-    year = F.coalesce(F.nullif(part(1), F.lit("")).cast("int"), F.lit(1970))
+    # one match gives all groups and what follows, which alone may hold a comma; the zero keeps an empty group castable
+    # (a cast that fails throws and catches, which takes most of the time of a row)
+    groups = F.regexp_replace(t, f"(?s){_TIME}(.*)$", ",".join(f"0${i}" if i in _DIGITS else f"${i}" for i in range(1, 16)))
+    numbers = lambda p: F.array(*[p[i - 1].cast("int") for i in _DIGITS])
+    iso = F.when(t.rlike(_TIME), let(F.split(groups, ",", 15), lambda p: let(numbers(p), lambda n: _milliseconds(p, n))))
+    return F.when(t.rlike("^[+-]?[0-9]+$"), F.when(F.length(t) == 13, t.try_cast("long")).when(F.length(t) == 10, t.try_cast("long") * 1000)).otherwise(iso)
+
+
+def _milliseconds(p: Column, n: Column) -> Column:
+    """From the groups of ``_TIME`` and what follows them, and the numbers of ``_DIGITS``."""
+    part, number = (lambda i: p[i - 1]), (lambda i: n[_DIGITS.index(i)])
     month, day, hour, minute, second = (number(i) for i in range(2, 7))
-    ok = t.rlike(_TIME) & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
-    broken_zone = F.substr(t, F.length(F.regexp_extract(t, _TIME, 0)) + 1).rlike("^[+-]") & (part(9) == "") & (part(8) == "")
+    ok = month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
+    broken_zone = part(15).rlike("^[+-]") & (part(9) == "") & (part(8) == "")
     fraction = F.rpad(F.substring(part(7), 1, 3), 3, "0").cast("long")
     zone = F.when(part(9) == "-", -1).otherwise(1) * ((number(10) + number(12) + number(14)) * 60 + number(11) + number(13))
-    days = F.unix_date(F.make_date(year, F.when(month.between(1, 12), month).otherwise(1), F.lit(1))) + day - 1
+    days = F.unix_date(F.make_date(number(1), F.when(month.between(1, 12), month).otherwise(1), F.lit(1))) + day - 1
     seconds = days.cast("long") * 86400 + hour * 3600 + minute * 60 + second - zone * 60
-    iso = F.when(ok & ~broken_zone, seconds * 1000 + fraction)
-    return F.when(digits & (F.length(t) == 13), t.try_cast("long")).when(digits & (F.length(t) == 10), t.try_cast("long") * 1000).when(~digits, iso)
+    return F.when(ok & ~broken_zone, seconds * 1000 + fraction)
 
 
 _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}

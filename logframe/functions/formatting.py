@@ -42,9 +42,13 @@ def fmt_datetime(c: Column, mode: str = "absolute", now_ms: int | None = None) -
         return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(iso), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
     if now_ms is None:
         raise ValueError("relative times need now_ms")
-    ago = F.lit(now_ms // 1000) - iso
+    # the time is read once, however many units are tried
+    return let(F.lit(now_ms // 1000) - iso, _relative)
+
+
+def _relative(ago: Column) -> Column:
     text = lambda by, unit: F.concat(F.floor(ago / by).cast("string"), F.lit(f"{unit} ago"))
-    return F.when(ago < 0, F.concat(F.lit("in "), (-ago).cast("string"), F.lit("s"))).when(ago < 60, text(1, "s")).when(ago < 3600, text(60, "m")).when(ago < 86400, text(3600, "h")).otherwise(F.when(iso.isNotNull(), text(86400, "d")))
+    return F.when(ago < 0, F.concat(F.lit("in "), (-ago).cast("string"), F.lit("s"))).when(ago < 60, text(1, "s")).when(ago < 3600, text(60, "m")).when(ago < 86400, text(3600, "h")).when(ago.isNotNull(), text(86400, "d"))
 
 
 def fmt_duration(c: Column, unit: str = "ms") -> Column:

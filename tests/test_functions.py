@@ -138,3 +138,11 @@ def test_labels(spark):
     check(spark, fm.status_class, [("200", "success"), ("503", "server_error"), ("x", None)])
     rules = [{"op": "gt", "value": "5", "label": "big"}, {"op": "regex", "value": "^a", "label": "a"}]
     check(spark, lambda c: fm.rule_label(c, F.create_map(F.lit("q"), c), rules), [("6", "big"), ("5", None), ("abc", "a"), ("nan", None)])
+
+
+def test_a_time_without_zone_is_read_without_failing_casts(spark):
+    # a failing cast throws inside and takes most of a row's time; a comma behind the time belongs to what follows
+    rows = spark.range(1).select(F.lit("2024-01-15T10:30:00").alias("c"))
+    plan = rows.select(fl.parse_ts(F.col("c")).alias("ms"))._jdf.queryExecution().analyzed().toString()
+    assert "try_to_number" not in plan and plan.count("regexp_extract") == 0
+    check(spark, fl.parse_ts, [("2024-01-15T10:30:00,5+02:00", 1705314600000), ("2024-01-15T10:30:00+1:30", None), ("2024-01-15T10:30:00Z+1,2", 1705314600000), ("2024-01-15T10:30:00\nx,y", 1705314600000)])
