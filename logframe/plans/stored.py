@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logframe.functions import metadata as md
+from logframe.operators.blocks import running
 from logframe.plans import lines as ln
 from logframe.plans.lines import SQL_MIXED, SQL_PARTS
 from logframe.sources import indexed, merged, tail
@@ -155,9 +155,8 @@ def newest_generation(spark, sf_dir):
 
 
 def _numbered_within(spark, sf_dir):
-    """Mixed lines numbered from 0 in each source."""
-    ranked = Window.partitionBy("source").orderBy("line_no")
-    return ln.mixed_lines(spark, sf_dir).withColumn("line_no", (F.row_number().over(ranked) - 1).cast("long"))
+    """Mixed lines numbered from 0 in each source: counted inside blocks of numbers, then over the blocks, so no task holds a source."""
+    return running(ln.mixed_lines(spark, sf_dir), F.lit(1), "__before").withColumn("line_no", F.col("__before").cast("long")).drop("__before")
 
 
 def _stored_log(spark, sf_dir):

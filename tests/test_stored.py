@@ -259,3 +259,14 @@ def test_newest_lines_of_a_stream(spark, tmp_path, rocksdb):
     spark.conf.unset(generations._PROVIDER)
     with pytest.raises(ValueError, match="use_rocksdb"):
         live.latest_generation(stream)
+
+
+def test_lines_are_numbered_in_no_window_over_a_source(spark, data):
+    from logframe.plans import stored
+
+    rows = stored._numbered_within(spark, data)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    keys = [w.split(" ")[0:2] for w in plan.split("windowspecdefinition(")[1:]]
+    assert keys and not any(k[0].startswith("source") and k[1].startswith("line_no") for k in keys)
+    ends = rows.groupBy("source").agg({"*": "count", "line_no": "max"}).collect()
+    assert ends and all(r["count(1)"] == r["max(line_no)"] + 1 for r in ends)
