@@ -4,8 +4,9 @@ The symbols of all words that a batch has not met before lie in one flat array.
 round looks all adjacent pairs up by binary search over the sorted pair keys of the
 merge table, takes the lowest rank of each word, and merges its occurrences in all words
 at once. Whole texts are read; a null text counts as empty and has no ids. A text of any
-length is cut at white space, so its words, not the text, are merged; a worker remembers
-the ids of at most ``REMEMBERED`` stretches (by number, not by bytes). Special
+length is cut at white space, so its words, not the text, are merged. A task remembers the
+ids of at most ``REMEMBERED`` stretches with ``CHARACTERS`` characters, and those of the block
+of texts at hand; at its end it forgets them, as its worker lives on beside other stages. Special
 tokens written in a text are matched before normalisation, as the vocabulary file says.
 Repeated rows give repeated results, an empty table an empty one; extra columns are ignored.
 """
@@ -25,14 +26,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logframe.llm.common import with_fields
+from logframe.llm.common import release, with_fields
 
 #: Characters with the Unicode property White_Space.
 SPACES = "\t-\r \x85\xa0  -     　"
 #: Separators that str.split() takes for white space and the property does not.
 ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Chunks that a task remembers before it starts anew, and their characters.
+REMEMBERED, CHARACTERS = 300_000, 4_000_000
+#: Characters of the texts that are encoded together.
+BLOCK = 1_000_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -67,6 +70,7 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         self.known: dict[str | tuple[str], tuple[int, str, str]] = {}
+        self.held = 0
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
         """Ids of every word (none empty), by rounds of merges over all of them together."""
@@ -134,8 +138,8 @@ class WordBpe:
 
     def learn(self, chunks: set[str | tuple[str]]) -> None:
         """Encode the chunks that are not known yet."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED or self.held > CHARACTERS:
+            self.forget()
         new = [c for c in chunks if c not in self.known]
         spelled = [() if isinstance(c, tuple) else self.pieces(c) for c in new]
         words = list(dict.fromkeys(w for s in spelled for w in s))
@@ -143,6 +147,11 @@ class WordBpe:
         for c, s in zip(new, spelled, strict=True):
             own = [self.specials[c[0]]] if isinstance(c, tuple) else [i for w in s for i in ids[w]]
             self.known[c] = (len(own), " ".join(map(str, own)), self.decode(own))
+        self.held += sum(map(len, new))
+
+    def forget(self) -> None:
+        """Drop what is remembered of texts; the vocabulary stays."""
+        self.known, self.held = {}, 0
 
     def decode(self, ids) -> str:
         """The tokens of the ids, joined by blanks: the file names no decoder that would do more."""
@@ -163,7 +172,7 @@ def codec(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _blocks(column: pa.Array, characters: int = 4_000_000) -> Iterator[list]:
+def _blocks(column: pa.Array, characters: int = BLOCK) -> Iterator[list]:
     """The values of a text column in lists of a bounded number of characters, one text at least."""
     block, held = [], 0
     for value in column:
@@ -176,17 +185,27 @@ def _blocks(column: pa.Array, characters: int = 4_000_000) -> Iterator[list]:
         yield block
 
 
+def _encoded(path: str, batches: Iterator[pa.RecordBatch], where: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, str, str]]]]:
+    """(rows, what ``WordBpe.texts`` gives for their texts) for a block at a time; nothing of a task's texts stays in its worker."""
+    c = codec(path)
+    try:
+        for batch in batches:
+            at = 0
+            for block in _blocks(batch.column(where)):
+                yield batch.slice(at, len(block)), list(c.texts(block))
+                at += len(block)
+    finally:
+        c.forget()
+        release()
+
+
 def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
 
     def run(batches):
-        c = codec(path)
-        for batch in batches:
-            rows = [
-                (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
-                for block in _blocks(batch.column(1)) for n, ids, back in c.texts(block)
-            ]
-            n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
+        for batch, texts in _encoded(path, batches, 1):
+            rows = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()) for n, ids, back in texts]
+            n, ids, back = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -203,9 +222,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     where = kept.columns.index(text)
 
     def run(batches):
-        c = codec(path)
-        for batch in batches:
-            ids = [np.array(s.split(), dtype=np.int32) for block in _blocks(batch.column(where)) for _, s, _ in c.texts(block)]
+        for batch, texts in _encoded(path, batches, where):
+            ids = [np.array(s.split(), dtype=np.int32) for _, s, _ in texts]
             arrays = [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "ids", "n_tokens"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,8 +104,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 
 def release() -> None:
-    """Hand freed Arrow memory back at the end of a task: its worker lives on and runs tasks of other stages."""
+    """Hand freed memory back at the end of a task: its worker lives on, idle or in tasks of other stages."""
     pa.default_memory_pool().release_unused()
+    # glibc keeps what Python has freed; other C libraries have no such call
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def with_fields(schema: StructType, ddl: str) -> StructType:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logframe.llm.common import durable, with_fields
+from logframe.llm.common import durable, release, with_fields
 from logframe.llm.transducers import ANY, Transducer, compose
 
 #: Bound on the labelled documents that the weights and stems are learned from.
@@ -258,6 +258,8 @@ def learn_stems(rows: DataFrame) -> tuple[tuple[tuple[str, float], ...], int, in
                     yield made()
                     labels, stems, places = [], [], []
         yield made()
+        labels, stems, places = [], [], []
+        release()
 
     # copies of a document show a stem first in the same place, between the same words: they are one piece of evidence
     def places(label: int) -> DataFrame:
@@ -323,6 +325,7 @@ def with_features(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             features = pa.array([reader.features(t.as_py()) for t in batch.column(at)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], features], names=[*keep, "features"])
+        release()
 
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
@@ -335,6 +338,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for batch in batches:
             scores = pa.array([reader.score(t.as_py()) for t in batch.column(1)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
+        release()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
@@ -348,5 +352,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         reader = ClauseGrammar(model)
         for batch in batches:
             yield batch.filter(pa.array([reader.score(t.as_py()) < 0.5 for t in batch.column(where)], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
